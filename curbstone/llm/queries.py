@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbstone.llm.common import table
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
+from curbstone.llm.packing import pack
 from curbstone.llm.sharding import shard_by_ring
+from curbstone.llm.warc import archive_folder, read_packages, write_packages
+
+#: The vocabulary that packing counts tokens by.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +27,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    packages = write_packages(table(spark, sf_dir, "pages"), folder)
+    return read_packages(packages, folder).drop("url", "payload")
+
+
 def op6_shard_by_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_ring(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 OP4_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -50,7 +66,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_line_dedup, op6_shard_by_ring)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_line_dedup, op5_warc_packages, op6_shard_by_ring, op8_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
