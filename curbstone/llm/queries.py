@@ -10,6 +10,9 @@ from curbstone.llm.common import table
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
 from curbstone.llm.packing import pack
+from curbstone.llm.quality import classify
+from curbstone.llm.quality import train as train_quality
+from curbstone.llm.secrets import find_secrets
 from curbstone.llm.sharding import shard_by_ring
 from curbstone.llm.warc import archive_folder, read_packages, write_packages
 
@@ -23,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy(*same).agg(F.sum("words").alias("taken")).drop("skey", "shuffled")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
@@ -43,6 +50,12 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = classify(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", *(F.round(p, 6).alias(p) for p in ("p_good", "p_toxic")), "keep")
+
+
 OP4_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -66,7 +79,16 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_line_dedup, op5_warc_packages, op6_shard_by_ring, op8_pack_windows)}
+    found = (
+        op1_mix_sources,
+        op3_secret_scan,
+        op4_line_dedup,
+        op5_warc_packages,
+        op6_shard_by_ring,
+        op8_pack_windows,
+        op9_quality_posterior,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
