@@ -116,6 +116,7 @@ def mix(
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "docs")))
+    sums = sums.join(shares.drop("source"), "skey")
     within = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last())
     rows = (
         rows.withColumn("start", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -123,7 +124,6 @@ def mix(
         .join(sums, ["skey", "bucket"])
         .withColumn("start", F.col("start") + F.col("n_before"))
         .withColumn("shuffled", F.col("shuffled") + F.col("docs_before"))
-        .join(shares.drop("source"), "skey")
     )
     taken = (F.col("size") > 0) & (F.col("quota") > F.col("start"))
     laps = F.when(taken, F.sequence(F.lit(0), F.floor((F.col("quota") - 1 - F.col("start")) / F.greatest("source_size", F.lit(1))).cast("int")))
