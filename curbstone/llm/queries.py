@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curbstone.llm.common import table
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
+from curbstone.llm.near import near_duplicates
 from curbstone.llm.packing import pack
 from curbstone.llm.quality import classify
 from curbstone.llm.quality import train as train_quality
@@ -46,6 +47,10 @@ def op6_shard_by_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -85,6 +90,7 @@ def queries() -> dict:
         op4_line_dedup,
         op5_warc_packages,
         op6_shard_by_ring,
+        op7_minhash_dedup,
         op8_pack_windows,
         op9_quality_posterior,
     )
