@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbstone.llm.common import table
+from curbstone.llm.forest import search
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
 from curbstone.llm.near import near_duplicates
@@ -27,6 +28,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.groupBy(*same).agg(F.sum("words").alias("taken")).drop("skey", "shuffled")
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 def queries() -> dict:
     found = (
         op1_mix_sources,
+        op2_prefix_forest,
         op3_secret_scan,
         op4_line_dedup,
         op5_warc_packages,
