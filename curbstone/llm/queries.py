@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbstone.llm.common import table
+from curbstone.llm.descent import near_vectors
 from curbstone.llm.forest import search
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
@@ -66,6 +67,10 @@ def op9_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *(F.round(p, 6).alias(p) for p in ("p_good", "p_toxic")), "keep")
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP4_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -99,6 +104,7 @@ def queries() -> dict:
         op7_minhash_dedup,
         op8_pack_windows,
         op9_quality_posterior,
+        op10_nn_descent,
     )
     return {f.__name__: f for f in found}
 
