@@ -1,10 +1,72 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline over `documents`: filter by quality, drop boilerplate lines, drop near duplicates, mix sources, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents, with n_chars following the text. Nulls, empty and very long
+texts, repeated rows and empty tables are dealt with as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curbstone.llm.common import keep, keep_table, table
+from curbstone.llm.lines import dedup_lines
+from curbstone.llm.mixing import mixed_documents
+from curbstone.llm.near import near_duplicates
+from curbstone.llm.packing import pack
+from curbstone.llm.quality import classify, train
+from curbstone.llm.queries import VOCABULARY
+
+#: Dropped doc_ids up to which they are sent to all executors (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
+    return docs.select(*like.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier and its site and path posteriors call good and not toxic."""
+    return _columns(classify(docs, train(docs, table(spark, sf_dir, "labels"))).filter("keep"), docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that are boilerplate of their source."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        length = F.coalesce(F.char_length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars")))
+    return _columns(out, docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near duplicates; rows with that doc_id stay."""
+    dropped = keep(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return _columns(docs.join(dropped, "doc_id", "left_anti"), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes, a row for each time that it takes a document."""
+    return mixed_documents(docs)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their ids."""
+    return pack(docs, VOCABULARY, with_ids=True)
+
+
+STAGES = [("quality", quality), ("line dedup", lines), ("near dedup", near), ("mix", mix), ("pack", windows)]
+#: SQL can't express MinHash bands, the trained classifier or tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = keep_table(docs)
+    return docs

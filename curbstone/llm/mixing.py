@@ -78,6 +78,11 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
+def _order(key: str, source: str, text: str) -> Column:
+    """The hash that shuffles documents."""
+    return F.xxhash64(F.lit("mix"), F.col(key), F.col(source), F.col(text))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -87,7 +92,7 @@ def mix(
     source: str = "source",
     text: str = "text",
 ) -> DataFrame:
-    """What the mix takes: (doc_id, digest, skey, shuffled, size, source_size, target, slot, lap, first, words).
+    """What the mix takes: (doc_id, h, digest, skey, shuffled, size, source_size, target, slot, lap, first, words).
 
     Each source's documents are shuffled by a hash and laid end to end, again and again (lap 0, 1, ...) up to the
     source's target; this stream is cut into blocks of `block` words, and block k goes to the source's k-th slot in the
@@ -105,7 +110,7 @@ def mix(
             F.col(source).alias("source"),
             source_key(F.col(source)).alias("skey"),
             F.xxhash64(F.lit("text"), F.col(text)).alias("digest"),
-            F.xxhash64(F.lit("mix"), F.col(key), F.col(source), F.col(text)).alias("h"),
+            _order(key, source, text).alias("h"),
             word_count(F.col(text)).alias("size"),
         )
     )
@@ -139,7 +144,7 @@ def mix(
     return (
         rows.join(slots, ["skey", "block"], "left")
         .withColumn("slot", slot)
-        .select("doc_id", "digest", "skey", "shuffled", "size", "source_size", "target", "slot", "lap", "first", "words")
+        .select("doc_id", "h", "digest", "skey", "shuffled", "size", "source_size", "target", "slot", "lap", "first", "words")
     )
 
 
@@ -150,20 +155,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     document is ever cut. n_chars, where it is a column, follows the text. Nulls, equal rows and empty tables: as mix();
     documents without words aren't taken.
     """
-    key, text = how.get("key", "doc_id"), how.get("text", "text")
-    laps = mix(docs, **how).filter("words > 0").groupBy("doc_id", "digest", "size", "skey", "shuffled", "lap").agg(
+    key, source, text = how.get("key", "doc_id"), how.get("source", "source"), how.get("text", "text")
+    laps = mix(docs, **how).filter("words > 0").groupBy("h", "digest", "size", "skey", "shuffled", "lap").agg(
         F.min("first").alias("first"), F.sum("words").alias("words")
     )
-    taken = laps.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "words", "size")).alias("__taken"))
-    taken = taken.withColumnRenamed("doc_id", "__id").withColumnRenamed("digest", "__digest")
-    rows = docs.withColumn("__digest", F.xxhash64(F.lit("text"), F.col(text))).withColumnRenamed(key, "__id")
-    values = [c for c in docs.columns if c != key]
-    rows = rows.groupBy("__id", "__digest").agg(F.first(F.struct(*values)).alias("__row"))
-    rows = rows.join(taken, (rows["__id"].eqNullSafe(taken["__id"])) & (rows["__digest"] == taken["__digest"])).select(
-        rows["__id"], "__row", F.explode("__taken").alias("__t")
-    )
-    words = F.regexp_extract_all(F.col("__row")[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, (F.col("__t.first") + 1).cast("int"), F.col("__t.words").cast("int")), "")
-    whole = F.when(F.col("__t.words") == F.col("__t.size"), F.col("__row")[text]).otherwise(cut)
+    taken = laps.groupBy("h", "digest").agg(F.collect_list(F.struct("first", "words", "size")).alias("taken"))
+    rows = docs.select(_order(key, source, text).alias("h"), F.xxhash64(F.lit("text"), F.col(text)).alias("digest"), F.struct(*docs.columns).alias("row"))
+    rows = rows.groupBy("h", "digest").agg(F.first("row").alias("row"))
+    rows = rows.join(taken, ["h", "digest"]).select("row", F.explode("taken").alias("t"))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("t.first") + 1).cast("int"), F.col("t.words").cast("int")), "")
+    whole = F.when(F.col("t.words") == F.col("t.size"), F.col("row")[text]).otherwise(cut)
     put = {text: whole} | ({"n_chars": F.char_length(whole).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return rows.select(*(F.col("__id").alias(c) if c == key else put.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
+    return rows.select(*(put.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
