@@ -189,6 +189,7 @@ def posteriors(scored: DataFrame, site: Column, path: Column) -> DataFrame:
     paths = scored.groupBy(site.alias("__site"), path.alias("__path")).agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(f"__{p}").alias(p) for p in names), *(F.sum(F.col(f"__{p}") * F.col(f"__{p}")).alias(f"{p}2") for p in names)
     )
+    paths = keep(paths)  # the texts are scored for it, once
     sites = paths.groupBy("__site").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic", "good2", "toxic2")))
     whole = sites.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "good", "toxic", "good2", "toxic2"))).first()
     n = max(1, whole["n"])
