@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from curbstone.functions.maps import CATEGORIES, DATE_PROBLEMS, DQ_FLAGS, NON_SERVICE_LINES, SOURCES, UNMAPPED, category_map, key_of, line_map, source_map
 from curbstone.functions.text import map_key, slug
 from curbstone.operators.classify import clear_out_days, non_service_pairs, sweep_minutes, with_bulk, with_service
+from curbstone.session import materialized
 
 AS_OF, BACKLOG_FROM, WINDOWS = "2001-06-30", "2001-01-01", (30, 90, 365)
 #: Thresholds of clear-outs on these tables, where days have few closures.
@@ -86,7 +87,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cleaned() with service and bulk."""
-    rows = cleaned(spark, sf_dir)
+    rows = materialized(cleaned(spark, sf_dir))  # read once for the pairs, the days, the minutes and the result
     rows = with_service(rows, non_service_pairs(rows, category_map(spark), line_map(spark)))
     return with_bulk(rows, clear_out_days(rows, DAY_LEAST), sweep_minutes(rows, SWEEP_LEAST))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,3 +22,11 @@ def local_session(app: str = "curbstone", cpus: int | str = "*", partitions: int
     spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df for several uses: checkpointed in the folder that the cluster shares, or persisted where none is set."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist()
