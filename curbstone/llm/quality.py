@@ -101,34 +101,37 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, labels: np.ndarray) -> Model:
     x = (stats - mean) / scale
     flat = np.concatenate([*ids, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
-    common = np.bincount(flat, minlength=BUCKETS) >= LEAST
-    row, flat = row[common[flat]], flat[common[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
-    n = len(used)
+    holders = np.bincount(flat, minlength=BUCKETS)
     words = np.zeros((2, BUCKETS), np.float32)
-    heads = []
+    weights, bias = [], []
     for h in range(2):
         known = np.isfinite(labels[:, h])
         y = np.where(known, labels[:, h], 0)
         total = max(1, int(known.sum()))
         rate = min(max(y.sum() / total, 1e-3), 1 - 1e-3)
+        # Words that too few labelled rows pull up before any weight is set would stay at 0.
+        surplus = np.bincount(flat, y[row], BUCKETS) - rate * np.bincount(flat, known[row], BUCKETS)
+        may = ((holders >= LEAST) & (surplus > EVIDENCE / 2))[flat]
+        own_row = row[may]
+        used, own = np.unique(flat[may], return_inverse=True)
+        n = len(used)
         theta = np.zeros(n + x.shape[1] + 1)
         theta[-1] = np.log(rate / (1 - rate))
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for t in range(1, STEPS + 1):
-            z = np.bincount(row, theta[flat], len(ids)) + x @ theta[n:-1] + theta[-1]
+            z = np.bincount(own_row, theta[own], len(ids)) + x @ theta[n:-1] + theta[-1]
             err = np.where(known, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0) / total
-            grad = np.concatenate([np.bincount(flat, err[row], n), x.T @ err + 1e-3 * theta[n:-1], [err.sum()]])
-            pull, w = EVIDENCE / total, theta[:n]
-            grad[:n] = np.where(w > 0, grad[:n] + pull, np.minimum(grad[:n] + pull, 0))
+            grad = np.concatenate([np.bincount(own, err[own_row], n), x.T @ err + 1e-3 * theta[n:-1], [err.sum()]])
+            pull = EVIDENCE / total
+            grad[:n] = np.where(theta[:n] > 0, grad[:n] + pull, np.minimum(grad[:n] + pull, 0))
             first += 0.1 * (grad - first)
             second += 0.01 * (grad**2 - second)
-            step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
-            theta -= step
+            theta -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
             theta[:n] = np.maximum(theta[:n], 0)
         words[h, used] = theta[:n]
-        heads.append(theta)
-    return Model(words, np.array([t[n:-1] for t in heads]), np.array([t[-1] for t in heads]), mean, scale)
+        weights.append(theta[n:-1])
+        bias.append(theta[-1])
+    return Model(words, np.array(weights), np.array(bias), mean, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
