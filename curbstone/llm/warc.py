@@ -26,6 +26,8 @@ LEAST_REVISIT = 0
 SALTS = 32
 #: Records that one reading task gets together.
 READ_RUN = 512
+#: Bytes of packages for each reading task: the rows dealt out are places only, so their own size says nothing.
+READ_BYTES = 8 << 20
 NONE = "none"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -193,7 +195,8 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
             f.close()
 
     places = packages.select("path").repartition("path").mapInArrow(locate, "path string, run long, at long, n long")
-    places = places.repartition("path", "run").sortWithinPartitions("path", "at")
+    tasks = 1 + (packages.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES
+    places = places.repartition(tasks, "path", "run").sortWithinPartitions("path", "at")
     return places.mapInArrow(fetch, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
