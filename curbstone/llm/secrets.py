@@ -29,6 +29,16 @@ SAMPLE_DOCS, SAMPLE_RANDOM, SEED = 2000, 4000, 7
 #: Added to every count of a pair of characters.
 PRIOR = 0.5
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Ordinary identifiers, numbers and separators that a small corpus may lack; each counts ORDINARY_TIMES.
+ORDINARY = """
+get_element_by_id DocumentBuilderFactory configuration_manager internationalization AbstractRequestHandler user_account_settings
+utf-8 x86_64 2024-01-31 2023-12-25T10-30-00 HTTP/1 README_FIRST index/page/1 path/to/some/file static/images/logo-small application/json
+MAX_CONNECTION_COUNT DEFAULT_TIMEOUT_SECONDS isEnabledForUser onClickListener updateCustomerAddress find-first-match left-hand-side
+1000000 12345678 00000000 20240131 1234567890123456 4111111111111111 5555555555555555 version-2 release-10 chapter3 section12 item_0042
+---------------- ================ ________________ //////////////// ++++++++++++++++ XXXXXXXXXXXXXXXX aaaaaaaaaaaaaaaa 0123456789
+telecommunications responsibilities characteristically Donaudampfschifffahrt anticonstitutionnellement electroencefalografista
+""".split()
+ORDINARY_TIMES = 20
 #: Alphabets that random samples are drawn from.
 ALPHABETS = (CHARS[:62], CHARS[:64], CHARS[:62] + "_-", CHARS[26:62], CHARS[:26] + CHARS[52:62], "0123456789abcdef")
 
@@ -66,9 +76,10 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = SEED) -> list[str]:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(word, is_random): words of about sample_docs documents, chosen by hash, and random strings.
+    """(word, is_random): words of about sample_docs documents, chosen by hash, ORDINARY ones, and random strings.
 
-    Runs that a fixed pattern matches are left out of the ordinary words, as are runs of under 4 characters.
+    Ordinary words are runs of 4 to LEAST - 1 characters and plain numbers of any length: what may be a secret, by its length
+    or a fixed pattern, isn't among them.
     """
     spark = docs.sparkSession
     n = max(docs.count(), 1)
@@ -81,10 +92,11 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str =
             found: list[str] = []
             for t in batch.column(0).to_pylist():
                 base = base_spans(t)
-                found += [m[0] for m in run.finditer(t) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+                found += [m[0] for m in run.finditer(t) if (m.end() - m.start() < LEAST or m[0].isdigit()) and not any(s < m.end() and m.start() < e for s, _, e in base)]
             yield pa.RecordBatch.from_pydict({"word": found, "is_random": [False] * len(found)}, pa.schema([("word", pa.string()), ("is_random", pa.bool_())]))
 
-    drawn = spark.createDataFrame([(w, True) for w in random_samples()], "word string, is_random boolean")
+    drawn = [(w, True) for w in random_samples()] + [(w, False) for w in ORDINARY * ORDINARY_TIMES]
+    drawn = spark.createDataFrame(drawn, "word string, is_random boolean")
     return rows.mapInArrow(words, "word string, is_random boolean").unionByName(drawn)
 
 
