@@ -19,7 +19,7 @@ SALTS = 32
 
 def line_key(line: Column) -> Column:
     """What makes two lines the same: their text without white space at the ends; null for a blank line."""
-    return F.nullif(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(line, F.lit("\x20\x09\x0a\x0b\x0c\x0d")), F.lit(""))
 
 
 def _host(site: Column) -> Column:
