@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curbstone.llm.common import keep, keep_table
 from curbstone.llm.components import components
-from curbstone.llm.wordhash import SPACE, mix, word_hashes
+from curbstone.llm.wordhash import SPACE, mix, text_groups, word_hashes
 
 #: Words in a shingle, and the least similarity of linked documents as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -24,8 +24,10 @@ LEAST_AGREEMENT = 0.59
 STAR, BLOCK = 512, 512
 #: Rows up to which the documents that need their sets are sent to all executors (about 100 bytes each), not shuffled.
 BROADCAST_ROWS = 200_000
+#: Over so many parts the rows of a text with many copies are spread.
+SALTS = 16
 #: Texts hashed together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,24 +76,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * same >= NUMERATOR * (small + large - same)
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(place of the first, texts) of groups of about GROUP_BYTES."""
-    first, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= GROUP_BYTES or k == len(texts) - 1:
-            yield first, texts[first : k + 1]
-            first, held = k + 1, 0
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """(id, words, n, bands) of each row (id, text)."""
     schema = pa.schema([("id", pa.int64()), ("words", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, group in grouped(texts):
+            for first, group in text_groups(batch.column(1), GROUP_BYTES):
                 found = [(w, len(s), signature(s)) for w, s in shingle_sets(group)]
                 keys = bands(np.array([f[2] for f in found]))
                 offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
@@ -111,8 +102,8 @@ def _with_sets(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, goals = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, part in grouped(texts):
+            ids, goals = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, part in text_groups(batch.column(1), GROUP_BYTES):
                 out: list[tuple] = []
                 for k, (_, s) in enumerate(shingle_sets(part), first):
                     raw = s.tobytes()
@@ -237,7 +228,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sign = keep_table(signed(docs))
     some = sign.filter("n > 0 and id is not null")
-    nodes = some.groupBy("words").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
+    nodes = some.groupBy("words").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.count(F.lit(1)).alias("copies"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = keep(banded.join(shared, "bucket"))
@@ -268,12 +259,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if more.take(1):
         labels = keep(components(edges.union(more)))
 
-    class_of = nodes.select("words", "node")
+    # Only texts that occur twice need their node looked up; salts spread a text with very many copies.
+    twice = nodes.filter("copies > 1").join(labels.withColumnRenamed("id", "node"), "node", "left").select("words", "node", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    single = labels.select("id", F.col("component").alias("own"))
     return (
-        sign.select("id", "words", "n")
-        .join(class_of, "words", "left")
-        .join(labels.withColumnRenamed("id", "node"), "node", "left")
-        .withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "node", "id")).otherwise(F.col("id")))
+        sign.select("id", "words", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(twice, ["words", "salt"], "left")
+        .join(single, "id", "left")
+        .withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "node", "own", "id")).otherwise(F.col("id")))
         .select(
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 #: Odd multipliers of the polynomial and of the finishing steps: any would do, but stored hashes depend on them.
@@ -19,6 +22,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def text_groups(column: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of runs of a column's texts of about size bytes, null as ''; a run is made when it is needed."""
+    first, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        held += n
+        if held >= size or k == len(column) - 1:
+            yield first, [t or "" for t in column.slice(first, k + 1 - first).to_pylist()]
+            first, held = k + 1, 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits; one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
