@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curbstone.llm.common import keep
-from curbstone.llm.wordhash import EDGE, SPACE, word_hashes
+from curbstone.llm.wordhash import EDGE, SPACE, text_groups, word_hashes
 
 #: About so many labelled rows, chosen by hash, fit the classifier; more are not read.
 SAMPLE = 6000
@@ -35,7 +35,7 @@ _CLASSES = np.zeros((256, 5))
 for _k, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), np.flatnonzero(EDGE & ~SPACE), b"*#$%&|!~^_=<>")):
     _CLASSES[list(_bytes), _k] = 1
 #: Texts whose words are hashed together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,19 +62,6 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ])
 
 
-def grouped(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in groups of about GROUP_BYTES."""
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if held >= GROUP_BYTES:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 class Model(NamedTuple):
     """Two logistic heads, bad and toxic, over the same features; words only ever add to either."""
 
@@ -101,7 +88,8 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, labels: np.ndarray) -> Model:
     x = (stats - mean) / scale
     flat = np.concatenate([*ids, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
-    holders = np.bincount(flat, minlength=BUCKETS)
+    held = (np.bincount(flat, minlength=BUCKETS) >= LEAST)[flat]
+    flat, row = flat[held], row[held]
     words = np.zeros((2, BUCKETS), np.float32)
     weights, bias = [], []
     for h in range(2):
@@ -111,7 +99,7 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, labels: np.ndarray) -> Model:
         rate = min(max(y.sum() / total, 1e-3), 1 - 1e-3)
         # Words that too few labelled rows pull up before any weight is set would stay at 0.
         surplus = np.bincount(flat, y[row], BUCKETS) - rate * np.bincount(flat, known[row], BUCKETS)
-        may = ((holders >= LEAST) & (surplus > EVIDENCE / 2))[flat]
+        may = (surplus > EVIDENCE / 2)[flat]
         own_row = row[may]
         used, own = np.unique(flat[may], return_inverse=True)
         n = len(used)
@@ -147,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f for group in grouped(batch.column(0).to_pylist()) for f in features(group)]
+            found = [f for _, group in text_groups(batch.column(0), GROUP_BYTES) for f in features(group)]
             ids = pa.array([np.unique(f[0]).astype(np.int32) for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["ids", "stats", "bad", "toxic"])
 
@@ -167,8 +155,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            z = np.array([log_odds(held.value, *f) for group in grouped(texts) for f in features(group)]).reshape(-1, 2)
+            z = np.array([log_odds(held.value, *f) for _, group in text_groups(batch.column(text), GROUP_BYTES) for f in features(group)]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(z * [-1, 1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*batch.schema.names, "__good", "__toxic"])
 
