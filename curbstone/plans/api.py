@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -16,22 +16,24 @@ from curbstone.plans.rules import BY, GRAINS, NotFound, Rules
 STAT_COUNTS = ("opened_count", "closed_count", "excluded_count", "bulk_closed_count")
 
 
-@dataclass
 class Published:
-    """One refresh's frames; a query reads them all from the same refresh."""
-
-    as_of: date
-    stats: DataFrame
-    open: DataFrame
-    backlog: DataFrame
-    exclusions: DataFrame
-    exclusions_open: DataFrame
-    date_problems: DataFrame
-    clear_outs: DataFrame
-    start: date
-    #: Names that a query may ask for: categories, and neighborhoods as slug -> name.
-    categories: list[str]
-    names: dict[str, str]
+    """One refresh's frames; a query reads them all from the same refresh.
+
+    Frames: stats, open, backlog, exclusions, exclusions_open, date_problems, clear_outs. A frame may be given as a function, which is
+    called when a query first needs it. categories and names (slug -> name) are what a query may ask for.
+    """
+
+    def __init__(self, as_of: date, start: date, categories: list[str], names: dict[str, str], **frames: DataFrame | Callable[[], DataFrame]):
+        self.as_of, self.start, self.categories, self.names, self._frames = as_of, start, categories, names, frames
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = self.__dict__.get("_frames", {})
+        if name not in frames:
+            raise AttributeError(name)
+        frame = frames[name]
+        if not isinstance(frame, DataFrame):
+            frame = frames[name] = frame()
+        return frame
 
 
 def service_categories() -> list[str]:

@@ -7,6 +7,7 @@ import json
 import sys
 from collections.abc import Callable
 from datetime import date, datetime, time, timedelta, timezone
+from functools import partial
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -291,9 +292,13 @@ class Jobs:
         info = head["values"].get("refresh")
         if not info:
             raise api.NotFound("nothing is published yet")
-        t = lambda n: self.store.read(n, at=head)
-        frames = [t(n) for n in ("stats_window", "open_backlog", "backlog_daily", "exclusion", "exclusion_open", "exclusion_flag", "clear_out")]
-        return api.Published(date.fromisoformat(info["as_of_date"]), *frames, date.fromisoformat(BACKLOG_START), api.service_categories(), {slug_of(n): n for n in NEIGHBORHOODS})
+        tables = {
+            "stats": "stats_window", "open": "open_backlog", "backlog": "backlog_daily", "exclusions": "exclusion", "exclusions_open": "exclusion_open",
+            "date_problems": "exclusion_flag", "clear_outs": "clear_out",
+        }
+        frames = {k: partial(self.store.read, t, at=head) for k, t in tables.items()}
+        names = {slug_of(n): n for n in NEIGHBORHOODS}
+        return api.Published(date.fromisoformat(info["as_of_date"]), date.fromisoformat(BACKLOG_START), api.service_categories(), names, **frames)
 
     def check(self, run: dict) -> list[dict]:
         """Data-quality checks after a refresh, so that labels are counted; results are kept with the run's id."""

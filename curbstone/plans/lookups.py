@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from curbstone.functions.maps import slug_of
+from curbstone.operators.cube import daily_backlog, open_cube, window_cube
+from curbstone.operators.notes import clear_outs, date_problem_closures, non_service_by_period, non_service_open
 from curbstone.plans import api, presentation
 from curbstone.plans import domain as D
 from curbstone.plans import figures as G
@@ -15,10 +17,23 @@ from curbstone.plans.registry import add
 
 
 def published(spark, d) -> api.Published:
-    day, start = date.fromisoformat(D.AS_OF), date.fromisoformat(D.BACKLOG_FROM)
-    problems = R.date_problem_closures(D.requests(spark, d), D.as_of(), D.WINDOWS)
+    rows = D.requests(spark, d)
+    age = (F.datediff(D.as_of(), F.col("created_date")) * 100).cast("long")
+    pairs = lambda: D.non_service_pairs(rows, D.category_map(spark), D.line_map(spark))
     names = {slug_of(r[0]): r[0] for r in D.load(spark, d, "nation").filter("n_nationkey <> 24").select("n_name").collect()}
-    return api.Published(day, G.cube(spark, d), G.opened(spark, d), G.backlog(spark, d), R.excluded(spark, d), R.excluded_open(spark, d), problems, R.notes(spark, d), start, api.service_categories(), names)
+    return api.Published(
+        date.fromisoformat(D.AS_OF),
+        date.fromisoformat(D.BACKLOG_FROM),
+        api.service_categories(),
+        names,
+        stats=lambda: window_cube(rows, D.as_of(), D.WINDOWS),
+        open=lambda: open_cube(rows, D.as_of(), age),
+        backlog=lambda: daily_backlog(rows, D.as_of(), D.BACKLOG_FROM),
+        exclusions=lambda: non_service_by_period(rows, pairs(), D.as_of(), D.WINDOWS),
+        exclusions_open=lambda: non_service_open(rows, pairs(), D.as_of()),
+        date_problems=lambda: date_problem_closures(rows, D.as_of(), D.WINDOWS),
+        clear_outs=lambda: clear_outs(rows, F.lit(R.NOTES_FROM).cast("date"), D.SWEEP_LEAST),
+    )
 
 
 def cells_sql(window: int, where: str) -> str:
