@@ -236,12 +236,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     pairs = keep(members.join(centres, "bucket").filter("node <> centre").select("centre", "node").distinct())
-    stars = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    # Only centres with more than STAR members are cut into parts; they are at most one for STAR pairs.
+    large = keep(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).filter("parts > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    parts, none = F.coalesce("parts", F.lit(1)), F.lit(0).cast("long").alias("component")
     part = lambda k: F.concat_ws("/", F.col("centre"), k).alias("group")
-    goals = (
-        stars.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select(F.col("centre").alias("id"), part(F.col("k")), F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"))
-    ).unionByName(
-        pairs.join(stars, "centre").select(F.col("node").alias("id"), part(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), F.lit(1).alias("side"), F.lit(0).cast("long").alias("component"))
+    centres_of = pairs.select("centre").distinct().join(large, "centre", "left").withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+    goals = centres_of.select(F.col("centre").alias("id"), part(F.col("k")), F.lit(0).alias("side"), none).unionByName(
+        pairs.join(large, "centre", "left").select(F.col("node").alias("id"), part(F.pmod(F.xxhash64("node"), parts).cast("int")), F.lit(1).alias("side"), none)
     )
     edges = keep(_star_edges(_with_sets(docs, goals)))
     labels = keep(components(edges))
