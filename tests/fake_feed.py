@@ -26,9 +26,8 @@ class FakeFeed:
 
     def _match(self, where: str, a: dict) -> bool:
         for part in where.split(" AND "):
-            part = part.strip()
-            if part.startswith("("):
-                part = part[1:].removesuffix(")")
+            part = part.strip().lstrip("(")
+            part = part if " IN " in part else part.rstrip(")")
             if part == "1=1":
                 continue
             if m := re.fullmatch(r"OBJECTID (>|<=) (\d+)", part):
