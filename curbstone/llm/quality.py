@@ -23,7 +23,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Full-batch steps and their size; a word's weight stays 0 unless about EVIDENCE documents pull it, and LEAST hold it.
 STEPS, RATE, EVIDENCE, LEAST = 300, 0.05, 1.5, 2
 #: A document is rejected if its posterior of being good is below GOOD or that of being toxic is above TOXIC.
-GOOD, TOXIC = 0.5, 0.5
+GOOD, TOXIC = 0.5, 0.4
 #: Posteriors of sites and paths up to which they are sent to all executors; beyond, they are joined by a shuffle.
 BROADCAST_PATHS, SALTS = 100_000, 32
 #: Between sites no less than so many documents' weight lies on the prior, and no more.
