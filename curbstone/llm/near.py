@@ -21,7 +21,7 @@ BANDS, ROWS = 32, 4
 #: Share of equal minima below which a pair isn't compared on full sets: 4 standard deviations under 0.75 for 128 minima.
 LEAST_AGREEMENT = 0.59
 #: Documents of a star, or of one side of a block of a bucket, that one group holds.
-STAR, BLOCK = 512, 512
+STAR, BLOCK = 128, 512
 #: Rows up to which the documents that need their sets are sent to all executors (about 100 bytes each), not shuffled.
 BROADCAST_ROWS = 200_000
 #: Over so many parts the rows of a text with many copies are spread.
