@@ -20,8 +20,10 @@ THRESHOLD = 0.98
 NEIGHBOURS, OFFERS = 10, 4
 #: The first graph: random planes cut each label into cells of about CELL rows, so many times; at most BLOCK rows meet at once.
 STARTS, CELL, BLOCK, SEED = 4, 96, 384, 5
-#: Rounds of refinement: at least, at most; and the recall of links, on AUDIT vectors, at which they end.
-LEAST_ROUNDS, MOST_ROUNDS, AUDIT, RECALL = 2, 6, 512, 0.98
+#: Rounds of refinement: at least, at most; and the recall, on AUDIT vectors of which TELLING have links, at which they end.
+LEAST_ROUNDS, MOST_ROUNDS, AUDIT, TELLING, RECALL = 2, 6, 4096, 64, 0.98
+#: Rows of a side of a block in the exact pass; rows that the audit and the exact pass compare at a time; labels whose sizes are broadcast.
+SIDE, CHUNK, LABELS = 4096, 512, 100_000
 #: Lists that one task call joins.
 LISTS = 256
 
@@ -54,22 +56,33 @@ def _shortest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def start(nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """A first graph (a, b, cosine): neighbours within cells of random planes; a crowded cell is dealt into blocks by hash."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
+def with_sizes(nodes: DataFrame) -> DataFrame:
+    """nodes with size, the number of nodes of their label and length."""
+    sizes = keep(nodes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("size")))
+    return nodes.join(F.broadcast(sizes) if sizes.count() <= LABELS else sizes, ["dim", "label"])
+
+
+def start(nodes: DataFrame, k: int, turn: int = 0) -> DataFrame:
+    """A first graph (a, b, cosine): neighbours within cells of random planes, other ones each turn; a crowded cell is dealt into blocks by hash.
+
+    nodes have the size of their label, and each label is cut into cells of about CELL rows.
+    """
+    most = nodes.agg(F.max("size")).first()[0] or 1
+    bits = max(0, math.ceil(math.log2(most / CELL)))
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = matrix(f["v"])
             if not len(x):
                 continue
-            for t in range(STARTS):
+            own = np.ceil(np.log2(np.maximum(f["size"].to_numpy() / CELL, 1))).astype(np.int64)
+            for t in range(turn * STARTS, (turn + 1) * STARTS):
                 planes = np.random.Generator(np.random.PCG64([SEED, t])).standard_normal((x.shape[1], max(bits, 1)))
                 codes = ((x @ planes > 0) * (1 << np.arange(max(bits, 1)))).sum(1) if bits else np.zeros(len(x), np.int64)
-                yield f.assign(start=np.int32(t), cell=codes.astype(np.int64))
+                yield f.drop(columns="size").assign(start=np.int32(t), cell=codes.astype(np.int64) & ((1 << own) - 1))
 
     by = ["dim", "label", "start", "cell"]
-    rows = nodes.select("node", "dim", "label", "v").mapInPandas(cells, "node long, dim int, label long, v array<double>, start int, cell long")
+    rows = nodes.select("node", "dim", "label", "v", "size").mapInPandas(cells, "node long, dim int, label long, v array<double>, start int, cell long")
     parts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     rows = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64("node", "start"), F.col("parts")))
 
@@ -96,29 +109,70 @@ def refine(graph: DataFrame, nodes: DataFrame, n: int, k: int, turn: int) -> Dat
     return _shortest(graph.union(rows.groupBy("group").applyInPandas(join, _PAIRS)), k)
 
 
-def audit(nodes: DataFrame, labels: DataFrame, threshold: float) -> float:
-    """Of the links of about AUDIT vectors, found by comparing these with all others, the share within one component."""
+def audit(nodes: DataFrame, labels: DataFrame, threshold: float) -> float | None:
+    """The recall of about AUDIT vectors, compared with all others: the lower of two shares of those that have links.
+
+    A vector is found if all its links are within one component. One share counts vectors; the other lets a vector with g
+    links weigh 1 / (g + 1), so that a group counts as one however large it is and can't hide small groups that are missed.
+    None if a sample with fewer than TELLING such vectors can't tell.
+    """
     known = nodes.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     total = max(1, nodes.count())
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < int(min(1.0, AUDIT / total) * (1 << 30)))
     sample = chosen.select("node", "component", "dim", "label", "v").limit(4 * AUDIT).toPandas()
-    if not len(sample):
-        return 1.0
     held = nodes.sparkSession.sparkContext.broadcast({k: (g["node"].to_numpy(), g["component"].to_numpy(), unit(matrix(g["v"]))) for k, g in sample.groupby(["dim", "label"])})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = found = 0
         for f in frames:
             for k, g in f.groupby(["dim", "label"]):
-                if k in held.value:
-                    node, component, x = held.value[k]
-                    hit = (x @ unit(matrix(g["v"])).T >= threshold) & (node[:, None] != g["node"].to_numpy()[None])
-                    links += int(hit.sum())
-                    found += int((hit & (component[:, None] == g["component"].to_numpy()[None])).sum())
-        yield pd.DataFrame({"links": [links], "found": [found]})
+                if k not in held.value:
+                    continue
+                node, component, x = held.value[k]
+                links, found = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+                ids, comp, y = g["node"].to_numpy(), g["component"].to_numpy(), unit(matrix(g["v"]))
+                for s in range(0, len(ids), CHUNK):
+                    hit = (x @ y[s : s + CHUNK].T >= threshold) & (node[:, None] != ids[None, s : s + CHUNK])
+                    links += hit.sum(1)
+                    found += (hit & (component[:, None] == comp[None, s : s + CHUNK])).sum(1)
+                yield pd.DataFrame({"node": node, "links": links, "found": found})[links > 0]
+
+    got = known.select("node", "component", "dim", "label", "v").mapInPandas(count, "node long, links long, found long")
+    got = got.groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    whole, weight = F.col("found") == F.col("links"), 1 / (F.col("links") + 1)
+    n, vectors, weights, groups = got.agg(F.count(F.lit(1)), F.count_if(whole), F.sum(weight), F.sum(F.when(whole, weight).otherwise(0.0))).first()
+    if n < TELLING and total > AUDIT:
+        return None
+    return min(vectors / n, groups / weights) if n else 1.0
+
+
+def across(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components: all vectors of a label are compared, in blocks of SIDE x SIDE rows.
+
+    a and b are components. A block gives, for each vector, ties of what it links to the least component among these, once each:
+    they connect what its links connect.
+    """
+    known = nodes.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = F.ceil(F.col("size") / SIDE).cast("int")
+    rows = known.withColumn("block", F.pmod(F.xxhash64(F.lit("across"), "node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("dim", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "component", "v")
 
-    got = known.select("node", "component", "dim", "label", "v").mapInPandas(count, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        comp, x = f["component"].to_numpy(), unit(matrix(f["v"]))
+        left, right = (f["block"] == f["lo"]).to_numpy(), (f["block"] == f["hi"]).to_numpy()
+        (ca, xa), (cb, xb) = (comp[left], x[left]), (comp[right], x[right])
+        out = [np.zeros((0, 2), np.int64)]
+        for s in range(0, len(ca), CHUNK):
+            c = ca[s : s + CHUNK]
+            hit = (xa[s : s + CHUNK] @ xb.T >= threshold) & (c[:, None] != cb[None])
+            i, j = np.nonzero(hit)
+            least = c.copy()
+            np.minimum.at(least, i, cb[j])
+            ties = np.concatenate([np.stack([cb[j], least[i]], 1), np.stack([c, least], 1)])
+            out.append(np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0))
+        ties = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": ties[:, 0], "b": ties[:, 1]})
+
+    return rows.groupBy("dim", "label", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def close(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +212,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     Equal vectors of a label are one node with a number of copies. NN-descent gives each node a list of NEIGHBOURS; lists
     whose entries all pass the threshold are saturated, and as the lists of one component overlap, all lists of a component
     are enlarged to the whole component at the end, compared in blocks: no partner is cut off. Rounds go on, with longer
-    lists, until the audited recall of links is RECALL; what NN-descent doesn't reach in MOST_ROUNDS stays unlinked.
+    lists and further cells, until the audited recall of vectors and of groups is RECALL. If it is less after MOST_ROUNDS, all
+    vectors of each label are compared in blocks, so no link is missed then; the cost of that grows with the square of a label.
+    If too few vectors have links for the audit to tell, all rounds are run, and what they don't reach stays unlinked.
 
     Null labels, null, all-zero and non-finite vectors link with nothing: 0 links, their own id. Vectors of different lengths
     aren't compared. Rows without vec_id link with nothing and have a null component; kept is true for them. Equal rows are
@@ -169,16 +225,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     same = [F.xxhash64(F.lit(s), "label", "v").alias(f"k{s}") for s in (1, 2)]
     rows = rows.select("id", "label", "v", "ok", *same)
     classes = rows.filter("ok").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("label", "id").alias("label"), F.min_by("v", "id").alias("v"))
-    nodes = keep(classes.select("k1", "k2", "node", "copies", "label", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim")))
+    nodes = keep(with_sizes(keep(classes.select("k1", "k2", "node", "copies", "label", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim")))))
     n, k = nodes.count(), NEIGHBOURS
-    graph = keep(start(nodes, n, k))
+    graph = keep(start(nodes, k))
     for turn in range(MOST_ROUNDS):
         graph = keep(refine(graph, nodes, n, k, turn))
         if turn + 1 >= LEAST_ROUNDS:
             labels = keep(components(graph.filter(F.col("cosine") >= threshold).select("a", "b")))
-            if audit(nodes, labels, threshold) >= RECALL:
+            recall = audit(nodes, labels, threshold)
+            if recall is not None and recall >= RECALL:
                 break
             k += NEIGHBOURS
+            if turn + 1 < MOST_ROUNDS:
+                graph = keep(_shortest(graph.union(start(nodes, k, turn + 1)), k))
+    else:
+        if recall is not None:
+            labels = keep(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across(nodes, labels, threshold))))
     links = close(nodes, labels, threshold)
     found = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
     found = found.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))

@@ -407,3 +407,43 @@ def test_descent(spark):
     assert [(got[i]["n_links"], got[i]["component_id"]) for i, *_ in ok] == list(zip(hit.sum(1).tolist(), comp.tolist()))
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in (6001, 7000, 7003))
     assert descent.near_vectors(vectors(spark, [])).count() == 0 and descent.near_vectors(vectors(spark, [(1, None, 1)])).count() == 1
+
+
+def group_and_pairs(group, pairs, dim=32):
+    """(vec_id, vector, label) of one group of near copies and of pairs at cosines from 0.981 to 0.99; pairs have ids (2k, 2k + 1) + group."""
+    rng = np.random.default_rng(8)
+    centre, data = rng.standard_normal(dim), []
+    data += [(k, (centre + 0.01 * rng.standard_normal(dim)).tolist(), 0) for k in range(group)]
+    for k in range(pairs):
+        x, y = (v / np.sqrt(v @ v) for v in rng.standard_normal((2, dim)))
+        y = y - (x @ y) * x
+        c = rng.uniform(0.981, 0.99)
+        data += [(group + 2 * k, x.tolist(), 0), (group + 2 * k + 1, (c * x + np.sqrt(1 - c * c) * y / np.sqrt(y @ y)).tolist(), 0)]
+    return data
+
+
+def test_descent_audit_counts_groups(spark):
+    data = group_and_pairs(300, 40)
+    nodes = spark.createDataFrame([(i, 32, 0, v) for i, v, _ in data], "node long, dim int, label long, v array<double>")
+    found = spark.createDataFrame([(k, 0) for k in range(300)] + [(300 + 2 * (k // 2), 300 + 2 * (k // 2)) for k in range(20)], "id long, component long")
+    assert descent.audit(nodes, found, 0.98) < 0.1  # the group's 89,700 links hide the 40 pairs, all of which are missed
+    pairs = spark.createDataFrame([(k, 300 + 2 * ((k - 300) // 2) if k >= 300 else 0) for k in range(380)], "id long, component long")
+    assert descent.audit(nodes, pairs, 0.98) == 1.0
+
+
+def test_descent_finds_pairs_beside_a_group(spark, monkeypatch):
+    for name, value in (("STARTS", 1), ("CELL", 2), ("LEAST_ROUNDS", 1), ("MOST_ROUNDS", 1), ("SIDE", 128), ("CHUNK", 50)):
+        monkeypatch.setattr(descent, name, value, raising=False)
+    data = group_and_pairs(300, 100)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_vectors(vectors(spark, data)).collect()}
+    assert all(got[300 + 2 * k + s] == (1, 300 + 2 * k) for k in range(100) for s in (0, 1))
+    assert {got[k] for k in range(300)} == {(299, 0)}
+
+
+def test_descent_cells_by_label(spark, monkeypatch):
+    monkeypatch.setattr(descent, "STARTS", 1)
+    rng = np.random.default_rng(9)
+    data = [(k, rng.standard_normal(16).tolist(), 0 if k < 4000 else 1) for k in range(4040)]
+    nodes = spark.createDataFrame([(i, 16, l, v) for i, v, l in data], "node long, dim int, label long, v array<double>")
+    lists = descent.start(descent.with_sizes(nodes), 100).filter("a >= 4000").groupBy("a").count().collect()
+    assert {r["count"] for r in lists} == {39} and len(lists) == 40  # a label that fits in one cell isn't cut, whatever the others hold
