@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, datetime, time, timedelta, timezone
 from functools import partial
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,52 @@ from curbstone.operators.reconcile import guard_fails
 from curbstone.plans import api
 from curbstone.session import materialized
 from curbstone.sources.contract import compare
-from curbstone.sources.feed import PAGE, from_features, keys_where, newer_where, pages, slice_where
+from curbstone.sources.feed import KEYS, PAGE, from_features, keys_where, newer_where, pages, slice_where, with_retries
 from curbstone.sources.store import Busy, Store, utc_now
 
 OVERLAP, EVERY, RECONCILE_AT, KEEP_PAGES = timedelta(minutes=60), timedelta(minutes=15), time(3, 30), timedelta(days=30)
+#: What a scan of keys reads of each row.
+KEY_FIELDS = ("OBJECTID", "ReferenceNumber", "DateUpdated")
 #: Pages that one batch of a backfill applies together: only the current table is rewritten for each batch.
 BATCH_PAGES = 50
 EXIT = {"Succeeded": 0, "Failed": 1, "Skipped": 3, "SchemaDrift": 4}
 
 
 class Feed:
-    """What a job needs of a source: query(where, size) -> page, count(where) -> int, describe() -> layer."""
+    """What a job needs of a source: query(where, size) -> page, count(where) -> int, describe() -> layer.
 
-    def __init__(self, query: Callable[[str, int], dict], count: Callable[[str], int], describe: Callable[[], dict]):
-        self.query, self.count, self.describe = query, count, describe
+    keys(where, size), query by default, gives pages that need only have the fields KEY_FIELDS. query and keys are sent to tasks.
+    """
+
+    def __init__(self, query: Callable[[str, int], dict], count: Callable[[str], int], describe: Callable[[], dict], keys: Callable[[str, int], dict] | None = None):
+        self.query, self.count, self.describe, self.keys = query, count, describe, keys or query
+
+
+# What tasks fetch.
+def key_scan(spark: SparkSession, query: Callable[[str, int], dict], last: int, ranges: int, size: int = PAGE) -> DataFrame:
+    """Features (feature) with KEY_FIELDS alone of the whole feed: tasks fetch (0, last] in ranges of OBJECTID, and what is above it."""
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = lambda w, n: with_retries(lambda: query(w, n))
+        for k in (int(k) for f in frames for k in f["id"]):
+            where = f"1=1 AND OBJECTID <= {last * (k + 1) // ranges}" if k < ranges else "1=1"
+            for _, page in pages(ask, where, last * k // ranges, size):
+                yield pd.DataFrame({"feature": [json.dumps({"attributes": {n: f["attributes"].get(n) for n in KEY_FIELDS}}) for f in page["features"]]})
+
+    return spark.range(0, ranges + 1, 1, ranges + 1).mapInPandas(fetch, "feature string")
+
+
+def fetched(keys: DataFrame, query: Callable[[str, int], dict], size: int = PAGE) -> DataFrame:
+    """(payload, features) of the pages with the rows of keys (reference_number), fetched by tasks in lists of KEYS."""
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = lambda w, n: with_retries(lambda: query(w, n))
+        for f in frames:
+            for where in keys_where(f["reference_number"].tolist()):
+                for _, page in pages(ask, where, 0, size):
+                    yield pd.DataFrame({"payload": [json.dumps(page).encode()], "features": [[json.dumps(x) for x in page["features"]]]})
+
+    return keys.select("reference_number").mapInPandas(fetch, "payload binary, features array<string>")
 
 
 # Watermarks.
@@ -206,12 +240,14 @@ class Jobs:
 
         def work(run: dict, now: datetime) -> dict:
             stamp = F.lit(now).cast("timestamp")
-            found = [p for _, p in pages(self.feed.query, "1=1", 0, self.page_size)]
-            raw = from_features(self._raw(found))
+            current = self.store.read("service_request")
+            held = current.agg(F.coalesce(F.max("object_id"), F.lit(0)), F.count(F.lit(1))).first()
+            ranges = max(1, math.ceil(held[1] / (self.page_size * self.batch_pages)))
+            raw = from_features(key_scan(self.spark, self.feed.keys, held[0], ranges, self.page_size))
             ok = raw.filter(reject_reason(F.col("object_id"), F.col("reference_number"), F.col("date_updated")).isNull())
             keys = ok.select(null_if_blank(F.col("reference_number")).alias("reference_number"), epoch_time(F.col("date_updated"), stamp)[0].alias("updated_utc"))
             keys = materialized(keys.groupBy("reference_number").agg(F.max("updated_utc").alias("served_utc")))
-            n, current = keys.count(), self.store.read("service_request")
+            n = keys.count()
             good = [r["keys"] for r in self.store.runs() if r["job"] == "reconcile" and r["status"] == "Succeeded" and "keys" in r]
             if guard_fails(n, good[-1] if good else current.filter("source_removed_utc is null").count()):
                 raise ValueError(f"only {n} keys served; nothing is marked as removed")
@@ -223,15 +259,18 @@ class Jobs:
                 "source_removed_utc", F.when(gone, stamp).when(~back, F.col("source_removed_utc"))
             )
             again = keys.join(current.select("reference_number", "updated_utc"), "reference_number", "left")
-            again = again.filter(F.col("updated_utc").isNull() | (F.col("served_utc") > F.col("updated_utc"))).select("reference_number").orderBy("reference_number")
-            wanted = [r[0] for r in again.toLocalIterator()]
+            again = again.filter(F.col("updated_utc").isNull() | (F.col("served_utc") > F.col("updated_utc"))).select("reference_number")
+            again = materialized(again)
+            wanted = again.count()
             self.store.commit(replace={"service_request": materialized(table.drop("served_utc"))})
             total: dict = {}
-            for where in keys_where(wanted):
-                for k, v in self._pull(run, now, where).items():
-                    if k not in ("seen", "done"):
-                        total[k] = total.get(k, 0) + v
-            return counts | total | {"keys": n, "refetched": len(wanted)}
+            if wanted:
+                found = materialized(fetched(again.repartition(math.ceil(wanted / (KEYS * self.batch_pages))), self.feed.query, self.page_size))
+                kept = found.select(F.lit(run["job"]).alias("pipeline"), stamp.alias("fetched_utc"), "payload", F.sha2("payload", 256).alias("sha256"))
+                self.store.commit(append={"raw_page": kept})
+                total = self.apply(found.select(F.explode("features").alias("feature")), run, now) | {"pages": found.count()}
+                del total["seen"]
+            return counts | total | {"keys": n, "refetched": wanted}
 
         return self._run("reconcile", work)
 

@@ -1,3 +1,4 @@
+import json
 from datetime import date, datetime, time, timedelta, timezone
 
 import pytest
@@ -96,6 +97,27 @@ def test_incremental_reconcile_and_guard(spark, tmp_path):
         j.reconcile()
 
 
+def test_reconcile_fetches_in_tasks(spark, tmp_path):
+    fake, j = make(spark, tmp_path, [feature(k * 3, f"R{k:03d}") for k in range(1, 41)])
+    j.refresh_if_due = j.check = lambda _: None
+    j.backfill()
+    j.batch_pages = 2
+    fake.features = [*fake.features[1:], *(feature(200 + k, f"N{k:03d}", "2026-01-01T00:00:00") for k in range(12)), feature(300, "R009", "2026-09-30T00:00:00", PublicStatus="CLOSED"), feature(301, " ")]
+    fake.calls.clear()
+    run = j.reconcile()
+    assert (run["keys"], run["removed"], run["refetched"], run["inserted"], run["updated"], run["pages"]) == (51, 1, 13, 12, 1, 3)
+    assert not fake.calls  # no page, and so no list of keys, came by way of the driver
+    assert j.store.read("service_request").filter("source_removed_utc is null").count() == 51
+
+
+def test_key_scan_reads_keys_and_times(spark):
+    fake = FakeFeed([feature(k * 3, f"R{k:03d}") for k in range(1, 41)])
+    for last, ranges in ((0, 1), (50, 4), (120, 3), (5, 9)):
+        rows = jobs.key_scan(spark, fake.feed().keys, last, ranges, 5).collect()
+        assert sorted(json.loads(r[0])["attributes"]["OBJECTID"] for r in rows) == [k * 3 for k in range(1, 41)]
+        assert all(set(json.loads(r[0])["attributes"]) == set(jobs.KEY_FIELDS) for r in rows)
+
+
 def test_drift_and_lock_write_nothing(spark, tmp_path):
     fake, j = make(spark, tmp_path, FEATURES)
     fake.layer["fields"][3]["type"] = "esriFieldTypeInteger"
