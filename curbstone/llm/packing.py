@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -21,13 +22,19 @@ GAP, GRID = 128, 32
 #: Tokens planned at once; of these the last TAIL stay open and are planned again with what follows.
 PLAN, TAIL = 1 << 18, 4 * WINDOW
 END_ID = 0
+#: Runs of so much white space are cut out of a text before its pattern is run, as the pattern goes back over them step by step.
+LONG_BLANK = 1000
+#: White space as the pattern's \s has it: a fixed value of Unicode.
+BLANKS = "\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Encoder:
     """The ids that the library tokenizers gives for a byte-level BPE file, by tiktoken's faster code.
 
     Ranks are the file's own ids, which for this vocabulary are in the order of its merges; tests hold the ids against
-    tokenizers. Special tokens' strings in a text are ordinary text. Words split by the usual byte-level pattern.
+    tokenizers. Special tokens' strings in a text are ordinary text. Words split by the usual byte-level pattern, by
+    which a run of white space is one piece, less its last character where something follows that isn't white space.
+    Long runs are taken apart by that rule and not by the pattern, whose stack they would overflow.
     """
 
     #: The pattern of the byte-level pre-tokenizer: a fixed value of the file format.
@@ -42,6 +49,7 @@ class Encoder:
         to_byte = self._bytes()
         ranks = {bytes(to_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         self._encoding = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._long_blank = re.compile(f"[{BLANKS}]{{{LONG_BLANK},}}")
         #: For each id, whether a sentence may end with it.
         self.ends = np.zeros(max(ranks.values()) + 1, bool)
         for word, i in ranks.items():
@@ -55,7 +63,13 @@ class Encoder:
         return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(other)}
 
     def ids(self, text: str) -> np.ndarray:
-        return self._encoding.encode_to_numpy(text, disallowed_special=())
+        encode = lambda t: self._encoding.encode_to_numpy(t, disallowed_special=())
+        parts, at = [], 0
+        for m in self._long_blank.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            parts += [encode(text[at : m.start()]), np.array(self._encoding._encode_single_piece(text[m.start() : stop]), np.uint32)]
+            at = stop
+        return np.concatenate([*parts, encode(text[at:])]) if parts else encode(text)
 
 
 def plan(nodes: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -172,22 +186,24 @@ class _Stream:
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, with_ids: bool = False, as_it_lies: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most WINDOW tokens: PIECES, and ids (array<int>) if asked for.
 
     A document is its ids and then END_ID. Documents are ordered by key across partitions (range partitioning; null
-    keys last, equal keys by the text's hash) and stay in that order within sequences. Each task reads its documents as a
-    stream and holds a bounded number of tokens and one batch of texts; a retried task makes the same pieces, as its rows
-    come sorted. sequence_id is the partition's number x 2**40 plus a count. Sequences don't cross partitions: what is
+    keys last, equal keys by the text's hash) and stay in that order within sequences. With as_it_lies they are taken in the
+    order of docs' own partitions, without a shuffle: for a table whose files hold an order, as a mix does. Each task reads
+    its documents as a stream and holds a bounded number of tokens and one batch of texts; a retried task makes the same
+    pieces, as its rows come sorted or from the same part of a file. sequence_id is the partition's number x 2**40 plus a count. Sequences don't cross partitions: what is
     left at a partition's end is split at powers of two where that saves padding.
 
-    A null text is empty: one piece with END_ID alone. Equal rows are packed separately. An empty table gives no rows.
+    A null text is empty: one piece with END_ID alone. Any text has ids, a run of millions of blanks or of one letter too. Equal rows are packed separately. An empty table gives no rows.
     Only key and text are read, so other columns and their names don't matter. vocabulary is a byte-level BPE file
     that every executor can open.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if not as_it_lies:
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
     schema = pa.schema(list(zip([*PIECES, *["ids"] * with_ids], types)))
 

@@ -320,6 +320,31 @@ def test_encoder_gives_the_ids_of_tokenizers():
         assert e.ids(s).tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_encoder_on_endless_runs():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    t.encode_special_tokens = True
+    n = 1_100_000
+    many = [" " * 2 * n, "a" + " " * n, "a" + " " * n + "b", "x" + "\t" * n + "y", "\n" * n + "z.", "q" * n, ("a \n\t\u3000" * 5 + "  " * 3000 + "\n" * 1500 + " b") * 9]
+    many += [" " * 999 + "x" + " " * 1000 + "'s" + " " * 1001 + "1" + "\t" * 1000 + "\x1c" * 1000, "\x1c" * 5000 + " " * 2000 + "\u2028" * 1500 + "é"]
+    for s in many:
+        assert e.ids(s).tolist() == t.encode(s, add_special_tokens=False).ids, s[:20]
+
+
+def test_packing_survives_a_run_of_blanks(spark):
+    data = [(1, "a" + " " * 2_000_000, "s"), (2, "b", "s"), (3, " " * 1_500_000 + "c", "s")]
+    got = packing.pack(docs(spark, data), VOCABULARY).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"]: (r["n"], r["t"]) for r in got} == {1: (2_000_002, 2_000_002), 2: (2, 2), 3: (1_500_001, 1_500_001)}
+
+
+def test_packing_as_it_lies(spark):
+    """Sequences follow the order of the rows, whatever their keys."""
+    data = [(k * 7919 % 500, f"Document {k} is short.", "s") for k in range(500)]
+    got = packing.pack(docs(spark, data).coalesce(1), VOCABULARY, as_it_lies=True).orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in got if r["start"] == 0] == [i for i, *_ in data]
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
