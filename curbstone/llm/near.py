@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbstone.llm.common import keep, keep_table
@@ -18,12 +18,14 @@ from curbstone.llm.wordhash import SPACE, mix, text_groups, word_hashes
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Minima in a signature: BANDS x ROWS. At similarity 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
-#: Share of equal minima below which a pair isn't compared on full sets: 4 standard deviations under 0.75 for 128 minima.
-LEAST_AGREEMENT = 0.59
 #: Documents of a star, or of one side of a block of a bucket, that one group holds.
 STAR, BLOCK = 128, 512
-#: Rows up to which the documents that need their sets are sent to all executors (about 100 bytes each), not shuffled.
-BROADCAST_ROWS = 200_000
+#: Shingles that a block's sets are compared on at a time.
+WIDE = 8192
+#: Bits of the filter that finds the documents whose sets are needed: 2 MB, sent to all executors.
+FILTER_BITS = 1 << 24
+#: Centres of large stars up to which their numbers of parts are sent to all executors (about 30 bytes each), not shuffled.
+BROADCAST_ROWS = 20_000
 #: Over so many parts the rows of a text with many copies are spread.
 SALTS = 16
 #: Texts hashed together.
@@ -92,25 +94,43 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, words binary, n long, bands array<long>")
 
 
+def _perhaps(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): a filter of FILTER_BITS bits, one set for each id, in rows of 4 KB; its size doesn't depend on the ids."""
+    bit = _filter_bit()
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def _filter_bit() -> Column:
+    return F.pmod(F.xxhash64(F.lit("sets"), "id"), F.lit(FILTER_BITS))
+
+
 def _with_sets(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(group, side, node, component, shingles) for each row of targets (id, group, side, component): the sets of docs (id, text)."""
-    wanted = keep(targets.groupBy("id").agg(F.collect_set(F.struct("group", "side", "component")).alias("goals")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = docs.join(wanted, "id").select("id", "text", "goals")
-    schema = pa.schema([("group", pa.string()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("shingles", pa.binary())])
+    """(group, side, node, component, shingles) for each row of targets (id, group, side, component): the sets of docs (id, text).
+
+    Texts that aren't wanted are left out by a filter of fixed size, sent to all executors, before their sets are made; what the
+    filter lets through by chance goes in the join of sets and targets. So texts aren't shuffled, and no broadcast
+    grows with the data. A task gives the set of an id and its words once.
+    """
+    place = F.bitmap_bit_position(_filter_bit())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.withColumn("bucket", F.bitmap_bucket_number(_filter_bit())).join(F.broadcast(_perhaps(targets.select("id"))), "bucket")
+    rows = rows.filter(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int")) != 0).select("id", "text")
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, bytes]] = set()
         for batch in batches:
-            ids, goals = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids = batch.column(0).to_pylist()
             for first, part in text_groups(batch.column(1), GROUP_BYTES):
-                out: list[tuple] = []
-                for k, (_, s) in enumerate(shingle_sets(part), first):
-                    raw = s.tobytes()
-                    out += [(g["group"], g["side"], ids[k], g["component"], raw) for g in goals[k]]
+                out: list[tuple[int, bytes]] = []
+                for k, (words, s) in enumerate(shingle_sets(part), first):
+                    if (ids[k], words) not in given:
+                        given.add((ids[k], words))
+                        out.append((ids[k], s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    return rows.mapInArrow(run, "group string, side int, node long, component long, shingles binary")
+    sets = rows.mapInArrow(run, "id long, shingles binary")
+    return sets.join(targets.distinct(), "id").select("group", "side", F.col("id").alias("node"), "component", "shingles")
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -141,12 +161,40 @@ def _star_edges(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, by products of matrices of WIDE shingles at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = (times > 1)[column]  # the others are in no intersection
+    column, row = (np.cumsum(times > 1) - 1)[column[often]], row[often]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        part = slice(*np.searchsorted(column, [at, at + WIDE]))
+        held = np.zeros((len(sets), WIDE), np.float32)
+        held[row[part], column[part] - at] = 1
+        out += np.rint(held @ held.T).astype(np.int64)
+    return out
+
+
 def block_edges(nodes: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that join the components of all linked pairs of one block, given the components known before.
 
-    Pairs are compared between sides 0 and 1, or all pairs if there is one side. Pairs in one component, or whose
-    signatures agree too little, are passed over; the rest are compared on full sets.
+    Pairs are of sides 0 and 1, or all pairs if there is one side. Full sets are compared, of every pair that isn't in
+    one component already and whose sizes allow a link.
     """
+    sizes, side, label = np.array([len(s) for s in sets]), np.array(sides), np.array(labels)
+    small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+    may = (DENOMINATOR * small >= NUMERATOR * large) & (label[:, None] != label)
+    if len(set(sides)) > 1:
+        may &= side[:, None] != side
+    some = np.flatnonzero(may.any(1))
+    if not len(some):
+        return []
+    same = shared([sets[k] for k in some])
+    hit = may[np.ix_(some, some)] & (DENOMINATOR * same >= NUMERATOR * (sizes[some][:, None] + sizes[some] - same))
     up = {c: c for c in labels}
 
     def top(c: int) -> int:
@@ -154,29 +202,12 @@ def block_edges(nodes: list[int], sides: list[int], labels: list[int], sets: lis
             up[c] = c = up[up[c]]
         return c
 
-    signs = np.array([signature(s) for s in sets])
-    sizes, side = np.array([len(s) for s in sets]), np.array(sides)
-    both = len(set(sides)) > 1
-    tops = np.array([top(c) for c in labels])
     found = []
-    for i in range(len(nodes)):
-        rest = slice(i + 1, None)
-        may = (tops[rest] != tops[i]) & ((side[rest] != side[i]) | (not both))
-        small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        may &= DENOMINATOR * small >= NUMERATOR * large
-        may = np.flatnonzero(may) + i + 1
-        if not len(may):
-            continue
-        may = may[(signs[may] == signs[i]).mean(1) >= LEAST_AGREEMENT]
-        changed = False
-        for j in may.tolist():
-            a, b = top(labels[i]), top(labels[j])
-            if a != b and linked(sets[i], sets[j]):
-                up[max(a, b)] = min(a, b)
-                found.append((nodes[i], nodes[j]))
-                changed = True
-        if changed:
-            tops = np.array([top(c) for c in labels])
+    for i, j in zip(*(some[x].tolist() for x in np.nonzero(np.triu(hit)))):
+        a, b = top(labels[i]), top(labels[j])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            found.append((nodes[i], nodes[j]))
     return found
 
 
@@ -216,9 +247,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
        words are one node, the smallest doc_id.
     2. Nodes that share a band are a bucket. Its centre is the member whose buckets are largest in all, as a text that
        many copies come from is. Members are compared with their centres on full sets: at most BANDS pairs a node.
-    3. What then still is apart in a bucket is compared pair by pair in blocks of BLOCK x BLOCK, by signatures and then by
-       full sets, giving only edges that join components. So no pair that shares a band is left out, while groups
-       of copies, already joined in step 2, cost nothing here. Buckets with the same members are compared once.
+    3. What then still is apart in a bucket is compared on full sets in blocks of BLOCK x BLOCK, giving only edges that join
+       components. So no pair that shares a band is left out, while groups of copies, already joined in step 2, cost
+       nothing here. Buckets with the same members are compared once. A bucket of n texts that resemble nothing costs
+       n / BLOCK copies of each set, the price of looking at all its pairs.
     4. Components come from alternating large-star and small-star.
 
     Large stars and buckets are split over groups of bounded size. A null or blank text has no shingles and is linked with

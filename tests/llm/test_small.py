@@ -233,6 +233,28 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert got == brute_near(items)
 
 
+def test_block_compares_on_full_sets():
+    """Pairs at exactly the threshold whose minima agree in less than 59 % of all cases are linked as any other."""
+    rng, seen = np.random.default_rng(11), []
+    while len(seen) < 6:
+        x = rng.integers(0, 1 << 62, (4000, 80), dtype=np.uint64)
+        for row in x:
+            a, b = np.sort(row[:70]), np.sort(np.concatenate([row[:60], row[70:]]))
+            if (near.signature(a) == near.signature(b)).mean() < 0.64:
+                seen.append((a, b))
+    for a, b in seen:
+        assert near.linked(a, b) and near.block_edges([1, 2], [0, 0], [1, 2], [a, b]) == [(1, 2)]
+        assert near.block_edges([1, 2], [0, 1], [1, 2], [a, b]) == [(1, 2)] and near.block_edges([1, 2], [0, 0], [1, 1], [a, b]) == []
+
+
+def test_shared_counts_all_intersections(monkeypatch):
+    monkeypatch.setattr(near, "WIDE", 7)
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
+    got = near.shared(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+
+
 def test_near_odd(spark):
     got = near.near_duplicates(docs(spark, ODD)).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == [
