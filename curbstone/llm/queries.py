@@ -25,8 +25,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mix(table(spark, sf_dir, "documents"))
-    same = ["skey", "shuffled", "doc_id", "size", "source_size", "target"]
-    return pieces.groupBy(*same).agg(F.sum("words").alias("taken")).drop("skey", "shuffled")
+    same = ["h", "digest", "copy", "doc_id", "size", "source_size", "target"]
+    return pieces.groupBy(*same).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).drop("h", "digest", "copy")
 
 
 def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def rows(df, *columns):
 
 
 def test_mix(spark):
-    got = mixing.mix(docs(spark, ODD)).groupBy("skey", "shuffled", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    got = mixing.mix(docs(spark, ODD)).groupBy("h", "digest", "copy", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     got = got.collect()
     assert len(got) == len(ODD) and sum(r["taken"] for r in got) == pytest.approx(sum(r["size"] for r in got), abs=3)
     assert all(r["taken"] <= 3 * r["size"] for r in got) and {r["size"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
@@ -63,8 +63,9 @@ def test_mix_targets_and_order(spark):
     for s, t in want.items():
         r = by["n" if s is None else "s" + s]
         assert r["t"] == pytest.approx(t) and abs(r["n"] - t) <= 1
-    # Every block has one slot; any run of slots has the sources near their shares.
+    # Every block has one slot, which no other source has; any run of slots has the sources near their shares.
     slots = got.filter("slot is not null").select("slot", "skey").distinct().orderBy("slot").collect()
+    assert got.filter("lap is not null and slot is null").count() == 0
     assert len({r["slot"] for r in slots}) == len(slots)
     half = [r["skey"] for r in slots[: len(slots) // 2]]
     for s, t in want.items():
@@ -73,6 +74,51 @@ def test_mix_targets_and_order(spark):
     assert rows(got, "doc_id", "slot", "first", "words") == rows(mixing.mix(df.repartition(7), block=16), "doc_id", "slot", "first", "words")
 
 
+def test_mix_takes_what_has_a_slot(spark, monkeypatch):
+    df = docs(spark, [(k, "w " * 40, "ab"[k % 2]) for k in range(60)])
+    whole, real = mixing.mix(df, block=16), mixing.schedule
+
+    def half(*a):
+        slots, n = real(*a)
+        return slots.filter("slot % 2 = 0"), n
+
+    monkeypatch.setattr(mixing, "schedule", lambda *a: (real(*a)[0].limit(0), real(*a)[1]))
+    assert mixing.mix(df, block=16).agg(F.sum("words")).first()[0] == 0 and mixing.mixed_documents(df, block=16).count() == 0
+    monkeypatch.setattr(mixing, "schedule", half)
+    assert 0.4 < mixing.mix(df, block=16).agg(F.sum("words")).first()[0] / whole.agg(F.sum("words")).first()[0] < 0.6
+
+
+def test_points_of_the_schedule(spark):
+    ids = [1, 2, 3, 1 << 20, (1 << 31) + 5, (1 << 40) + 77, (1 << 47) + 1]
+    got = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", mixing._point(F.col("i")).alias("u")).collect()
+    assert all(r["u"] == r["i"] * mixing.GOLDEN % (1 << 48) for r in got)
+
+
+def test_mixed_documents_keep_rows_apart(spark, monkeypatch):
+    """Rows that share key, source and text but not another column, and rows that share all; the order is that of the slots."""
+    monkeypatch.setattr(mixing, "SALTS", 4)
+    monkeypatch.setattr(mixing, "COPIES", 8)
+    data = [(1, "one two three", lang, "a", None) for lang in ("en", "de", "fr")] + [(2, "x y z", "en", "a", {"k": "v"})] * 30
+    data += [(k, "word " * 50, "en", "b", {"k": str(k)}) for k in range(100, 140)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, tags map<string, string>")
+    got = mixing.mixed_documents(df, block=16).collect()
+    times = {}
+    for r in got:
+        times.setdefault((r["doc_id"], r["lang"]), []).append(r)
+    assert {k for k in times if k[0] == 1} == {(1, "en"), (1, "de"), (1, "fr")} and 60 <= len(times[2, "en"]) <= 90
+    assert all(r["text"] == "x y z" and r["tags"] == {"k": "v"} for r in times[2, "en"])
+    assert {len(times[1, lang]) for lang in ("en", "de", "fr")} <= {2, 3}
+    # Any beginning of the mix has the sources near their shares.
+    words = [(r["source"], len(r["text"].split())) for r in got]
+    total = sum(n for _, n in words)
+    for part in (0.25, 0.5, 0.75):
+        held, by = 0, {"a": 0, "b": 0}
+        for source, n in words:
+            if held < part * total:
+                held, by[source] = held + n, by[source] + n
+        assert abs(by["a"] - held * sum(n for s, n in words if s == "a") / total) <= 80
+
+
 def test_lines(spark):
     df = docs(spark, ODD + [(k, f"Menu \nbody {k}\r\n\nmenu2", "a") for k in range(10, 30)])
     want = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(df).collect()}
