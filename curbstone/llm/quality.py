@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbstone.llm.common import keep
+from curbstone.llm.common import keep, keep_table
 from curbstone.llm.wordhash import EDGE, SPACE, text_groups, word_hashes
 
 #: About so many labelled rows, chosen by hash, fit the classifier; more are not read.
@@ -125,8 +125,9 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     """A model fitted on about `sample` rows of labels (doc_id, quality, toxic) whose documents are there.
 
-    The rows are chosen by a hash of doc_id. Executors turn their texts into features; the driver gets those alone, so
-    its memory depends on `sample`, not on the input. A null label isn't used; without labels every document is good.
+    The rows are chosen by a hash of doc_id. Executors turn their texts into features; the driver gets those alone: at most
+    BUCKETS hashed words (4 bytes each) for each row of the sample, however long texts and however large the input. A null
+    label isn't used; without labels every document is good.
     """
     chosen = labels.select(F.col("doc_id").alias("__id"), (1 - F.col("quality")).cast("double").alias("__bad"), F.col("toxic").cast("double").alias("__toxic"))
     share = min(1.0, sample / max(1, chosen.count()))
@@ -148,18 +149,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return fit(ids, stats, given)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the classifier's probabilities __good and __toxic."""
+def score(docs: DataFrame, model: Model, text: str = "text", with_text: bool = True) -> DataFrame:
+    """docs, without their texts if asked for, with the classifier's probabilities __good and __toxic."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tuple(model))  # its size is fixed by BUCKETS
+    given = [f for f in docs.schema.fields if with_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in given]
         for batch in batches:
             z = np.array([log_odds(held.value, *f) for _, group in text_groups(batch.column(text), GROUP_BYTES) for f in features(group)]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(z * [-1, 1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*batch.schema.names, "__good", "__toxic"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*names, "__good", "__toxic"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__good", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
+    schema = T.StructType([*given, T.StructField("__good", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -179,7 +182,7 @@ def posteriors(scored: DataFrame, site: Column, path: Column) -> DataFrame:
     paths = scored.groupBy(site.alias("__site"), path.alias("__path")).agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(f"__{p}").alias(p) for p in names), *(F.sum(F.col(f"__{p}") * F.col(f"__{p}")).alias(f"{p}2") for p in names)
     )
-    paths = keep(paths)  # the texts are scored for it, once
+    paths = keep(paths)
     sites = paths.groupBy("__site").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic", "good2", "toxic2")))
     whole = sites.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "good", "toxic", "good2", "toxic2"))).first()
     n = max(1, whole["n"])
@@ -210,14 +213,15 @@ def posteriors(scored: DataFrame, site: Column, path: Column) -> DataFrame:
     )
 
 
-def classify(docs: DataFrame, model: Model, site: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Model, site: str = "source", path: str = "lang", text: str = "text", with_text: bool = True) -> DataFrame:
     """docs with p_good, p_toxic (posteriors) and keep: p_good >= GOOD and p_toxic <= TOXIC.
 
     The classifier's log-odds are shifted by those of the document's path against the whole corpus. A path's rate is
     the sum of its other documents' probabilities, shrunk toward its site's rate, itself shrunk toward the global
     one; sparse paths and sites thus get their parents' rates. All documents count in the sums, and a document never
-    counts for itself. Texts are scored twice, once for the sums and once with them, so that no text is shuffled:
-    up to BROADCAST_PATHS rows of sums (counted first) are sent to all executors, more are joined over SALTS copies.
+    counts for itself. Texts are scored once: rows and probabilities are kept as a table in the shared folder, without the texts
+    where with_text is false (the result has no text column then). No text is shuffled: up to BROADCAST_PATHS rows of sums
+    (counted first) are sent to all executors, more are joined over SALTS copies.
 
     A null text is empty. Null sites and paths are groups of their own. Equal rows count and get equal results. An empty
     table gives no rows. Columns named p_good, p_toxic or keep are replaced, other columns stay.
@@ -225,15 +229,14 @@ def classify(docs: DataFrame, model: Model, site: str = "source", path: str = "l
     docs = docs.drop("p_good", "p_toxic", "keep")
     names = ("good", "toxic")
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    narrow = docs.select(F.col(text).alias("text"), key(site).alias("site"), key(path).alias("path"))
-    sums = keep(posteriors(score(narrow, model), F.col("site"), F.col("path")))
-    scored = score(docs, model, text).withColumn("__s", key(site)).withColumn("__p", key(path))
+    scored = keep_table(score(docs, model, text, with_text)).withColumn("__s", key(site)).withColumn("__p", key(path))
+    sums = keep(posteriors(scored, F.col("__s"), F.col("__p")))
     on = (F.col("__s") == F.col("__site")) & (F.col("__p") == F.col("__path"))
     if sums.count() <= BROADCAST_PATHS:
         rows = scored.join(F.broadcast(sums), on)
     else:
         salted = sums.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = scored.withColumn("__salt", F.pmod(F.xxhash64(F.col(text), "__good"), F.lit(SALTS)).cast("int"))
+        rows = scored.withColumn("__salt", F.pmod(F.xxhash64("__good", "__toxic"), F.lit(SALTS)).cast("int"))
         rows = rows.join(salted, on & (F.col("__salt") == F.col("__salt2")))
 
     def posterior(p: str) -> Column:
@@ -242,5 +245,5 @@ def classify(docs: DataFrame, model: Model, site: str = "source", path: str = "l
         of_path = (F.col(f"path_{p}") - own + F.col(f"kappa_path_{p}") * of_site) / (F.col("path_n") - 1 + F.col(f"kappa_path_{p}"))
         return 1 / (1 + F.exp(-(_logit(own) + _logit(of_path) - _logit(F.col(f"all_{p}")))))
 
-    out = rows.select(*(F.col(c) for c in docs.columns), *(posterior(p).alias(f"p_{p}") for p in names))
+    out = rows.select(*(F.col(c) for c in docs.columns if with_text or c != text), *(posterior(p).alias(f"p_{p}") for p in names))
     return out.withColumn("keep", (F.col("p_good") >= GOOD) & (F.col("p_toxic") <= TOXIC))

@@ -62,8 +62,8 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rated = classify(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rated = classify(docs, train_quality(docs, table(spark, sf_dir, "labels")), with_text=False)
     return rated.select("doc_id", *(F.round(p, 6).alias(p) for p in ("p_good", "p_toxic")), "keep")
 
 

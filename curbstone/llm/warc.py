@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbstone.llm.common import keep, shared_dir
+from curbstone.llm.common import keep, new_folder
 from curbstone.llm.zips import data_offset, directory
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -223,5 +223,5 @@ def _row(data: bytes) -> tuple:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for packages in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/curbstone/warc-{uuid.uuid4().hex}"
+    """A new folder for packages in the shared folder; it is deleted when the session's program ends."""
+    return new_folder(spark, "warc-")
