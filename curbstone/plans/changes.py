@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curbstone.operators.classify import clear_out_days, sweep_minutes, with_bulk
 from curbstone.plans import domain as D
-from curbstone.plans.figures import COUNTS_SQL, PERIODS
+from curbstone.plans.figures import CUBE_SQL
 from curbstone.plans.registry import add
 
 # What is held: newest versions of odd objects. A batch: newest versions of the others and of every fifth.
@@ -68,13 +68,14 @@ def from_rule(spark, d):
 add("agg32_clear_outs_from_rule", from_rule, f"{D.SQL} SELECT closed_date, category_group, count(*) AS n, sum(hundredths)::BIGINT AS hundredths FROM requests WHERE bulk GROUP BY ALL")
 
 
-def busiest_cells(spark, d):
-    """AGG-7, SORT-5: cells that have any count in the last 30 days, most opened first."""
-    from curbstone.operators.cube import window_counts
+def counted_cells(spark, d):
+    """AGG-7, SORT-5: every cell that has any count or value in the last 30 days, most opened first."""
+    from curbstone.operators.cube import window_cube
 
-    rows = window_counts(D.requests(spark, d), D.as_of(), D.WINDOWS).filter("window_days = 30 and period = 'current' and opened_count > 0")
-    return rows.select("neighborhood_slug", "district_number", "category_group", "opened_count").orderBy(F.desc("opened_count"), "neighborhood_slug", "district_number", "category_group").limit(25)
+    rows = window_cube(D.requests(spark, d), D.as_of(), D.WINDOWS).filter("window_days = 30 and period = 'current'")
+    order = [F.desc("opened_count"), "neighborhood_slug", "district_number", "category_group"]
+    return rows.select("neighborhood_slug", "district_number", "category_group", "opened_count", "closed_count", "excluded_count", "bulk_closed_count").orderBy(*order)
 
 
-add("agg7_sort5_busiest_cells", busiest_cells, f"""{D.SQL}, {PERIODS}, {COUNTS_SQL} SELECT neighborhood_slug, district_number, category_group, opened_count FROM counts
-  WHERE window_days = 30 AND period = 'current' AND opened_count > 0 ORDER BY opened_count DESC, neighborhood_slug, district_number, category_group LIMIT 25""")
+add("agg7_sort5_counted_cells", counted_cells, f"""{CUBE_SQL} SELECT neighborhood_slug, district_number, category_group, opened_count, closed_count, excluded_count, bulk_closed_count FROM cube
+  WHERE window_days = 30 AND period = 'current'""")

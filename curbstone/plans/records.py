@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curbstone.functions.maps import category_map, flag_map, neighborhood_map, source_map
+from curbstone.functions.maps import NEIGHBORHOODS, category_map, flag_map, neighborhood_map, slug_of, source_map
 from curbstone.functions.text import map_key, null_if_blank, slug
 from curbstone.operators.notes import clear_outs, date_problem_closures, non_service_by_period, non_service_open, sentence
 from curbstone.operators.profile import attribute_counts, match_rate
@@ -261,4 +261,5 @@ add("agg30_set5_symmetry", symmetry, f"""{D.SQL}, t AS (SELECT * FROM served WHE
 add("join20_seed_categories", lambda s, d: category_map(s).select("category_key", "source_value", "category_group", "is_service"), f"{D.SQL} SELECT k AS category_key, v AS source_value, g AS category_group, reason IS NULL AS is_service FROM category_map")
 add("seed_sources", lambda s, d: source_map(s).select("source_key", "source_channel"), f"{D.SQL} SELECT k AS source_key, c AS source_channel FROM source_map")
 add("seed_flags", lambda s, d: flag_map(s), f"{D.SQL} SELECT * FROM flag_map")
-add("set2_seed_neighborhoods", lambda s, d: neighborhood_map(s).select("neighborhood_slug", "neighborhood").distinct())
+NAMES_SQL = D._values("seed", "neighborhood_slug, neighborhood", [(slug_of(n), n) for n in NEIGHBORHOODS])
+add("set2_seed_neighborhoods", lambda s, d: neighborhood_map(s).select("neighborhood_slug", "neighborhood").distinct(), f"WITH {NAMES_SQL} SELECT DISTINCT neighborhood_slug, neighborhood FROM seed")

@@ -8,7 +8,7 @@ from importlib import import_module
 FLAGSHIP = "flagship"
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("figures", "records", "lookups", "changes")
+_PLANS = ("figures", "records", "lookups", "changes", "cleaning")
 
 
 def add(name: str, query: Callable, sql: str | None = None) -> None:
