@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curbstone.functions.maps import DATE_PROBLEMS, DETECT_AGE, FLAG, MEMBER_AGE, MIN_COUNT, SWEEP_COUNT
 from curbstone.functions.text import map_key
+from curbstone.session import small
 
 
 def non_service_pairs(requests: DataFrame, categories: DataFrame, lines: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def non_service_pairs(requests: DataFrame, categories: DataFrame, lines: DataFra
 
 def with_type(requests: DataFrame, pairs: DataFrame, how: str = "inner") -> DataFrame:
     """requests with the label, reason and type group of their pair; a null second level matches a null one, a null first none."""
-    p = pairs.select(F.col("category_level1").alias("p1"), F.col("category_level2").alias("p2"), F.col("category_group").alias("type_group"), F.col("label").alias("type_label"), F.col("reason").alias("type_reason"))
+    p, _ = small(pairs)
+    p = p.select(F.col("category_level1").alias("p1"), F.col("category_level2").alias("p2"), F.col("category_group").alias("type_group"), F.col("label").alias("type_label"), F.col("reason").alias("type_reason"))
     on = (requests["category_level1"] == p["p1"]) & requests["category_level2"].eqNullSafe(p["p2"])
     return requests.join(p, on, how).drop("p1", "p2")
 
@@ -52,12 +54,22 @@ def sweep_minutes(requests: DataFrame, least: int = SWEEP_COUNT, detect_age: int
 
 
 def with_bulk(requests: DataFrame, days: DataFrame, minutes: DataFrame, member_age: int = MEMBER_AGE) -> DataFrame:
-    """requests with bulk: an old closure on a clear-out day of its group or in a sweep minute."""
-    d = days.select("closed_date", "category_group", F.lit(True).alias("__day"))
-    m = minutes.select("closed_minute", F.lit(True).alias("__minute"))
-    rows = requests.withColumn("closed_minute", F.date_trunc("minute", "closed_ts")).join(d, ["closed_date", "category_group"], "left").join(m, "closed_minute", "left")
-    bulk = F.coalesce(_old(requests, member_age), F.lit(False)) & (F.col("__day").isNotNull() | F.col("__minute").isNotNull())
-    return rows.withColumn("bulk", bulk).drop("__day", "__minute", "closed_minute")
+    """requests with bulk: an old closure on a clear-out day of its group or in a sweep minute.
+
+    Days and minutes are counted and sent to all executors if they are few; else only old closures are joined with them, so
+    that requests without a close date don't meet in one task.
+    """
+    d, few_days = small(days.select("closed_date", "category_group", F.lit(True).alias("__day")))
+    m, few_minutes = small(minutes.select("closed_minute", F.lit(True).alias("__minute")))
+    old = F.coalesce(_old(requests, member_age), F.lit(False))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("closed_minute", F.date_trunc("minute", "closed_ts")).join(d, ["closed_date", "category_group"], "left").join(m, "closed_minute", "left")
+        return rows.withColumn("bulk", old & (F.col("__day").isNotNull() | F.col("__minute").isNotNull())).select(*requests.columns, "bulk")
+
+    if few_days and few_minutes:
+        return marked(requests)
+    return marked(requests.filter(old)).unionByName(requests.filter(~old).withColumn("bulk", F.lit(False)))
 
 
 def label_flags(flags: Column, bulk: Column) -> Column:

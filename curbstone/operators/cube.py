@@ -36,12 +36,16 @@ def _all_value(dim: str) -> Column:
     return F.lit(0) if dim == "district_number" else F.lit("")
 
 
-def roll_up(finest: DataFrame, keys: list[str], sums: list[str], dims: tuple[str, ...] = DIMS) -> DataFrame:
-    """Sums of rows by keys and each subset of dims: every row once for each set that it has all values for.
+def all_sets(dims: tuple[str, ...] = DIMS) -> list[tuple[str, ...]]:
+    return [s for k in range(len(dims) + 1) for s in combinations(dims, k)]
+
+
+def roll_up(finest: DataFrame, keys: list[str], sums: list[str], dims: tuple[str, ...] = DIMS, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Sums of rows by keys and each of sets, by default every subset of dims: a row once for each set that it has all values for.
 
     finest should be grouped by keys and dims already, so that what is multiplied is small.
     """
-    sets = [s for k in range(len(dims) + 1) for s in combinations(dims, k)]
+    sets = all_sets(dims) if sets is None else sets
     choices = []
     for s in sets:
         has = F.lit(True)
@@ -77,19 +81,37 @@ def window_percentiles(requests: DataFrame, as_of: Column, windows: tuple[int, .
     return exact_percentiles(rolled, by, "hundredths", "n", {"median": MEDIAN, "p90": P90}).withColumnRenamed("n", "closed_count")
 
 
-def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """A row for each window, period and cell that has any count or value; median_days and p90_days may be null."""
-    by = ["window_days", "period", *DIMS]
-    joined = window_counts(requests, as_of, windows).join(window_percentiles(requests, as_of, windows), by, "full")
-    none = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("opened_count", "closed_count", "excluded_count", "bulk_closed_count")]
-    return joined.select(*by, *none, (F.col("median") / 100).alias("median_days"), (F.col("p90") / 100).alias("p90_days"))
+def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """A row for each window, period and cell that has any count or value; median_days and p90_days may be null.
 
-
-def open_cube(requests: DataFrame, as_of: Column, age: Column) -> DataFrame:
+    One pass: what happened to a request on a day (opened, excluded, closed in so many hundredths) is counted by cell, day and
+    hundredths; counts and percentiles come from the same rows. sets are the cells asked for, by default all.
+    """
+    c, by = F.col, ["window_days", "period", *DIMS]
+    event = lambda day, opened, excluded, bulk, hundredths: F.struct(
+        day.alias("day"), opened.alias("opened_count"), excluded.alias("excluded_count"), bulk.cast("int").alias("bulk_closed_count"), hundredths.alias("hundredths")
+    )
+    no, one, none = F.lit(0), F.lit(1), F.lit(None).cast("long")
+    events = F.array(
+        event(c("created_date"), one, no, no, none),
+        event(F.when(~c("timed") & (c("status_group") == "Closed"), c("backlog_close_date")), no, one, no, none),
+        event(F.when(c("timed"), c("closed_date")), no, no, c("bulk"), c("hundredths").cast("long")),
+    )
+    rows = requests.filter("service").select(*DIMS, F.explode(F.filter(events, lambda x: x["day"].isNotNull())).alias("e")).select(*DIMS, "e.*")
+    rows = rows.groupBy(*DIMS, "day", "hundredths").agg(*(F.sum(k).alias(k) for k in COUNTS), F.count("hundredths").alias("n"))
+    rows = in_periods(rows, "day", as_of, windows).groupBy("window_days", "period", *DIMS, "hundredths").agg(*(F.sum(k).alias(k) for k in (*COUNTS, "n")))
+    rolled = roll_up(rows, ["window_days", "period", "hundredths"], [*COUNTS, "n"], sets=sets)
+    got = exact_percentiles(rolled, by, "hundredths", "n", {"median": MEDIAN, "p90": P90}, COUNTS)
+    return got.select(
+        *by, "opened_count", F.col("n").cast("long").alias("closed_count"), "excluded_count", "bulk_closed_count", (F.col("median") / 100).alias("median_days"), (F.col("p90") / 100).alias("p90_days")
+    )
+
+
+def open_cube(requests: DataFrame, as_of: Column, age: Column, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(cell, open_count, median_age_days): requests created by as_of that haven't left the backlog; age in hundredths."""
     open_ = requests.filter(F.col("service") & (F.col("created_date") <= as_of) & (F.col("backlog_close_date").isNull() | (F.col("backlog_close_date") > as_of)))
     rows = open_.select(*DIMS, age.alias("hundredths")).groupBy(*DIMS, "hundredths").agg(F.count(F.lit(1)).alias("n"))
-    rolled = roll_up(rows, ["hundredths"], ["n"])
+    rolled = roll_up(rows, ["hundredths"], ["n"], sets=sets)
     got = exact_percentiles(rolled, list(DIMS), "hundredths", "n", {"median": MEDIAN})
     return got.select(*DIMS, F.col("n").cast("long").alias("open_count"), (F.col("median") / 100).alias("median_age_days"))
 

@@ -21,9 +21,15 @@ class Published:
 
     Frames: stats, open, backlog, exclusions, exclusions_open, date_problems, clear_outs. A frame may be given as a function, which is
     called when a query first needs it. categories and names (slug -> name) are what a query may ask for.
+
+    cells(window, sets, where), if given, makes (stats, open) of one window for some grouping sets and values of dimensions alone:
+    for figures that aren't stored.
     """
 
-    def __init__(self, as_of: date, start: date, categories: list[str], names: dict[str, str], **frames: DataFrame | Callable[[], DataFrame]):
+    def __init__(
+        self, as_of: date, start: date, categories: list[str], names: dict[str, str], cells: Callable[..., tuple[DataFrame, DataFrame]] | None = None, **frames: DataFrame | Callable[[], DataFrame]
+    ):
+        self.cells = cells
         self.as_of, self.start, self.categories, self.names, self._frames = as_of, start, categories, names, frames
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -55,9 +61,16 @@ def cells(p: Published, window: int, slug: str | None, district: int, category:
     wanted = wanted & ((F.col("neighborhood_slug") != "") if slug is None else (F.col("neighborhood_slug") == slug))
     if category is not None:
         wanted = wanted & (F.col("category_group") == category)
-    rows = p.stats.filter(wanted & (F.col("window_days") == window)).groupBy(*keys).pivot("period", ["current", "prior"])
+    if p.cells:
+        given = {k: v for k, v in zip(keys, (slug, district, category)) if v}
+        open_ended = ("category_group",) if category is None else ()
+        fixed = tuple(k for k in keys if k in given or (k == "neighborhood_slug" and slug is None))
+        stats, open_ = p.cells(window, [fixed] + [tuple(k for k in keys if k in (*fixed, *open_ended))] * bool(open_ended), given)
+    else:
+        stats, open_ = p.stats.filter(F.col("window_days") == window), p.open
+    rows = stats.filter(wanted).groupBy(*keys).pivot("period", ["current", "prior"])
     rows = rows.agg(*(F.max(c).alias(c) for c in (*STAT_COUNTS, "median_days", "p90_days")))
-    rows = rows.join(p.open.filter(wanted), keys, "full")
+    rows = rows.join(open_.filter(wanted), keys, "full")
     counts = [F.coalesce(f"{s}_{c}", F.lit(0)).cast("long").alias(f"{s}_{c}") for s in ("current", "prior") for c in STAT_COUNTS]
     values = [f"{s}_{c}" for s in ("current", "prior") for c in ("median_days", "p90_days")]
     rows = rows.select(*keys, *counts, *values, F.coalesce("open_count", F.lit(0)).cast("long").alias("open_count"), "median_age_days")

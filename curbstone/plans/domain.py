@@ -36,26 +36,44 @@ def _choice(column: str, values: dict):
     return out
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version of every request, one for each lineitem: about one in four repeats a reference number."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of lineitem and orders that versions are made of."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_linestatus")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("updated_ts", F.greatest("o_orderdate", "l_shipdate"))
+
+
+def _described(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Requests of lines; what is said of a nation, a customer or a part is worked out once for each."""
     t = lambda n: load(spark, sf_dir, n)
-    nation = F.broadcast(t("nation"))
-    rows = (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.when(F.col("n_nationkey") != 24, F.col("n_name"))
+    nation = t("nation").select(
+        "n_nationkey", F.when(F.col("n_regionkey") != 4, F.col("n_regionkey") + 1).alias("district_number"), (F.col("n_regionkey") != 4).alias("is_city"),
+        name.alias("neighborhood"), slug(name).alias("neighborhood_slug"),
     )
-    closed = F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))
+    customer = t("customer").select("c_custkey", "c_nationkey", _choice("c_mktsegment", SEGMENTS).alias("source_level1")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = t("part").select("p_partkey", _choice("p_type", TYPES).alias("category_level1"), _choice("p_brand", BRANDS).alias("category_level2"))
+    rows = lines.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     status = F.when(F.col("l_linestatus") == "F", "CLOSED").when(F.col("o_orderstatus") == "P", "IN PROGRESS").otherwise("NEW")
-    name = F.when(F.col("n_nationkey") != 24, F.col("n_name"))
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reference_number"), F.col("l_partkey").alias("object_id"),
-        _choice("p_type", TYPES).alias("category_level1"), _choice("p_brand", BRANDS).alias("category_level2"), _choice("c_mktsegment", SEGMENTS).alias("source_level1"),
-        F.when(F.col("n_regionkey") != 4, F.col("n_regionkey") + 1).alias("district_number"), (F.col("n_regionkey") != 4).alias("is_city"),
-        name.alias("neighborhood"), slug(name).alias("neighborhood_slug"), status.alias("public_status"),
-        F.col("o_orderdate").alias("created_ts"), F.greatest("o_orderdate", "l_shipdate").alias("updated_ts"), closed.alias("closed_ts"), "l_shipdate", "l_linestatus",
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reference_number"), F.col("l_partkey").alias("object_id"), "category_level1", "category_level2", "source_level1",
+        "district_number", "is_city", "neighborhood", "neighborhood_slug", status.alias("public_status"),
+        F.col("o_orderdate").alias("created_ts"), "updated_ts", F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("closed_ts"), "l_shipdate", "l_linestatus",
     )
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every request, one for each lineitem: about one in four repeats a reference number."""
+    return _described(spark, sf_dir, _lines(spark, sf_dir))
+
+
+def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """latest(versions()), found before versions are described, where the join of the lines has put a request's versions together."""
+    order = [F.desc(c) for c in ("updated_ts", "l_partkey", "l_shipdate", "l_linestatus")]
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order))
+    return _described(spark, sf_dir, _lines(spark, sf_dir).withColumn("rn", place).filter("rn = 1").drop("rn"))
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The newest version of each reference number; ties by object and then by all that can differ."""
     order = [F.desc(c) for c in ("updated_ts", "object_id", "l_shipdate", "l_linestatus")]
@@ -64,7 +82,7 @@ def latest(rows: DataFrame) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest versions with maps resolved, days, bits and groups; without classification."""
-    rows = latest(versions(spark, sf_dir))
+    rows = newest_versions(spark, sf_dir)
     categories = category_map(spark).select("category_key", F.col("category_group").alias("g"))
     sources = source_map(spark).select("source_key", F.col("source_channel").alias("s"))
     rows = rows.join(F.broadcast(categories), map_key(F.col("category_level1")) == F.col("category_key"), "left").join(F.broadcast(sources), map_key(F.col("source_level1")) == F.col("source_key"), "left")

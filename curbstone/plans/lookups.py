@@ -20,12 +20,20 @@ def published(spark, d) -> api.Published:
     rows = D.requests(spark, d)
     age = (F.datediff(D.as_of(), F.col("created_date")) * 100).cast("long")
     pairs = lambda: D.non_service_pairs(rows, D.category_map(spark), D.line_map(spark))
+
+    def cells_of(window: int, sets: list[tuple[str, ...]], where: dict):
+        some = rows
+        for c, v in where.items():
+            some = some.filter(F.col(c) == v)
+        return window_cube(some, D.as_of(), (window,), sets), open_cube(some, D.as_of(), age, sets)
+
     names = {slug_of(r[0]): r[0] for r in D.load(spark, d, "nation").filter("n_nationkey <> 24").select("n_name").collect()}
     return api.Published(
         date.fromisoformat(D.AS_OF),
         date.fromisoformat(D.BACKLOG_FROM),
         api.service_categories(),
         names,
+        cells=cells_of,
         stats=lambda: window_cube(rows, D.as_of(), D.WINDOWS),
         open=lambda: open_cube(rows, D.as_of(), age),
         backlog=lambda: daily_backlog(rows, D.as_of(), D.BACKLOG_FROM),

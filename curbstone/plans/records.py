@@ -14,7 +14,7 @@ from curbstone.plans import domain as D
 from curbstone.plans.figures import PERIODS
 from curbstone.plans.registry import add
 
-add("win1_latest_version", lambda s, d: D.latest(D.versions(s, d)).select("reference_number", "object_id", "public_status", "updated_ts"), f"{D.SQL} SELECT reference_number, object_id, public_status, updated_ts FROM latest")
+add("win1_latest_version", lambda s, d: D.newest_versions(s, d).select("reference_number", "object_id", "public_status", "updated_ts"), f"{D.SQL} SELECT reference_number, object_id, public_status, updated_ts FROM latest")
 
 
 def duplicates(spark, d):
@@ -128,7 +128,7 @@ SERVED = "feed AS (SELECT reference_number, updated_ts + CASE WHEN object_id % 5
 
 
 def held(spark, d):
-    rows = D.latest(D.versions(spark, d)).withColumn("hash", F.col("object_id") + F.dayofmonth("created_ts")).filter("hash % 13 <> 0")
+    rows = D.newest_versions(spark, d).withColumn("hash", F.col("object_id") + F.dayofmonth("created_ts")).filter("hash % 13 <> 0")
     return rows.select("reference_number", F.col("updated_ts").alias("updated_utc"), (F.col("hash") % 11 == 0).alias("was_removed"))
 
 
@@ -146,7 +146,7 @@ add("join7_refetch", lambda s, d: to_refetch(held(s, d), newest_keys(feed(s, d))
 
 def chunks(spark, d):
     """SORT-8: the refetch list in key order, in chunks of 200."""
-    rows = D.latest(D.versions(spark, d)).select("public_status", "reference_number")
+    rows = D.newest_versions(spark, d).select("public_status", "reference_number")
     place = F.row_number().over(Window.partitionBy("public_status").orderBy("reference_number")) - 1
     return rows.withColumn("chunk", F.floor(place / 200)).groupBy("public_status", "chunk").agg(F.min("reference_number").alias("first"), F.max("reference_number").alias("last"), F.count(F.lit(1)).alias("n"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +25,18 @@ def local_session(app: str = "curbstone", cpus: int | str = "*", partitions: int
     return spark
 
 
+#: Rows, narrow ones, up to which a table is sent to all executors once it has been counted.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(df computed once, whether it may be sent to all executors): it is marked for that if it has at most BROADCAST_ROWS rows."""
+    df = materialized(df)
+    if df.count() <= BROADCAST_ROWS:
+        return F.broadcast(df), True
+    return df, False
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df for several uses: checkpointed in the folder that the cluster shares, or persisted where none is set."""
     spark = df.sparkSession
