@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import gzip
+import hashlib
 import json
 import math
 import sys
@@ -24,8 +26,8 @@ from curbstone.operators.reconcile import guard_fails
 from curbstone.plans import api
 from curbstone.session import materialized
 from curbstone.sources.contract import compare
-from curbstone.sources.feed import KEYS, PAGE, from_features, keys_where, newer_where, pages, slice_where, with_retries
-from curbstone.sources.store import Busy, Store, utc_now
+from curbstone.sources.feed import KEYS, PAGE, body_of, from_features, keys_where, newer_where, page_baseline, pages, patient, slice_where, with_retries
+from curbstone.sources.store import RETAIN, Busy, Store, utc_now
 
 OVERLAP, EVERY, RECONCILE_AT, KEEP_PAGES = timedelta(minutes=60), timedelta(minutes=15), time(3, 30), timedelta(days=30)
 #: What a scan of keys reads of each row.
@@ -39,6 +41,7 @@ class Feed:
     """What a job needs of a source: query(where, size) -> page, count(where) -> int, describe() -> layer.
 
     keys(where, size), query by default, gives pages that need only have the fields KEY_FIELDS. query and keys are sent to tasks.
+    A page may be given as the body of the answer, in bytes, so that exactly these are kept. Calls that raise Retryable are repeated.
     """
 
     def __init__(self, query: Callable[[str, int], dict], count: Callable[[str], int], describe: Callable[[], dict], keys: Callable[[str, int], dict] | None = None):
@@ -50,7 +53,7 @@ def key_scan(spark: SparkSession, query: Callable[[str, int], dict], last: int,
     """Features (feature) with KEY_FIELDS alone of the whole feed: tasks fetch (0, last] in ranges of OBJECTID, and what is above it."""
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = lambda w, n: with_retries(lambda: query(w, n))
+        ask = patient(query)
         for k in (int(k) for f in frames for k in f["id"]):
             where = f"1=1 AND OBJECTID <= {last * (k + 1) // ranges}" if k < ranges else "1=1"
             for _, page in pages(ask, where, last * k // ranges, size):
@@ -60,16 +63,20 @@ def key_scan(spark: SparkSession, query: Callable[[str, int], dict], last: int,
 
 
 def fetched(keys: DataFrame, query: Callable[[str, int], dict], size: int = PAGE) -> DataFrame:
-    """(payload, features) of the pages with the rows of keys (reference_number), fetched by tasks in lists of KEYS."""
+    """(payload, sha256, features) of the pages with the rows of keys (reference_number), fetched by tasks in lists of KEYS.
+
+    payload is the answer, compressed; sha256 is of the answer as it came.
+    """
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = lambda w, n: with_retries(lambda: query(w, n))
+        ask = patient(query)
         for f in frames:
             for where in keys_where(f["reference_number"].tolist()):
                 for _, page in pages(ask, where, 0, size):
-                    yield pd.DataFrame({"payload": [json.dumps(page).encode()], "features": [[json.dumps(x) for x in page["features"]]]})
+                    body = body_of(page)
+                    yield pd.DataFrame({"payload": [gzip.compress(body, mtime=0)], "sha256": [hashlib.sha256(body).hexdigest()], "features": [[json.dumps(x) for x in page["features"]]]})
 
-    return keys.select("reference_number").mapInPandas(fetch, "payload binary, features array<string>")
+    return keys.select("reference_number").mapInPandas(fetch, "payload binary, sha256 string, features array<string>")
 
 
 # Watermarks.
@@ -106,6 +113,7 @@ class Jobs:
 
     def __init__(self, spark: SparkSession, store: Store, feed: Feed, now: Callable[[], datetime] = utc_now, page_size: int = PAGE, batch_pages: int = BATCH_PAGES):
         self.spark, self.store, self.feed, self.now, self.page_size, self.batch_pages = spark, store, feed, now, page_size, batch_pages
+        self.ask, self.retain = patient(feed.query), RETAIN
         self.maps = (category_map(spark), source_map(spark), neighborhood_map(spark))
 
     # One run: lock, run row, contract, work, refresh, checks.
@@ -114,7 +122,7 @@ class Jobs:
         try:
             with self.store.lock(job):
                 run = self.store.begin(job, began)
-                difference = compare(self.feed.describe())
+                difference = compare(with_retries(self.feed.describe))
                 if difference.drift:
                     return self.store.end(run, "SchemaDrift", self.now(), message=str(difference))
                 try:
@@ -128,6 +136,7 @@ class Jobs:
                     self.check(run)
                 except Exception as e:  # figures are behind then, but what was read is kept
                     run = self.store.end(run, "Succeeded", self.now(), refresh_error=str(e)[:500])
+                self.store.tidy(self.retain)
                 return run
         except Busy:
             return {"job": job, "status": "Skipped"}
@@ -151,25 +160,30 @@ class Jobs:
         history = self.store.read("service_request_history")
         # Every version goes to history, so that it doesn't depend on how pages fall into batches.
         fresh = new_history(versions.dropDuplicates(["reference_number", "row_hash"]), history if history is not None else batch.select("reference_number", "row_hash").limit(0), stamp, run["id"])
-        table = materialized(merged(current, batch, stamp, reclean))
+        touched = current.join(batch.select("reference_number"), "reference_number", "left_semi")
+        table = materialized(merged(touched, batch, stamp, reclean))
         counts = change_counts(table)
         fresh, bad = materialized(fresh), materialized(bad)
         counts |= {"history": fresh.count(), "rejected": bad.count(), "duplicates": staged.count() - batch.count()}
         append = {"service_request_history": fresh} if counts["history"] else {}
         append |= {"ingest_reject": bad} if counts["rejected"] else {}
         seen = staged.agg(F.max("updated_utc")).first()[0]
-        self.store.commit(replace={"service_request": table.drop("change")}, append=append, values=values)
+        self._put(table.drop("change"), append=append, values=values)
         return counts | {"seen": seen.replace(tzinfo=timezone.utc).isoformat() if seen else None}
 
+    def _put(self, rows: DataFrame, **other) -> None:
+        """Commits changed rows of service_request, which are the table if there is none yet."""
+        there = "service_request" in self.store.head()["tables"]
+        self.store.commit(**({"upsert": {"service_request": (rows, "reference_number")}} if there else {"replace": {"service_request": rows}}), **other)
+
     def _empty_current(self, batch: DataFrame) -> DataFrame:
         stamp = F.lit(None).cast("timestamp")
         return batch.limit(0).withColumns({c: stamp for c in ("first_seen_utc", "last_seen_utc", "last_changed_utc", "source_removed_utc")})
 
     def _keep_pages(self, found: list[dict], job: str, now: datetime) -> None:
         """Raw pages are kept before, and apart from, what is made of them."""
-        rows = [(job, now, bytearray(json.dumps(p).encode())) for p in found]
-        df = self.spark.createDataFrame(rows, "pipeline string, fetched_utc timestamp, payload binary")
-        self.store.commit(append={"raw_page": df.withColumn("sha256", F.sha2("payload", 256))})
+        rows = [(job, now, bytearray(gzip.compress(body, mtime=0)), hashlib.sha256(body).hexdigest()) for body in map(body_of, found)]
+        self.store.commit(append={"raw_page": self.spark.createDataFrame(rows, "pipeline string, fetched_utc timestamp, payload binary, sha256 string")})
 
     def _pull(self, run: dict, now: datetime, where: str, checkpoint: str | None = None, most: int | None = None, reclean: bool = False, after: int = 0) -> dict:
         """Applies the pages of where in batches; with a checkpoint each batch's last OBJECTID is kept in the same commit."""
@@ -186,7 +200,7 @@ class Jobs:
             held.clear()
 
         cursor = after
-        for cursor, page in pages(self.feed.query, where, after, self.page_size, most):
+        for cursor, page in pages(self.ask, where, after, self.page_size, most):
             held.append(page)
             if len(held) >= self.batch_pages:
                 flush(cursor)
@@ -255,18 +269,19 @@ class Jobs:
             gone = F.col("source_removed_utc").isNull() & F.col("served_utc").isNull()
             back = F.col("source_removed_utc").isNotNull() & F.col("served_utc").isNotNull()
             counts = rows.agg(F.count_if(gone).alias("removed"), F.count_if(back).alias("restored")).first().asDict()
-            table = rows.withColumn("last_seen_utc", F.when(back, stamp).otherwise(F.col("last_seen_utc"))).withColumn(
+            table = rows.filter(gone | back).withColumn("last_seen_utc", F.when(back, stamp).otherwise(F.col("last_seen_utc"))).withColumn(
                 "source_removed_utc", F.when(gone, stamp).when(~back, F.col("source_removed_utc"))
             )
             again = keys.join(current.select("reference_number", "updated_utc"), "reference_number", "left")
             again = again.filter(F.col("updated_utc").isNull() | (F.col("served_utc") > F.col("updated_utc"))).select("reference_number")
             again = materialized(again)
             wanted = again.count()
-            self.store.commit(replace={"service_request": materialized(table.drop("served_utc"))})
+            if counts["removed"] or counts["restored"]:
+                self._put(materialized(table.drop("served_utc")))
             total: dict = {}
             if wanted:
                 found = materialized(fetched(again.repartition(math.ceil(wanted / (KEYS * self.batch_pages))), self.feed.query, self.page_size))
-                kept = found.select(F.lit(run["job"]).alias("pipeline"), stamp.alias("fetched_utc"), "payload", F.sha2("payload", 256).alias("sha256"))
+                kept = found.select(F.lit(run["job"]).alias("pipeline"), stamp.alias("fetched_utc"), "payload", "sha256")
                 self.store.commit(append={"raw_page": kept})
                 total = self.apply(found.select(F.explode("features").alias("feature")), run, now) | {"pages": found.count()}
                 del total["seen"]
@@ -294,6 +309,7 @@ class Jobs:
         pairs = materialized(classify.non_service_pairs(rows, self.maps[0], line_map(self.spark)))
         rows = classify.with_service(rows, pairs)
         rows = classify.with_bulk(rows, classify.clear_out_days(rows), classify.sweep_minutes(rows))
+        rows = rows.withColumn("flags_before", F.col("dq_flags"))
         return materialized(rows.withColumn("dq_flags", classify.label_flags(c("dq_flags"), c("bulk")))), pairs
 
     def refresh(self) -> dict:
@@ -313,8 +329,8 @@ class Jobs:
                 "exclusion_open": notes.non_service_open(rows, pairs, as_of),
                 "exclusion_flag": notes.date_problem_closures(rows, as_of),
                 "clear_out": notes.clear_outs(rows, F.lit(BACKLOG_START).cast("date")),
-                "service_request": rows.select(*table.columns),
             },
+            upsert={"service_request": (rows.filter("dq_flags <> flags_before").select(*table.columns), "reference_number")},
             values={"refresh": {"as_of_utc": now.isoformat(), "as_of_date": day.isoformat(), "requests": present.count()}},
         )
         return self.store.value("refresh")
@@ -348,7 +364,7 @@ class Jobs:
         before = self.store.value("dq", [])
         counts = [r["observed"] for r in before if r["check"] == "source_count"]
         previous = {r["check"][5:]: r["observed"] for r in before if r["check"].startswith("flag.")}
-        got = quality.checks(table, day, self.feed.count("1=1"), max(counts, default=None), previous, run.get("rejected", 0))
+        got = quality.checks(table, day, with_retries(lambda: self.feed.count("1=1")), max(counts, default=None), previous, run.get("rejected", 0))
         got = [{k: (float(v) if k in ("observed", "baseline", "limit") and v is not None else v) for k, v in r.items()} | {"run_id": run["id"]} for r in got]
         self.store.commit(values={"dq": [r for r in before if r["run_id"] > run["id"] - 10] + got})
         return got
@@ -368,13 +384,15 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--until", type=datetime.fromisoformat)
     parser.add_argument("--restart", action="store_true")
     parser.add_argument("--max-pages", type=int)
+    parser.add_argument("--profile", help="a Markdown profile whose row count verify-source compares with")
     a = parser.parse_args(argv)
     module, _, name = a.feed.partition(":")
     spark = local_session()
     jobs = Jobs(spark, Store(spark, a.store), getattr(import_module(module), name)())
     if a.verb == "verify-source":
-        difference = compare(jobs.feed.describe())
-        print(f"{difference}; {jobs.feed.count('1=1'):,} rows")
+        difference, served = compare(with_retries(jobs.feed.describe)), with_retries(lambda: jobs.feed.count("1=1"))
+        baseline = spark.read.text(a.profile, wholetext=True).select(page_baseline(F.col("value"))).first()[0] if a.profile else None
+        print(f"{difference}; {served:,} rows" + (f"; {quality.page_count_check(served, baseline)}: the profile has {baseline:,}" if baseline else ""))
         return EXIT["SchemaDrift"] if difference.drift else 0
     if a.verb == "aggregates":
         print(json.dumps(jobs.refresh()))

@@ -78,6 +78,24 @@ def with_retries(call: Callable[[], dict], retries: int = RETRIES, wait: float =
     raise AssertionError
 
 
+def patient(query: Callable[[str, int], dict | bytes], **how) -> Callable[[str, int], dict]:
+    """query, repeated where the service may answer later; an answer in bytes is checked and read, and kept with its page."""
+
+    def ask(where: str, size: int) -> dict:
+        def once() -> dict:
+            got = query(where, size)
+            return checked(200, got) | {"_body": got} if isinstance(got, bytes) else got
+
+        return with_retries(once, **how)
+
+    return ask
+
+
+def body_of(page: dict) -> bytes:
+    """The exact bytes of a page's answer, or its JSON where it wasn't given in bytes."""
+    return page["_body"] if "_body" in page else json.dumps(page).encode()
+
+
 def pages(query: Callable[[str, int], dict], where: str, after: int = 0, size: int = PAGE, most: int | None = None) -> Iterator[tuple[int, dict]]:
     """(cursor, page) by keyset: rows of where with OBJECTID above the cursor, in order; query(where, size) gives a page.
 
@@ -171,7 +189,7 @@ class _Batch(DataSourceReader):
         after, last = partition.value
         where = self.options.get("where", "1=1") + (f" AND OBJECTID <= {last}" if last is not None else "")
         query = _query(self.options)
-        for _, page in pages(lambda w, n: with_retries(lambda: query(w, n)), where, after, int(self.options.get("pageSize", PAGE))):
+        for _, page in pages(patient(query), where, after, int(self.options.get("pageSize", PAGE))):
             yield from _rows(page)
 
 
@@ -185,12 +203,12 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"objectid": int(self.options.get("after", 0))}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        found = list(pages(_query(self.options), self.options.get("where", "1=1"), start["objectid"], int(self.options.get("pageSize", PAGE)), 1))
+        found = list(pages(patient(_query(self.options)), self.options.get("where", "1=1"), start["objectid"], int(self.options.get("pageSize", PAGE)), 1))
         return iter([r for _, p in found for r in _rows(p)]), {"objectid": found[-1][0] if found else start["objectid"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         where = f"({self.options.get('where', '1=1')}) AND OBJECTID <= {end['objectid']}"
-        return iter([r for _, p in pages(_query(self.options), where, start["objectid"], int(self.options.get("pageSize", PAGE))) for r in _rows(p)])
+        return iter([r for _, p in pages(patient(_query(self.options)), where, start["objectid"], int(self.options.get("pageSize", PAGE))) for r in _rows(p)])
 
 
 def page_baseline(markdown: Column) -> Column:

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Seconds between a lock's signs of life, and after which a lock without one is taken over.
+BEAT, STALE = 20.0, 600.0
+#: For how long commits and their tables stay after newer ones; parts of an appended table that are merged when there are more.
+RETAIN, MOST_PARTS = timedelta(days=1), 64
+#: An upserted table is rewritten when its changed rows are more than this share of the others.
+CHANGED = 0.5
 
 
 class Busy(RuntimeError):
@@ -20,7 +33,10 @@ class Store:
 
     Each commit writes new versions of some tables, then one file with the versions of all tables and small values such
     as checkpoints. Readers take the newest commit once, so they never see parts of two. A crash leaves folders that no
-    commit names; the next commit with that number replaces them. The path is on a file system that driver and executors share.
+    commit names; the next commit with that number replaces them. The path is a folder that driver and executors share.
+
+    A table is replaced whole, appended to, or upserted: changed rows are written beside it and hide rows with their key,
+    until they are so many that the table is rewritten. So a small change of a large table is a small write.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -40,30 +56,54 @@ class Store:
 
     def read(self, table: str, schema=None, at: dict | None = None) -> DataFrame | None:
         """A table as of a commit, the newest one by default; if it isn't there, empty with the schema, or None."""
-        version = (at or self.head())["tables"].get(table)
+        head = at or self.head()
+        version = head["tables"].get(table)
         if version is None:
             return None if schema is None else self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{v}" for v in version])
+        parts = lambda names: self.spark.read.parquet(*[f"{self.path}/{table}/{v}" for v in names])
+        base, changed = parts(version), head.get("changed", {}).get(table)
+        if not changed:
+            return base
+        key = changed["key"]
+        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__commit")))
+        rows = parts(changed["parts"]).withColumn("__rn", newest).filter("__rn = 1").drop("__rn", "__commit")
+        return base.join(rows.select(key), key, "left_anti").unionByName(rows)
 
     def value(self, name: str, default=None):
         return self.head()["values"].get(name, default)
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, values: dict | None = None) -> dict:
-        """Writes tables, whole or as further parts, and shows them together with values (None removes one)."""
+    def commit(
+        self,
+        replace: dict[str, DataFrame] | None = None,
+        append: dict[str, DataFrame] | None = None,
+        values: dict | None = None,
+        upsert: dict[str, tuple[DataFrame, str]] | None = None,
+    ) -> dict:
+        """Writes tables, whole, as further parts or as changed rows (with their key), and shows them together with values (None removes one)."""
         head = self.head()
         number = head["number"] + 1
-        tables = dict(head["tables"])
+        tables, changed = dict(head["tables"]), {k: dict(v) for k, v in head.get("changed", {}).items()}
+        for name, (df, key) in (upsert or {}).items():
+            path = f"{self.path}/{name}/v{number}"
+            df.withColumn("__commit", F.lit(number)).write.mode("overwrite").parquet(path)
+            rows = lambda *paths: self.spark.read.parquet(*paths).count()
+            held = changed.setdefault(name, {"key": key, "parts": [], "rows": 0, "of": rows(*[f"{self.path}/{name}/{v}" for v in tables[name]])})
+            changed[name] = held | {"parts": [*held["parts"], f"v{number}"], "rows": held["rows"] + rows(path)}
         for name, df in (replace or {}).items():
             df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
             tables[name] = [f"v{number}"]
+            changed.pop(name, None)
         for name, df in (append or {}).items():
             df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
             tables[name] = [*tables.get(name, []), f"v{number}"]
-        new = {"number": number, "tables": tables, "values": {k: v for k, v in (head["values"] | (values or {})).items() if v is not None}}
-        part = f"{self.path}/_commits/.{number:012d}.part"
+        new = {"number": number, "tables": tables, "changed": changed, "values": {k: v for k, v in (head["values"] | (values or {})).items() if v is not None}}
+        return self._show(new)
+
+    def _show(self, new: dict) -> dict:
+        part = f"{self.path}/_commits/.{new['number']:012d}.part"
         with open(part, "w", encoding="utf-8") as f:
             json.dump(new, f)
-        os.replace(part, f"{self.path}/_commits/{number:012d}.json")
+        os.replace(part, f"{self.path}/_commits/{new['number']:012d}.json")
         return new
 
     def compact(self, table: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict | None:
@@ -71,20 +111,78 @@ class Store:
         df = self.read(table)
         return None if df is None else self.commit(replace={table: keep(df)})
 
+    def tidy(self, retain: timedelta = RETAIN) -> None:
+        """Merges many small parts, rewrites tables with many changed rows, and deletes commits older than retain with what only they show.
+
+        Only the holder of the lock may call it. A reader has retain to finish with the commit that it took.
+        """
+        head = self.head()
+        for name, c in head.get("changed", {}).items():
+            if c["rows"] > CHANGED * c["of"]:
+                self.commit(replace={name: self.read(name)})
+        for name, parts in head["tables"].items():
+            if len(parts) > MOST_PARTS and name not in head.get("changed", {}):
+                late = parts[-(MOST_PARTS // 2) :]
+                merged = self.commit(append={name: self.spark.read.parquet(*[f"{self.path}/{name}/{v}" for v in late])})
+                self._show(merged | {"number": merged["number"] + 1, "tables": merged["tables"] | {name: [*parts[: -len(late)], f"v{merged['number']}"]}})
+        numbers, now = self._commits(), time.time()
+        file = lambda n: f"{self.path}/_commits/{n:012d}.json"
+        old = [n for n in numbers[:-1] if now - os.path.getmtime(file(n)) >= retain.total_seconds()]
+        if not old:
+            return
+        shown: dict[str, set[str]] = {}
+        for n in numbers:
+            if n not in old:
+                with open(file(n), encoding="utf-8") as f:
+                    commit = json.load(f)
+                for name, parts in commit["tables"].items():
+                    shown.setdefault(name, set()).update(parts, commit.get("changed", {}).get(name, {}).get("parts", []))
+        for n in old:
+            os.unlink(file(n))
+        for name in os.listdir(self.path):
+            for part in os.listdir(f"{self.path}/{name}") if not name.startswith("_") else ():
+                if part not in shown.get(name, set()) and int(part[1:]) <= numbers[-1]:
+                    shutil.rmtree(f"{self.path}/{name}/{part}")
+
     @contextmanager
     def lock(self, owner: str = ""):
-        """One writer at a time, without waiting: Busy if another holds it."""
-        path = f"{self.path}/_lock"
+        """One writer at a time, without waiting: Busy if another holds it.
+
+        The holder gives a sign of life every BEAT seconds; a lock without one for STALE seconds is that of a writer that was
+        killed, and is taken over. A holder whose lock was taken over leaves the new one alone.
+        """
+        path, token = f"{self.path}/_lock", f"{owner} {uuid.uuid4().hex}"
+        try:
+            if time.time() - os.path.getmtime(path) > STALE:
+                os.rename(path, f"{path}.{uuid.uuid4().hex}")  # of several, one succeeds
+        except FileNotFoundError:
+            pass
         try:
             handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         except FileExistsError:
             raise Busy(path) from None
+        os.write(handle, token.encode())
+        os.close(handle)
+        ended = threading.Event()
+
+        def mine() -> bool:
+            try:
+                with open(path, encoding="utf-8") as f:
+                    return f.read() == token
+            except FileNotFoundError:
+                return False
+
+        def beat() -> None:
+            while not ended.wait(BEAT) and mine():
+                os.utime(path)
+
+        threading.Thread(target=beat, daemon=True).start()
         try:
-            os.write(handle, owner.encode())
-            os.close(handle)
             yield
         finally:
-            os.unlink(path)
+            ended.set()
+            if mine():
+                os.unlink(path)
 
     # Runs.
     def runs(self) -> list[dict]:

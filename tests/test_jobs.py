@@ -129,6 +129,94 @@ def test_drift_and_lock_write_nothing(spark, tmp_path):
             pass
 
 
+def test_lock_of_a_killed_writer_is_taken_over(spark, tmp_path, monkeypatch):
+    import os
+
+    from curbstone.sources import store as module
+
+    s = Store(spark, str(tmp_path / "store"))
+    with open(f"{s.path}/_lock", "w", encoding="utf-8") as f:
+        f.write("killed")
+    run = s.begin("backfill", NOW)
+    with pytest.raises(Busy), s.lock("early"):
+        pass
+    os.utime(f"{s.path}/_lock", (1, 1))
+    with s.lock("next"):
+        assert s.begin("incremental", NOW)["id"] == run["id"] + 1 and s.runs()[0]["status"] == "Failed"
+        with pytest.raises(Busy), s.lock("other"):
+            pass
+    assert not os.path.exists(f"{s.path}/_lock")
+    monkeypatch.setattr(module, "BEAT", 0.05)
+    with s.lock("beats"):
+        os.utime(f"{s.path}/_lock", (1, 1))
+        import time as clock
+
+        clock.sleep(0.5)
+        assert os.path.getmtime(f"{s.path}/_lock") > 1
+
+
+def test_flaky_feed_and_exact_pages(spark, tmp_path, monkeypatch):
+    import gzip
+    import hashlib
+
+    from curbstone.sources import feed as module
+
+    fake, bodies, calls = FakeFeed(FEATURES), [], []
+
+    def flaky(where, size):
+        calls.append(where)
+        if len(calls) % 2:
+            raise Retryable("HTTP 429")
+        bodies.append((json.dumps(fake.query(where, size), indent=1) + "  ").encode())
+        return bodies[-1]
+
+    real = module.with_retries
+    monkeypatch.setattr(module, "with_retries", lambda call, **how: real(call, sleep=lambda s: None))
+    feed = fake.feed()
+    j = Jobs(spark, Store(spark, str(tmp_path / "store")), jobs.Feed(flaky, feed.count, feed.describe), lambda: NOW, page_size=5)
+    run = j.backfill()
+    assert run["status"] == "Succeeded" and run["inserted"] == 13
+    kept = j.store.read("raw_page").collect()
+    assert sorted(gzip.decompress(bytes(r["payload"])) for r in kept) == sorted(b for b in bodies if json.loads(b)["features"])
+    assert all(r["sha256"] == hashlib.sha256(gzip.decompress(bytes(r["payload"]))).hexdigest() for r in kept)
+
+
+def test_small_changes_are_small_writes_and_old_versions_go(spark, tmp_path):
+    import os
+
+    fake, j = make(spark, tmp_path, [feature(k, f"R{k:03d}") for k in range(1, 61)])
+    j.refresh_if_due = j.check = lambda _: None
+    j.backfill()
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(j.store.path) for f in names)
+    for k in range(10):
+        fake.features.append(feature(100 + k, f"N{k:03d}", f"2026-09-{20 + k}T00:00:00"))
+        j.store.commit(values={"watermark": f"2026-09-{20 + k}T00:30:00+00:00"})
+        assert j.incremental()["inserted"] == 1
+    head = j.store.head()
+    assert head["changed"]["service_request"]["rows"] <= 0.5 * 60 and j.store.read("service_request").count() == 70
+    rows, before, j.retain = table(j), size(), timedelta(0)
+    j.incremental()
+    commits = len(os.listdir(f"{j.store.path}/_commits"))
+    assert table(j) == rows and size() < before and commits <= 8
+    shown = j.store.head()
+    assert set(os.listdir(f"{j.store.path}/service_request")) >= {*shown["tables"]["service_request"], *shown["changed"].get("service_request", {}).get("parts", [])}
+
+
+def test_store_merges_parts_and_rewrites_changed_tables(spark, tmp_path, monkeypatch):
+    from curbstone.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 4)
+    s = Store(spark, str(tmp_path / "store"))
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    s.commit(replace={"t": df(("a", 1), ("b", 2), ("c", 3), ("d", 4))})
+    for k in range(6):
+        s.commit(append={"log": df(("x", k))}, upsert={"t": (df(("a", 10 + k)), "k")})
+    assert sorted(map(tuple, s.read("t").collect())) == [("a", 15), ("b", 2), ("c", 3), ("d", 4)]
+    s.tidy(timedelta(0))
+    assert sorted(map(tuple, s.read("t").collect())) == [("a", 15), ("b", 2), ("c", 3), ("d", 4)] and not s.head()["changed"]
+    assert sorted(r["v"] for r in s.read("log").collect()) == list(range(6)) and len(s.head()["tables"]["log"]) == 5
+
+
 def test_refresh_publishes_figures_and_checks(spark, tmp_path):
     old = [feature(k, f"P{k}", "2026-09-29T20:00:00", CategoryLevel1="Parking", PublicStatus="CLOSED", DateCreated=ms("2026-03-13T20:00:00"), DateClosed=ms("2026-09-29T20:00:00")) for k in range(100, 200)]
     info = [feature(300, "N1", CategoryLevel1="Other", PublicStatus="CLOSED", DateClosed=ms("2026-09-20T12:00:00"))]
