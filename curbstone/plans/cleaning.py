@@ -11,9 +11,11 @@ from curbstone.functions.maps import FLAG, NEIGHBORHOODS, category_map, neighbor
 from curbstone.operators import quality
 from curbstone.operators.apply import merged, new_history, newest, with_maps
 from curbstone.operators.reconcile import guard_fails
+from curbstone.operators.seeds import upserted
 from curbstone.plans import domain as D
 from curbstone.plans import health, jobs
 from curbstone.plans.registry import add
+from curbstone.sources.export import capture, geojson
 from curbstone.sources.feed import newer_where, slice_where
 
 NOW = "2021-06-30 20:00:00"
@@ -314,3 +316,35 @@ FROM, UNTIL = datetime(2024, 1, 5, 6, 7, 8), datetime(2024, 1, 20)
 events = lambda s, d: D.load(s, d, "events").select("event_id", F.col("ts").alias("DateUpdated"))
 add("flt1_slice_where", lambda s, d: events(s, d).filter(slice_where(FROM, UNTIL)).select("event_id"), f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{FROM}' AND ts < TIMESTAMP '{UNTIL}'")
 add("flt2_newer_where", lambda s, d: events(s, d).filter(newer_where(FROM.replace(microsecond=900_000))).select("event_id"), f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{FROM}'")
+
+# Stored maps, samples and features.
+
+
+def seeds(spark, d):
+    """JOIN-20: a stored map of nations brought up to a seed that lacks one, has a new one and changes some names."""
+    rows = D.load(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") != 2, F.col("n_regionkey")).alias("region"))
+    k = F.col("n_nationkey")
+    return upserted(rows.filter(k > 0), rows.filter(k < 24).withColumn("n_name", F.when(k % 5 == 0, F.lower("n_name")).otherwise(F.col("n_name"))), "n_nationkey")
+
+
+add("join20_upserted", seeds, """SELECT n_nationkey, CASE WHEN n_nationkey < 24 AND n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS region,
+  CASE WHEN n_nationkey = 24 THEN 'deleted' WHEN n_nationkey = 0 THEN 'inserted' WHEN n_nationkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM nation""")
+FIXTURES = {"address-junk": "address IS NULL AND dq_flags & 16 <> 0", "outside-bbox": "dq_flags & 64 <> 0", "closed": "status_group = 'Closed'"}
+
+
+def captured(spark, d):
+    """SNK-10: five cleaned rows for each predicate."""
+    return capture(cleaned_rows(spark, d), {n: F.expr(p) for n, p in FIXTURES.items()}, 5).select("fixture", "object_id", "reference_number")
+
+
+add("snk10_captured", captured, f"""{CLEAN}, taken AS ({' UNION ALL '.join(f"SELECT * FROM (SELECT {k} AS place, '{n}' AS fixture, object_id, reference_number FROM c WHERE {p} ORDER BY object_id LIMIT 5)" for k, (n, p) in enumerate(FIXTURES.items()))})
+  SELECT fixture, object_id, reference_number FROM taken QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY place) = 1""")
+
+
+def features(spark, d):
+    """SNK-11: cleaned rows as compact GeoJSON."""
+    return geojson(cleaned_rows(spark, d).select("reference_number", "zip", "longitude", "latitude"))
+
+
+add("snk11_geojson", features, f"""{CLEAN} SELECT '{{"type":"Feature",' || CASE WHEN longitude IS NOT NULL AND latitude IS NOT NULL THEN '"geometry":{{"type":"Point","coordinates":[' || longitude || ',' || latitude || ']}},' ELSE '' END
+  || '"properties":{{"reference_number":"' || reference_number || '"' || CASE WHEN zip IS NOT NULL THEN ',"zip":"' || zip || '"' ELSE '' END || '}}}}' AS feature FROM c""")
