@@ -79,7 +79,7 @@ NON_SERVICE_LINES = (
     ("Animal Control", "General - Duplicate Request", "A duplicate of a request already logged."),
     ("Animal Control", "General - After Hours Call", "An after-hours call logged for the record."),
     ("Animal Control", "General - Adoption", "Information call about adoption."),
-    ("Animal Control", "General - Spay/ Neuter", "Information call about spay and neuter services."),
+    ("Animal Control", "General - Spay/ Neuter", "A question about having a pet neutered."),
     ("Animal Control", "General - Investigation", "Information call about an investigation."),
     ("Animal Control", "General - License", "Information call about pet licenses."),
     ("Animal Control", "General - Found Animal", "Information call about a found animal."),
