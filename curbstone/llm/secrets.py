@@ -24,12 +24,14 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{%d,}", 16
 #: A candidate is a secret if its log-likelihood ratio, in nats, is at least TOTAL and at least MEAN a character.
 TOTAL, MEAN = 12.0, 0.5
-#: Bounds of the training sample: about so many documents for ordinary words, exactly so many random strings.
-SAMPLE_DOCS, SAMPLE_RANDOM, SEED = 2000, 4000, 7
-#: Added to every count of a pair of characters.
-PRIOR = 0.5
+#: Random strings drawn for training.
+SAMPLE_RANDOM, SEED = 4000, 7
+#: Added to every count of a pair of characters, as a share of that model's counts, and at least LEAST_PRIOR.
+PRIOR, LEAST_PRIOR = 1e-5, 0.5
+#: One in so many pairs of neighbouring words is also counted as an identifier made of them.
+JOINED = 16
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Ordinary identifiers, numbers and separators that a small corpus may lack; each counts ORDINARY_TIMES.
+#: Samples labelled as ordinary by hand, for what a small corpus may lack; a large one outweighs them.
 ORDINARY = """
 get_element_by_id DocumentBuilderFactory configuration_manager internationalization AbstractRequestHandler user_account_settings
 utf-8 x86_64 2024-01-31 2023-12-25T10-30-00 HTTP/1 README_FIRST index/page/1 path/to/some/file static/images/logo-small application/json
@@ -38,7 +40,6 @@ MAX_CONNECTION_COUNT DEFAULT_TIMEOUT_SECONDS isEnabledForUser onClickListener up
 ---------------- ================ ________________ //////////////// ++++++++++++++++ XXXXXXXXXXXXXXXX aaaaaaaaaaaaaaaa 0123456789
 telecommunications responsibilities characteristically Donaudampfschifffahrt anticonstitutionnellement electroencefalografista
 """.split()
-ORDINARY_TIMES = 20
 #: Alphabets that random samples are drawn from.
 ALPHABETS = (CHARS[:62], CHARS[:64], CHARS[:62] + "_-", CHARS[26:62], CHARS[:26] + CHARS[52:62], "0123456789abcdef")
 
@@ -49,7 +50,10 @@ def _both_cases(pattern: str) -> str:
 
 _ASSIGN = re.compile("(" + "|".join(map(_both_cases, ASSIGN_WORDS)) + ")" + ASSIGN_REST)
 _ACCESS, _HEX, _CANDIDATE = re.compile(ACCESS), re.compile(HEX), re.compile(CANDIDATE % LEAST)
+_RUN = re.compile(CANDIDATE % 4)
 _HINTS = ("passw", "secret", "token", "api")
+#: For each byte its place in CHARS, or len(CHARS).
+_PLACE = np.array([CHARS.find(chr(b)) % (len(CHARS) + 1) for b in range(256)], np.int64)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,59 +79,87 @@ def random_samples(n: int = SAMPLE_RANDOM, seed: int = SEED) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randint(16, 64))) for k in range(n)]
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(word, is_random): words of about sample_docs documents, chosen by hash, ORDINARY ones, and random strings.
+def identifiers(first: str, second: str, k: int) -> str:
+    """An ordinary identifier made of two words, in the k-th of the usual spellings."""
+    first, second = first.lower(), second.lower()
+    return (
+        f"{first}_{second}", first + second.capitalize(), f"{first}-{second}", f"{first}_{second}".upper(), first.capitalize() + second.capitalize(), f"{first}/{second}", f"{first}={second}",
+    )[k % 7]
 
-    Ordinary words are runs of 4 to LEAST - 1 characters and plain numbers of any length: what may be a secret, by its length
-    or a fixed pattern, isn't among them.
+
+def labelled(text: str) -> tuple[list[str], list[str]]:
+    """(ordinary strings, random strings) of a text, labelled by rule.
+
+    What the fixed patterns find is random. Ordinary are runs of 4 to LEAST - 1 characters and plain numbers of any length that overlap
+    nothing found, as what may be a secret by its length isn't among them; and identifiers made of neighbouring ones of letters. Each
+    counts once in a text, so that one that repeats itself has no more say than others.
     """
-    spark = docs.sparkSession
-    n = max(docs.count(), 1)
-    chosen = F.pmod(F.xxhash64(F.lit("secrets"), F.col(key), F.octet_length(text)), F.lit(1 << 30)) < int(min(1.0, sample_docs / n) * (1 << 30))
-    rows = docs.filter(chosen).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base_spans(text)
+    secret = [m for s, _, e in base for m in _RUN.findall(text[s:e]) if len(m) >= LEAST]
+    ordinary, at = [], 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while at < len(base) and base[at][2] <= a:
+            at += 1
+        if (b - a < LEAST or m[0].isdigit()) and not (at < len(base) and base[at][0] < b):
+            ordinary.append(m[0])
+    made = [identifiers(x, y, k) for k, (x, y) in enumerate(zip(ordinary[::JOINED], ordinary[1::JOINED])) if x.isalpha() and y.isalpha()]
+    return list({*ordinary, *made}), list(set(secret))
+
+
+def _pairs(strings: list[str]) -> np.ndarray:
+    """Counts of pairs of characters next to one another in strings of CHARS, as a matrix."""
+    n = len(CHARS)
+    if not strings:
+        return np.zeros((n, n), np.int64)
+    # A character outside CHARS between two strings has the place n, which is cut off.
+    codes = _PLACE[np.frombuffer("\n".join(strings).encode("ascii"), np.uint8)]
+    return np.bincount(codes[:-1] * (n + 1) + codes[1:], minlength=(n + 1) ** 2).reshape(n + 1, n + 1)[:n, :n]
+
+
+def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(is_random, first, second, n): pairs of characters, by their places in CHARS, in the labelled strings of all documents.
+
+    Texts are counted in their tasks, whole; at most 2 x len(CHARS)**2 rows come out. A null text has none.
+    """
+    schema = pa.schema([("is_random", pa.bool_()), ("first", pa.int32()), ("second", pa.int32()), ("n", pa.int64())])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = re.compile(CANDIDATE % 4)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(CHARS), len(CHARS)), np.int64)
         for batch in batches:
-            found: list[str] = []
-            for t in batch.column(0).to_pylist():
-                base = base_spans(t)
-                found += [m[0] for m in run.finditer(t) if (m.end() - m.start() < LEAST or m[0].isdigit()) and not any(s < m.end() and m.start() < e for s, _, e in base)]
-            yield pa.RecordBatch.from_pydict({"word": found, "is_random": [False] * len(found)}, pa.schema([("word", pa.string()), ("is_random", pa.bool_())]))
+            for t in batch.column(0):
+                for k, strings in enumerate(labelled(t.as_py())):
+                    total[k] += _pairs(strings)
+        kind, first, second = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kind == 1), pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(total[kind, first, second])], schema=schema)
 
-    drawn = [(w, True) for w in random_samples()] + [(w, False) for w in ORDINARY * ORDINARY_TIMES]
-    drawn = spark.createDataFrame(drawn, "word string, is_random boolean")
-    return rows.mapInArrow(words, "word string, is_random boolean").unionByName(drawn)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "is_random boolean, first int, second int, n long")
+    return rows.groupBy("is_random", "first", "second").agg(F.sum("n").alias("n"))
 
 
-def train(samples: DataFrame) -> np.ndarray:
-    """log P(b | a, random) - log P(b | a, ordinary) for characters a, b of CHARS, from samples (word, is_random).
+def train(counts: DataFrame) -> np.ndarray:
+    """log P(b | a, random) - log P(b | a, ordinary) for characters a, b of CHARS, from pair_counts() and random_samples().
 
-    Pairs of characters are counted in Spark: at most 2 x len(CHARS)**2 rows come back. Null words and characters outside
-    CHARS aren't counted; without samples the matrix is 0.
+    ORDINARY and characters repeated many times are ordinary too.
     """
-    pairs = samples.select("is_random", F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, i, 2))")).alias("pair"))
-    at = {c: k for k, c in enumerate(CHARS)}
-    counts = np.full((2, len(CHARS), len(CHARS)), PRIOR)
-    for r in pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("is_random", "pair").count().collect():
-        counts[int(r["is_random"]), at[r["pair"][0]], at[r["pair"][1]]] += r["count"]
+    held = np.zeros((2, len(CHARS), len(CHARS)))
+    for r in counts.collect():
+        held[int(r["is_random"]), r["first"], r["second"]] += r["n"]
+    held[1] += _pairs(random_samples())
+    held[0] += _pairs(ORDINARY) + _pairs([c * LEAST for c in CHARS]) * max(1.0, 1e-4 * held[0].sum())
+    held += np.maximum(LEAST_PRIOR, PRIOR * held.sum((1, 2)))[:, None, None]
     # Rows of rare characters lean on what follows in all, so that an unseen character isn't evidence by itself.
-    counts += 20 * counts.sum(1, keepdims=True) / counts.sum((1, 2), keepdims=True)
-    p = np.log(counts / counts.sum(2, keepdims=True))
+    held += 20 * held.sum(1, keepdims=True) / held.sum((1, 2), keepdims=True)
+    p = np.log(held / held.sum(2, keepdims=True))
     return p[1] - p[0]
 
 
-_INDEX = np.full(128, 0, np.int64)
-for _k, _c in enumerate(CHARS):
-    _INDEX[ord(_c)] = _k
-
-
 def markov_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that the models call random and that overlap no base span."""
     places = [m.span() for m in _CANDIDATE.finditer(text)]
     if not places:
         return []
-    codes = _INDEX[np.frombuffer("".join(text[a:b] for a, b in places).encode("ascii"), np.uint8)]
+    codes = _PLACE[np.frombuffer("".join(text[a:b] for a, b in places).encode("ascii"), np.uint8)]
     ends = np.cumsum([b - a for a, b in places])
     steps = np.append(ratio[codes[:-1], codes[1:]], 0.0)
     steps[ends - 1] = 0.0  # from one candidate to the next
@@ -169,5 +201,5 @@ def scan(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "t
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """scan() with models trained on labelled_samples() of the same documents."""
-    return scan(docs, train(labelled_samples(docs, key=key, text=text)), key, text)
+    """scan() with models trained on the labelled strings of all the same documents."""
+    return scan(docs, train(pair_counts(docs, text)), key, text)

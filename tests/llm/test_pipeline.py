@@ -91,3 +91,72 @@ def test_pack(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).drop("ids").exceptAll(stages[-1][1].drop("ids")).count() == 0
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string, p_good string, p_toxic int, n_lines int, n_dropped int, h string, slot int, `row` string"
+
+
+def odd(spark, rows):
+    """Documents (doc_id, text, lang, source) with columns named as the operators' own."""
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "mine", "p", 7, 8, 9, "h", 3, "r") for r in rows], ODD)
+
+
+def own(r):
+    return (r["keep"], r["p_good"], r["p_toxic"], r["n_lines"], r["n_dropped"], r["h"], r["slot"], r["row"])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows and clashing columns go through every stage."""
+    english = "The committee met on Monday and talked about the new library. Nothing was decided, but the plans are good. "
+    rows = [(1, None, "en", "web"), (2, "", None, "web"), (3, " \n\t ", "en", None), (None, english + "One row has no number.", "en", "web"), (5, english * 900, "en", None)]
+    rows += [(6, english + "This row is there three times.", "en", "web")] * 3 + [(7, "a" + " " * 300_000 + "b", None, None), (8, english + "It says something else in the end, at some length.", "de", "web")]
+    docs = odd(spark, rows)
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, SF)
+        got = out.collect()
+        if k == 4:
+            assert {r["doc_id"] for r in got} == {i for i, *_ in rows} and sum(r["length"] for r in got if r["doc_id"] == 1) == 1
+            continue
+        assert out.columns == docs.columns and all(own(r) == ("mine", "p", 7, 8, 9, "h", 3, "r") for r in got), name
+        ids = collections.Counter(r["doc_id"] for r in got)
+        texts = {(r["doc_id"], r["text"]) for r in got}
+        if name == "line dedup":
+            assert sum(ids.values()) == len(rows) and (1, None) in texts and ids[6] == 3
+        if name == "near dedup":
+            assert ids[None] == 1 and ids[6] == 3 and ids[1] == ids[2] == ids[3] == 1
+        if name == "mix":
+            assert not {1, 2, 3} & set(ids) and ids[6] >= 3
+        if name == "quality":
+            assert texts <= {(i, t) for i, t, *_ in rows} and ids[6] in (0, 3)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    import shutil
+
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, odd(spark, []), SF)
+        assert out.count() == 0 and (k == 4 or out.columns == odd(spark, []).columns)
+    shutil.copytree(SF, tmp_path / "sf")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    docs.write.parquet(str(tmp_path / "none"))
+    (tmp_path / "sf/documents.parquet").unlink()
+    shutil.move(tmp_path / "none", tmp_path / "sf/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == 0
+
+
+def test_packed_sequences_keep_the_shares_of_the_mix(spark, stages):
+    """Any beginning of the packed sequences has the sources near their shares, and copies of a document lie apart."""
+    mixed, packed = stages[3][1], stages[4][1]
+    source = {r["doc_id"]: r["source"] for r in mixed.select("doc_id", "source").distinct().collect()}
+    pieces = packed.orderBy("sequence_id", "offset").select("doc_id", "start", "length").collect()
+    total, whole = sum(r["length"] for r in pieces), collections.Counter()
+    for r in pieces:
+        whole[source[r["doc_id"]]] += r["length"]
+    held, by = 0, collections.Counter()
+    for r in pieces:
+        if held <= 0.5 * total:
+            held, by[source[r["doc_id"]]] = held + r["length"], by[source[r["doc_id"]]] + r["length"]
+    for s, n in whole.items():
+        assert abs(by[s] / held - n / total) < 0.1
+    order = [r["doc_id"] for r in pieces if r["start"] == 0]
+    assert all(a != b for a, b in zip(order, order[1:]))

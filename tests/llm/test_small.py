@@ -162,19 +162,14 @@ def test_secrets_spans():
 def test_secrets(spark):
     words = "ordinary identifiers such as configuration_manager internationalization DocumentBuilderFactory and getElementByIdentifier " * 5
     df = docs(spark, ODD + [(50, words, "a"), (51, words + " zQ8x-Vt0_LmP4rT7yW2kD9sJ6hN3bC5g " + words, "a"), (52, "é" * 10 + "token='abcdef1'", "a")])
-    got = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    ratio = secrets.train(secrets.pair_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    got = {r["doc_id"]: r for r in secrets.scan(df, ratio).collect()}
     none = hashlib.sha256(b"").hexdigest()
     assert (got[1]["spans"], got[1]["base_sha256"], got[50]["n_markov"]) == ("", none, 0)
     at = len(words) + 1
     assert got[51]["spans"] == f"markov:{at}:{at + 32}" and got[51]["base_sha256"] == none
     assert got[52]["spans"] == "assign:10:24" and got[52]["base_sha256"] == hashlib.sha256(b"assign:10:24").hexdigest()
-    assert secrets.find_secrets(docs(spark, [])).count() == 0
-
-
-def test_markov_on_held_out_strings(spark):
-    ratio = secrets.train(secrets.labelled_samples(docs(spark, [(k, "the configuration of internal services and document builders", "a") for k in range(50)])))
-    found = [bool(secrets.markov_spans(w, ratio, [])) for w in secrets.random_samples(600, 999)]
-    assert np.mean(found) > 0.97
+    assert secrets.find_secrets(docs(spark, [])).count() == 0 and secrets.find_secrets(df).count() == df.count()
 
 
 def test_warc(spark, tmp_path):
@@ -454,25 +449,49 @@ def vectors(spark, data):
     return spark.createDataFrame([(i, v, l, 1, "x", 2) for i, v, l in data], VECTORS)
 
 
+def brute_neighbours(data, q, k=10):
+    ids = np.array([i for i, _ in data])
+    y = np.array([v for _, v in data], float)
+    d = np.sqrt(((y - y[ids == q][0]) ** 2).sum(1))
+    return [(int(ids[j]), float(d[j])) for j in np.lexsort((ids, d)) if ids[j] != q][:k]
+
+
 def test_forest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 8)).astype(np.float32)
     data = [(k, x[k].tolist(), 0) for k in range(700)] + [(k, x[5].tolist(), 0) for k in range(800, 830)] + [(900 + k, v, 0) for k, v in enumerate(BAD)] + [(None, [1.0] * 8, 0)]
     got = forest.search(vectors(spark, data), F.col("vec_id") % 100 == 0)
-    ids = np.array([i for i, v, _ in data if i is not None and i < 900])
-    y = np.array([v for i, v, _ in data if i is not None and i < 900], np.float32).astype(float)
+    plain = [(i, np.array(v, np.float32)) for i, v, _ in data if i is not None and i < 900]
     hit = total = 0
     for q in (0, 100, 500, 800):
-        d = np.sqrt(((y - y[ids == q][0]) ** 2).sum(1))
-        order = [int(k) for k in np.lexsort((ids, d)) if ids[k] != q][:10]
         mine = got.filter(F.col("query_id") == q).orderBy("rank").collect()
-        assert [r["rank"] for r in mine] == list(range(1, 11)) and all(r["score"] == d[ids == r["vec_id"]][0] for r in mine)
-        hit, total = hit + len({r["vec_id"] for r in mine} & set(ids[order].tolist())), total + 10
+        y, own = dict(plain), dict(plain)[q].astype(float)
+        assert [r["rank"] for r in mine] == list(range(1, 11)) and all(r["score"] == np.sqrt(((y[r["vec_id"]] - own) ** 2).sum()) for r in mine)
+        hit, total = hit + len({r["vec_id"] for r in mine} & {i for i, _ in brute_neighbours(plain, q)}), total + 10
     assert hit >= 0.9 * total
     assert [r["vec_id"] for r in got.filter("query_id = 800").orderBy("rank").collect()] == [5, *range(801, 810)]
     assert got.filter("query_id = 900").count() == 0 and forest.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
-    few = forest.search(vectors(spark, [(100, [1.0, 2.0], 0), (1, [1.0, 3.0], 0), (2, [1.0, 2.0, 3.0], 0)]), F.col("vec_id") == 100).collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(100, 1, 1, 1.0)]
+    few = forest.search(vectors(spark, [(100, [1.0, 2.0], 0), (1, [1.0, 3.0], 0), (2, [1.0, 2.0, 3.0], 0), (1, [1.0, 3.0], 0)]), F.col("vec_id") == 100).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(100, 1, 1, 1.0), (100, 2, 1, 1.0)]
+
+
+def test_forest_on_clusters(spark, monkeypatch):
+    """Clustered vectors, one of which a third of all rows share: few candidates, crowded beginnings in parts, recall against brute force."""
+    monkeypatch.setattr(forest, "ROWS", 300)
+    monkeypatch.setattr(forest, "QUERIES", 4)
+    monkeypatch.setattr(forest, "BUDGET", 40)
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((40, 24))
+    data = [(k, (centres[k % 40] + 0.4 * rng.standard_normal(24)).astype(np.float32).tolist(), 0) for k in range(4000)]
+    data += [(5000 + k, data[17][1], 0) for k in range(2000)]
+    got = {}
+    for r in forest.search(vectors(spark, data), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    plain = [(i, v) for i, v, _ in data]
+    want = {q: brute_neighbours(plain, q) for q in range(0, 7000, 100) if q in dict(plain)}
+    assert set(got) == set(want)
+    found = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]
+    assert np.mean(found) >= 9.0 and got[5000] == want[5000]
 
 
 def test_descent(spark):
@@ -515,9 +534,13 @@ def group_and_pairs(group, pairs, dim=32):
     return data
 
 
+def descent_nodes(spark, data, dim):
+    nodes = spark.createDataFrame([(i, dim, str(l), v) for i, v, l in data], "node long, dim int, label string, v array<double>")
+    return descent.with_units(nodes)
+
+
 def test_descent_audit_counts_groups(spark):
-    data = group_and_pairs(300, 40)
-    nodes = spark.createDataFrame([(i, 32, 0, v) for i, v, _ in data], "node long, dim int, label long, v array<double>")
+    nodes = descent_nodes(spark, group_and_pairs(300, 40), 32)
     found = spark.createDataFrame([(k, 0) for k in range(300)] + [(300 + 2 * (k // 2), 300 + 2 * (k // 2)) for k in range(20)], "id long, component long")
     assert descent.audit(nodes, found, 0.98) < 0.1  # the group's 89,700 links hide the 40 pairs, all of which are missed
     pairs = spark.createDataFrame([(k, 300 + 2 * ((k - 300) // 2) if k >= 300 else 0) for k in range(380)], "id long, component long")
@@ -533,10 +556,37 @@ def test_descent_finds_pairs_beside_a_group(spark, monkeypatch):
     assert {got[k] for k in range(300)} == {(299, 0)}
 
 
+def test_descent_near_the_threshold(spark):
+    """Halves can't tell these pairs from the threshold; labels are texts here, and vectors have two lengths."""
+    data = []
+    for k, c in enumerate(np.linspace(0.9795, 0.9805, 41)):
+        for dim in (8, 12):
+            x = np.zeros(dim)
+            x[k % 8] = 1.0
+            y = c * x
+            y[(k + 1) % 8] = np.sqrt(1 - c * c)
+            data += [(len(data), (3 * x).tolist(), f"l{k}"), (len(data) + 1, (y / 7).tolist(), f"l{k}")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in descent.near_vectors(df).collect()}
+    for i in range(0, len(data), 2):
+        x, y = (np.array(data[k][1]) for k in (i, i + 1))
+        cosine = x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)
+        assert abs(cosine - 0.98) < 1e-12 or got[i] == got[i + 1] == int(cosine > 0.98)
+
+
+def test_descent_crowded_cells(spark, monkeypatch):
+    """Parts of crowded cells by a shuffle, and a vector that a third of all rows share."""
+    monkeypatch.setattr(descent, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(descent, "BLOCK", 64)
+    data = group_and_pairs(300, 30)
+    data += [(10_000 + k, data[310][1], 0) for k in range(200)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_vectors(vectors(spark, data)).collect()}
+    assert {got[k] for k in range(300)} == {(299, 0)} and {got[10_000 + k] for k in range(200)} == {(201, 310)} and got[312] == (1, 312)
+
+
 def test_descent_cells_by_label(spark, monkeypatch):
     monkeypatch.setattr(descent, "STARTS", 1)
     rng = np.random.default_rng(9)
     data = [(k, rng.standard_normal(16).tolist(), 0 if k < 4000 else 1) for k in range(4040)]
-    nodes = spark.createDataFrame([(i, 16, l, v) for i, v, l in data], "node long, dim int, label long, v array<double>")
-    lists = descent.start(descent.with_sizes(nodes), 100).filter("a >= 4000").groupBy("a").count().collect()
+    lists = descent.start(descent_nodes(spark, data, 16), 100).filter("a >= 4000").groupBy("a").count().collect()
     assert {r["count"] for r in lists} == {39} and len(lists) == 40  # a label that fits in one cell isn't cut, whatever the others hold
