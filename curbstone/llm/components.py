@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from curbstone.llm.common import keep
 
 MOST_ROUNDS = 60
+#: Nodes whose edges are dealt out, at most, and over how many parts.
+HUBS, SALTS = 10_000, 64
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,11 +17,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40))), F.lit(0))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's least neighbour, or itself."""
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the node's least neighbour, or itself.
+
+    Nodes with more than 1 / HUBS of all ends of edges are at most HUBS; they are sent to all executors, and their edges are dealt
+    out over SALTS, so that a node which a third of all edges have is no single task.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = keep(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(SALTS, 2 * total // HUBS)).select("a", F.lit(True).alias("hub")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    up = both.filter("b > a")
+    if hubs.take(1):
+        hubs = F.broadcast(hubs)
+        up = up.join(hubs, "a", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hub")
+        spread = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        up = up.join(least.join(hubs, "a", "left").select("a", "m", spread.alias("salt")), ["a", "salt"])
+    else:
+        up = up.join(least, "a")
+    return up.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of each node of edges (a, b): component is the least id that the node reaches.
 
     Nodes are longs. Each round replaces the edges by fewer or shorter ones, as two aggregations and two joins with
-    the least neighbour of a node; a node with many edges is split by Spark's skew join. Edges are checkpointed each round,
+    the least neighbour of a node; a node with many edges is dealt out over several tasks. Edges are checkpointed each round,
     and rounds end when nothing changes. Loops and repeated edges don't matter, edges with a null end are left out,
     and without edges there are no rows.
     """
@@ -43,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        edges = keep(_small_star(_large_star(edges)))
+        edges = keep(_small_star(_large_star(edges, state[0])))
         new = _state(edges)
         if new == state:
             break
