@@ -19,7 +19,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Minima in a signature: BANDS x ROWS. At similarity 0.75 a pair shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
 #: Documents of a star, or of one side of a block of a bucket, that one group holds.
-STAR, BLOCK = 128, 512
+STAR, BLOCK = 128, 256
 #: Shingles that a block's sets are compared on at a time.
 WIDE = 8192
 #: Bits of the filter that finds the documents whose sets are needed: 2 MB, sent to all executors.
