@@ -24,6 +24,8 @@ PACKAGE_BYTES = 64 << 20
 #: Smallest payload that may be a revisit.
 LEAST_REVISIT = 0
 SALTS = 32
+#: Repeated digests up to which they are sent to all executors (about 100 bytes each), so that no payload is shuffled.
+BROADCAST_DIGESTS = 50_000
 #: Records that one reading task gets together.
 READ_RUN = 512
 #: Bytes of packages for each reading task: the rows dealt out are places only, so their own size says nothing.
@@ -120,8 +122,8 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Writes a record for each row of pages to packages in folder: one row (path, records, bytes) for each package.
 
     Of records whose payloads of LEAST_REVISIT bytes or more are equal, those with the smallest key are responses and the
-    others revisit it. Only digests that occur twice are joined back, over SALTS copies, so a payload that a third of
-    all pages share is spread. Tasks stream their rows into packages of about PACKAGE_BYTES and rename each when it is
+    others revisit it. Only digests that occur twice are joined back: up to BROADCAST_DIGESTS, counted first, by sending them to
+    all executors, more over SALTS copies, so a payload that a third of all pages share is spread. Tasks stream their rows into packages of about PACKAGE_BYTES and rename each when it is
     whole; a retried task writes the same names again.
 
     A null payload is empty, a null URL is empty, null keys come after all others and, alone, are responses. Equal rows with
@@ -131,9 +133,13 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    same = same.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    rows = rows.withColumn("salt", salt).join(same, ["digest", "salt"], "left").select("page_id", "url", "payload", "first")
+    same = keep(same.filter("n > 1").drop("n"))
+    if same.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(same), "digest", "left")
+    else:
+        same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(same, ["digest", "salt"], "left")
+    rows = rows.select("page_id", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, package, made = TaskContext.get().partitionId(), 0, None, []

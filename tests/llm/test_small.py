@@ -172,7 +172,9 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0 and secrets.find_secrets(df).count() == df.count()
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_warc(spark, tmp_path, most, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     schema = "page_id bigint, url string, html string, digest int, salt int, payload int"
     data = [(3, "http://a/", "same"), (1, "http://b/\r\nX: y", "same"), (2, None, None), (5, "u", ""), (None, "u", "same"), (7, "u", "é" * 100_000), (7, "u", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, 1, 2, 3) for r in data], schema)
