@@ -43,8 +43,8 @@ def _units(raw: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
-def _grouped(rows: DataFrame, by: list[str], function: Callable[[pd.DataFrame, np.ndarray], dict], schema: str) -> DataFrame:
-    """function of (whole groups, where they begin and end) of rows dealt by `by`: many small groups at a time.
+def _grouped(rows: DataFrame, by: list[str], function: Callable[[pd.DataFrame, np.ndarray], dict], schema: str, deal: list[str] | None = None) -> DataFrame:
+    """function of (whole groups, where they begin and end) of rows dealt by `by`, or by some of it: many small groups at a time.
 
     A task holds one batch of rows and the group that goes on in the next one.
     """
@@ -63,7 +63,7 @@ def _grouped(rows: DataFrame, by: list[str], function: Callable[[pd.DataFrame, n
         if held is not None:
             yield pa.RecordBatch.from_pydict(function(held, np.array([0, len(held)])))
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return rows.repartition(*(deal or by)).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def _ends(f: pd.DataFrame, by: list[str]) -> np.ndarray:
@@ -287,7 +287,9 @@ def close(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("component", lo.alias("lo"), hi.alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "whole", "copies")
+    groups = max(1, math.ceil(labels.count() / (2 * BLOCK)))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", lo, hi))
+    rows = rows.select(group.alias("group"), "component", lo.alias("lo"), hi.alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "whole", "copies")
 
     def compare(f: pd.DataFrame, ends: np.ndarray) -> dict:
         node, all_copies, all_sides, links = f["node"].to_numpy(), f["copies"].to_numpy(), f["side"].to_numpy(), []
@@ -300,7 +302,7 @@ def close(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
             links.append((hit @ copies).astype(np.int64))
         return {"node": node, "links": np.concatenate(links)}
 
-    return _grouped(rows, ["component", "lo", "hi"], compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return _grouped(rows, ["group", "component", "lo", "hi"], compare, "node long, links long", ["group"]).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
