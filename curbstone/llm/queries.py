@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from curbstone.llm.common import table
 from curbstone.llm.descent import near_vectors
+from curbstone.llm.divergence import LEAST_DOCS, TERM_RANKS, audit
 from curbstone.llm.forest import search
+from curbstone.llm.lexical import TOP
+from curbstone.llm.lexical import search as lexical_search
 from curbstone.llm.lines import LEAST_PAGES, RATIO, dedup_lines
 from curbstone.llm.mixing import mix
 from curbstone.llm.near import near_duplicates
 from curbstone.llm.packing import pack
+from curbstone.llm.products import NEIGHBOURS
+from curbstone.llm.products import search as product_search
 from curbstone.llm.quality import classify
 from curbstone.llm.quality import train as train_quality
 from curbstone.llm.secrets import find_secrets
@@ -71,6 +76,18 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -137,6 +154,61 @@ links AS (
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM tops
 """
 
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w))
+SELECT query_id, (row_number() OVER r)::INT AS rank, vec_id, score FROM s
+WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER r <= {NEIGHBOURS}
+"""
+
+
+def _terms_sql(text: str, others: str) -> str:
+    return rf"unnest(regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{others}\x5B-\x60\x7B-\x7F]+'))"
+
+
+_NO_TERM = r"\x00-\x2F\x3A-\x40"
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, {_terms_sql("text", _NO_TERM)} AS t FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+whole AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM sizes),
+items AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, {_terms_sql("text", _NO_TERM)} AS t FROM benchmark)),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM t WHERE t IN (SELECT t FROM items) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * (SELECT n FROM whole) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY t),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * s.n * whole.n) // whole.l))))::BIGINT AS score
+  FROM items JOIN tf USING (t) JOIN w USING (t) JOIN sizes s USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER r)::INT AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER r <= {TOP}
+"""
+
+_NO_LETTER = r"\x00-\x40"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text FROM documents),
+t AS (SELECT doc_id, lang, source, {_terms_sql("text", _NO_LETTER)} AS t FROM d),
+kept AS (SELECT lang, t FROM t GROUP BY lang, t HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, t, count(*) AS n FROM t JOIN kept USING (lang, t) GROUP BY lang, source, t),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM g LEFT JOIN seen USING (lang, source) GROUP BY lang, source),
+ln AS (SELECT lang, sum(n)::BIGINT AS total FROM seen GROUP BY lang),
+p AS (
+  SELECT lang, source, t, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM gn JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN seen USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(n) + 1)::HUGEINT) // (any_value(total) + any_value(v)) AS q FROM seen JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, t),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER r)::INT AS rank FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms)
+WINDOW r AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER r <= {TERM_RANKS}
+"""
+
 
 def queries() -> dict:
     found = (
@@ -150,9 +222,14 @@ def queries() -> dict:
         op8_pack_windows,
         op9_quality_posterior,
         op10_nn_descent,
+        op11_norm_buckets,
+        op12_block_max,
+        op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_warc_packages": OP5_SQL, "op7_minhash_dedup": OP7_SQL, "op10_nn_descent": OP10_SQL}
+    return {
+        "op4_line_dedup": OP4_SQL, "op5_warc_packages": OP5_SQL, "op7_minhash_dedup": OP7_SQL, "op10_nn_descent": OP10_SQL, "op11_norm_buckets": OP11_SQL, "op12_block_max": OP12_SQL, "op13_source_divergence": OP13_SQL,
+    }
