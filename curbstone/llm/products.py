@@ -69,8 +69,9 @@ class _Scan:
 
     def add(self, f: pd.DataFrame) -> None:
         length = f["length"].to_numpy()
-        need = self.floor / np.maximum(self.length * length[0] * (1 + SLACK), 1e-300)  # the cosine that this bucket must have
-        live = (need <= 1) | (self.floor <= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(self.floor > 0, self.floor / (self.length * length[0] * (1 + SLACK)), -1.0)  # the cosine that this bucket must have
+        live = need <= 1
         by_coordinate = live & (need >= COORDINATE) & (self.length > 0)
         rows, found = np.stack(f["w"].to_numpy()), []
         others = np.flatnonzero(live & ~by_coordinate)
@@ -220,8 +221,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, key: str =
 
     Null vectors and those with null or non-finite components take no part, nor do rows without a key; all-zero vectors do. Vectors are
     multiplied with those of the same length, empty ones among themselves to 0. Ties go to the smaller id. Rows with the query's key
-    are the query itself; other rows that share a key are each a candidate; query rows that share a key are ranked together. With fewer
-    candidates than k all are given; without rows or queries there are none. Scores beyond 64 bits are the nearest number of 64 bits.
+    are the query itself; other rows that share a key are each a candidate; query rows that share a key are one query, and
+    the best of their products count. With fewer candidates than k all are given; without rows or queries there are none. Scores
+    beyond 64 bits are the nearest number of 64 bits.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.filter(finite(F.col("v")) & F.col("id").isNotNull()).select("id", "q", integers(F.col("v"), scale).alias("w"))
@@ -233,6 +235,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, key: str =
     smallest = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     ids = rows.groupBy("k1", "k2", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies")).withColumn("place", smallest).filter(F.col("place") <= k + 1)
     pairs = best.drop("least").join(asked.select(F.col("id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2")), ["q1", "q2"]).join(ids, ["k1", "k2"])
-    pairs = pairs.filter("id <> query_id").select("query_id", F.col("id").alias("vec_id"), "score", F.explode(F.sequence(F.lit(1), "copies")))
+    pairs = pairs.filter("id <> query_id").groupBy("query_id", "id", "k1", "k2", "copies").agg(F.max("score").alias("score"))
+    pairs = pairs.select("query_id", F.col("id").alias("vec_id"), "score", F.explode(F.sequence(F.lit(1), "copies")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
