@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curbstone.functions.maps import NEIGHBORHOODS, category_map, flag_map, neighborhood_map, slug_of, source_map
 from curbstone.functions.text import map_key, null_if_blank, slug
 from curbstone.operators.notes import clear_outs, date_problem_closures, non_service_by_period, non_service_open, sentence
-from curbstone.operators.profile import attribute_counts, match_rate
+from curbstone.operators.profile import attribute_counts, match_rate, served_statistics
 from curbstone.operators.reconcile import newest_keys, removed, restored, to_refetch
 from curbstone.plans import domain as D
 from curbstone.plans.figures import PERIODS
 from curbstone.plans.registry import add
+from curbstone.sources.feed import FeedSource, slice_where, with_functions
+from curbstone.sources.served import argument, pages_of, statistics_of
 
 add("win1_latest_version", lambda s, d: D.newest_versions(s, d).select("reference_number", "object_id", "public_status", "updated_ts"), f"{D.SQL} SELECT reference_number, object_id, public_status, updated_ts FROM latest")
 
@@ -195,7 +199,47 @@ def statuses(spark, d):
 
 add("agg25_scl27_status_counts", statuses, """SELECT event_type, count(*) AS n, count(*) FILTER (value > 100) AS "over", CASE WHEN count(*) FILTER (value > 100) > 0.05 * count(*) THEN 'Warn' ELSE 'Pass' END AS status FROM events GROUP BY ALL""")
 
-# Source profile.
+# The feed: events served as a feed, read and profiled through the library's sources.
+def _events(d: str) -> str:
+    return argument(f"{d}/events.parquet", OBJECTID="event_id", ReferenceNumber="event_type", DateUpdated="ts")
+
+
+def served_events(spark, d, **options):
+    spark.dataSource.register(with_functions(FeedSource, feed=pages_of))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("keyset_feed").options(argument=_events(d), pushdown="true", **options).load()
+
+
+def pushed(spark, d):
+    """SRC-1, FLT-1, FLT-2: filters of Spark's that the feed is asked for, those on the feature left to Spark."""
+    rows = served_events(spark, d, last=1 << 40).filter("object_id > 100 and object_id <= 9000 and date_updated >= 1704153600000 and date_updated < 1706000000500")
+    rows = rows.filter(F.col("reference_number").isin("click", "view", "error"))
+    value = F.get_json_object("feature", "$.attributes.value").cast("double")
+    return rows.withColumn("value", value).filter("value > 5").select("object_id", "reference_number", "date_updated", "value")
+
+
+def keyset_scan(spark, d):
+    """SRC-1, SORT-10: the whole feed by keyset pages, in ranges of ids whose ends the feed's own figures give."""
+    ends = served_statistics(spark, statistics_of, "max OBJECTID", argument=_events(d)).first()[0] or 0
+    rows = served_events(spark, d, after=-1, last=ends, ranges=4, pageSize=500)
+    return rows.select("object_id", "reference_number", F.get_json_object("feature", "$.attributes.user_id").cast("long").alias("user_id"))
+
+
+def served_profile(spark, d, asked, group=None, **more):
+    return served_statistics(spark, statistics_of, asked, group, argument=_events(d), **more)
+
+
+add("src1_flt1_flt2_pushed", pushed, """SELECT event_id AS object_id, event_type AS reference_number, epoch_us(ts) // 1000 AS date_updated, value FROM events WHERE event_id > 100 AND event_id <= 9000
+  AND epoch_us(ts) // 1000 >= 1704153600000 AND epoch_us(ts) // 1000 < 1706000000500 AND event_type IN ('click', 'view', 'error') AND value > 5""")
+add("src1_sort10_keyset_scan", keyset_scan, "SELECT event_id AS object_id, event_type AS reference_number, user_id FROM events")
+add("src2_src3_served_profile", lambda s, d: served_profile(s, d, "count OBJECTID, min OBJECTID, max OBJECTID, min DateUpdated, max DateUpdated", first=0, last=1 << 17, ranges=4), """SELECT count(*) AS count_objectid, min(event_id) AS min_objectid,
+  max(event_id) AS max_objectid, min(epoch_us(ts) // 1000) AS min_dateupdated, max(epoch_us(ts) // 1000) AS max_dateupdated FROM events WHERE event_id <= 131072""")
+add("src2_served_count", lambda s, d: served_profile(s, d, "count OBJECTID", where=slice_where(datetime(2024, 1, 5), datetime(2024, 1, 20))), "SELECT count(*) AS count_objectid FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+add("src4_served_groups", lambda s, d: served_profile(s, d, "count OBJECTID, max DateUpdated", "ReferenceNumber", first=0, last=1 << 17, ranges=3).orderBy(F.desc("count_objectid"), "value"), """SELECT event_type AS value, count(*) AS count_objectid,
+  max(epoch_us(ts) // 1000) AS max_dateupdated FROM events WHERE event_id <= 131072 GROUP BY ALL""")
+add("src5_served_distinct", lambda s, d: served_profile(s, d, "distinct ReferenceNumber"), "SELECT count(DISTINCT event_type) AS distinct_referencenumber FROM events")
+
+# Source profile of rows at hand.
 add("src2_src3_src5_profile", lambda s, d: D.versions(s, d).agg(F.count(F.lit(1)).alias("n"), F.min("object_id").alias("first_id"), F.max("object_id").alias("last_id"), F.count_distinct("reference_number").alias("references")), f"""{D.SQL} SELECT count(*) AS n, min(object_id) AS first_id, max(object_id) AS last_id, count(DISTINCT reference_number) AS "references" FROM versions""")
 add("src4_value_counts", lambda s, d: attribute_counts(D.versions(s, d), "category_level1"), f"{D.SQL} SELECT category_level1 AS value, count(*) AS n FROM versions GROUP BY ALL")
 add("src1_sort10_keyset_page", lambda s, d: D.load(s, d, "events").filter("event_id > 4000").orderBy("event_id").limit(2000), "SELECT * FROM events WHERE event_id > 4000 ORDER BY event_id LIMIT 2000")
