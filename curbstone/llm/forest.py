@@ -16,6 +16,7 @@ from curbstone.llm.common import keep, keep_table
 
 #: Trees, letters of their hash strings, random directions that a letter chooses among, and the bits of a letter.
 TREES, LETTERS, DIRECTIONS, BITS, SEED = 32, 12, 4, 3, 11
+DEPTH = LETTERS * BITS
 #: A query ascends until its matches in all trees, counted with repeats, are BUDGET x the square root of all different vectors.
 BUDGET = 100
 #: Rows and queries of a prefix that meet in one group; more are dealt into parts. Rows hashed together.
@@ -23,8 +24,8 @@ ROWS, QUERIES, CHUNK = 1 << 14, 1 << 12, 1024
 #: Prefixes whose sizes are sent to all executors (about 60 bytes each); more are joined by a shuffle.
 BROADCAST_PREFIXES = 20_000
 NEIGHBOURS = 10
-#: Rows near by their rounded vectors that are measured exactly, for each neighbour asked for.
-MEASURED = 4
+#: Share of squared lengths by which squared distances are widened, far above the error of doubles.
+SLACK = 1e-12
 
 
 def usable(vector: Column) -> Column:
@@ -47,34 +48,47 @@ def hash_strings(x: np.ndarray) -> np.ndarray:
     worth = np.int64(1) << (BITS * np.arange(LETTERS - 1, -1, -1))
     for at in range(0, len(x), CHUNK):
         part = x[at : at + CHUNK]
-        y = ((part / np.abs(part).max(1)[:, None]).astype(np.float32) @ planes).reshape(-1, TREES, LETTERS, DIRECTIONS)
+        y = ((part / np.where(largest := np.abs(part).max(1), largest, 1)[:, None]).astype(np.float32) @ planes).reshape(-1, TREES, LETTERS, DIRECTIONS)
         far = np.abs(y).argmax(3)
         letter = 2 * far + (np.take_along_axis(y, far[..., None], 3)[..., 0] > 0)
         out[at : at + CHUNK] = letter @ worth
     return out
 
 
+def _centres(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each dimension. Distances don't depend on where the origin is; hashes and roundings do."""
+    rows = nodes.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg(F.col("x").cast("double")).alias("x")).collect()
+    out = {d: np.zeros(d) for d in {r["dim"] for r in rows}}
+    for r in rows:
+        out[r["dim"]][r["at"]] = r["x"] if np.isfinite(r["x"]) else 0.0
+    return out
+
+
 def _hashed(nodes: DataFrame) -> DataFrame:
-    """(k1, k2, dim, codes, scale, small): hash strings, and the vector rounded to a byte a component, of rows (k1, k2, dim, v)."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("dim", pa.int32()), ("codes", pa.list_(pa.int64())), ("scale", pa.float64()), ("small", pa.binary())])
+    """(k1, k2, dim, codes, scale, error, small) of rows (k1, k2, dim, v): hash strings, the vector less the mean rounded to a byte a
+    component, and how far that is from it."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("dim", pa.int32()), ("codes", pa.list_(pa.int64())), ("scale", pa.float64()), ("error", pa.float64()), ("small", pa.binary())])
+    centres = _centres(nodes)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             f = batch.to_pandas()
-            for _, g in f.groupby("dim"):
-                x = matrix(g["v"])
+            for dim, g in f.groupby("dim"):
+                x = matrix(g["v"]) - centres[dim]
                 codes, scale = hash_strings(x), np.abs(x).max(1) / 127
-                small = [r.tobytes() for r in np.rint(x / scale[:, None]).astype(np.int8)]
+                small = np.rint(x / np.where(scale, scale, 1)[:, None]).astype(np.int8)
+                error = np.sqrt(((x - small * scale[:, None]) ** 2).sum(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * TREES), pa.array(codes.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(g["k1"]), pa.array(g["k2"]), pa.array(g["dim"], pa.int32()), lists, pa.array(scale), pa.array(small, pa.binary())], schema=schema)
+                small = pa.array([r.tobytes() for r in small], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(g["k1"]), pa.array(g["k2"]), pa.array(g["dim"], pa.int32()), lists, pa.array(scale), pa.array(error), small], schema=schema)
 
-    return nodes.mapInArrow(run, "k1 long, k2 long, dim int, codes array<long>, scale double, small binary")
+    return nodes.mapInArrow(run, "k1 long, k2 long, dim int, codes array<long>, scale double, error double, small binary")
 
 
 def _trees(hashed: DataFrame, depth: int, *columns: str) -> DataFrame:
-    """hashed, once for each tree: (dim, tree, prefix, code, *columns), prefix being the first depth letters. At depth 0 one tree is all."""
+    """hashed, once for each tree: (dim, tree, prefix, code, *columns), prefix being the first depth bits. At depth 0 one tree is all."""
     rows = hashed.select("dim", *columns, F.posexplode(F.slice("codes", 1, TREES if depth else 1)).alias("tree", "code"))
-    return rows.select("dim", "tree", F.shiftright("code", BITS * (LETTERS - depth)).alias("prefix"), "code", *columns)
+    return rows.select("dim", "tree", F.shiftright("code", DEPTH - depth).alias("prefix"), "code", *columns)
 
 
 def _wide(f: pd.DataFrame) -> np.ndarray:
@@ -82,21 +96,27 @@ def _wide(f: pd.DataFrame) -> np.ndarray:
 
 
 class _Visit:
-    """Some queries in one tree: matches by level, and the nearest rows at each level, as the tree's sorted rows come in batches."""
+    """Some queries in one tree: matches by level, and the rows at each level that may be among the k nearest, as sorted rows come in batches.
+
+    Rounded vectors say within which bounds a distance lies; a row stays if its least distance is within the k-th of the greatest.
+    """
 
     def __init__(self, queries: pd.DataFrame, depth: int, k: int):
         self.queries, self.depth, self.k = queries, depth, k
         self.codes, self.x = queries["code"].to_numpy(), _wide(queries)
-        self.squares = (self.x**2).sum(1)
-        self.levels = np.arange(depth, LETTERS + 1)
+        self.squares, self.error = (self.x**2).sum(1), queries["error"].to_numpy()
+        self.levels = np.arange(depth, DEPTH + 1)
         self.counts = np.zeros((len(queries), len(self.levels)), np.int64)
-        self.held: list[list[np.ndarray]] = [[] for _ in self.codes]  # (k1, k2, level, distance) of each query's rows
+        self.held: list[list[np.ndarray]] = [[] for _ in self.codes]  # (k1, k2, level, least, greatest distance) of each query's rows
 
     def add(self, f: pd.DataFrame) -> None:
         """A run of rows in the order of their hash strings: a level's matches are a stretch of it, within that of the level above."""
         codes, y, keys = f["code"].to_numpy(), _wide(f), f[["k1", "k2"]].to_numpy()
-        far = self.squares[:, None] + (y**2).sum(1) - 2 * self.x @ y.T
-        shift = BITS * (LETTERS - self.levels)
+        squares = self.squares[:, None] + (y**2).sum(1)
+        far, error = squares - 2 * self.x @ y.T, self.error[:, None] + f["error"].to_numpy()
+        least = np.sqrt(np.maximum(far - SLACK * squares, 0)) - error
+        most = np.sqrt(np.maximum(far, 0) + SLACK * squares) + error
+        shift = DEPTH - self.levels
         low = self.codes[:, None] >> shift << shift
         start = np.searchsorted(codes, low)
         stop = np.searchsorted(codes, low + (np.int64(1) << shift))
@@ -111,28 +131,31 @@ class _Visit:
                     for r in at:
                         at[r] = self.levels[j] if a <= r < b else at[r]
                     continue
-                best = range(a, b) if b - a <= self.k else (a + np.argpartition(far[i, a:b], self.k - 1)[: self.k]).tolist()
-                at.update((r, self.levels[j]) for r in (*best, *(r for r in at if a <= r < b)))
+                near = range(a, b)
+                if b - a > self.k:
+                    bound = np.partition(most[i, a:b], self.k - 1)[self.k - 1]
+                    near = (a + np.flatnonzero(least[i, a:b] <= bound)).tolist()
+                at.update((r, self.levels[j]) for r in (*near, *(r for r in at if a <= r < b)))
             if at:
                 r = np.fromiter(at, np.int64)
-                self.held[i].append(np.column_stack([keys[r], np.fromiter(at.values(), np.int64), far[i, r].view(np.int64)]))
+                self.held[i].append(np.column_stack([keys[r], np.fromiter(at.values(), np.int64), least[i, r].view(np.int64), most[i, r].view(np.int64)]))
 
     def found(self) -> tuple[list, list, list]:
         """(queries' keys, their counts, their rows as lists of structs' fields)."""
-        rows = [np.concatenate(h) if h else np.zeros((0, 4), np.int64) for h in self.held]
+        rows = [np.concatenate(h) if h else np.zeros((0, 5), np.int64) for h in self.held]
         return self.queries[["k1", "k2"]].to_numpy(), self.counts, rows
 
 
-_FOUND = "q1 long, q2 long, counts array<long>, k1 array<long>, k2 array<long>, level array<long>, far array<double>"
+_FOUND = "q1 long, q2 long, counts array<long>, k1 array<long>, k2 array<long>, level array<long>, least array<double>, most array<double>"
 
 
 def _meet(rows: DataFrame, depth: int, k: int) -> DataFrame:
-    """_FOUND: a row for each query and group of rows (group, kind: 0 query, 1 row, code, k1, k2, scale, small)."""
-    schema = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("counts", "k1", "k2", "level")), ("far", pa.list_(pa.float64()))])
+    """_FOUND: a row for each query and group of rows (group, kind: 0 query, 1 row, code, k1, k2, scale, error, small)."""
+    schema = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("counts", "k1", "k2", "level")), *((c, pa.list_(pa.float64())) for c in ("least", "most"))])
 
     def give(visits: list[_Visit]) -> pa.RecordBatch:
         keys, counts, rows = (sum(map(list, x), []) for x in zip(*(v.found() for v in visits)))
-        columns = [[int(q[0]) for q in keys], [int(q[1]) for q in keys], counts, *([r[:, c] for r in rows] for c in range(3)), [np.ascontiguousarray(r[:, 3]).view(np.float64) for r in rows]]
+        columns = [[int(q[0]) for q in keys], [int(q[1]) for q in keys], counts, *([r[:, c] for r in rows] for c in range(3)), *([np.ascontiguousarray(r[:, c]).view(np.float64) for r in rows] for c in (3, 4))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,39 +187,41 @@ def _meet(rows: DataFrame, depth: int, k: int) -> DataFrame:
 
 
 def candidates(hashed: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
-    """(q1, q2, k1, k2, far): for each query, one of asked (k1, k2), the k nearest of its candidates in each tree, far by rounded vectors.
+    """(q1, q2, k1, k2, least, most): for each query, one of asked (k1, k2), those of its candidates in each tree that may be among the k
+    nearest, with the least and the greatest distance that rounded vectors allow.
 
     A tree is its rows sorted by hash string; it is dealt out by the strings' first letters, so many that a query may be expected to
     have enough matches under them. There a query descends to its longest match, counts the matches at each level above,
     and the nearest rows at each level are noted. The counts of all trees are added up, and the query ascends in all trees
-    together, a letter at a time, until they are BUDGET x sqrt(n): rows that match at that level in any tree are its candidates.
-    Queries that have too few under these letters go on with one letter less, at last with all rows.
+    together, a bit of a letter at a time, so that at most about twice as many are taken as are needed, until they are BUDGET x sqrt(n):
+    rows that match at that level in any tree are its candidates. Queries that have too few under these bits go on with a letter less,
+    at last with all rows.
 
     A crowded beginning is dealt into parts by rows and by queries, so a task holds QUERIES queries and one batch of rows.
     """
     need, by = BUDGET * math.sqrt(n), ["dim", "tree", "prefix"]
-    depth = max([0, *(d for d in range(1, LETTERS + 1) if TREES * n / (1 << BITS * d) >= need)])
+    depth = max([0, *(d for d in range(1, DEPTH + 1) if TREES * n / (1 << d) >= need)])
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     of = lambda c: F.pmod(F.xxhash64(F.lit(c), "k1", "k2"), F.col(c)).cast("int")
     parts = lambda c, m: F.ceil(F.col(c) / m).cast("int")
     left = keep(hashed.join(asked, ["k1", "k2"], "left_semi"))
     out = None
     while True:
-        queries = _trees(left, depth, "k1", "k2", "scale", "small")
+        queries = _trees(left, depth, "k1", "k2", "scale", "error", "small")
         sizes = queries.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"))
         sizes = _trees(hashed, depth).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(sizes, by)
         sizes = keep(sizes.select(*by, parts("n", ROWS).alias("parts"), parts("queries", QUERIES).alias("turns")))
         sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_PREFIXES else sizes
-        rows = _trees(hashed, depth, "k1", "k2", "scale", "small").join(sizes, by)
+        rows = _trees(hashed, depth, "k1", "k2", "scale", "error", "small").join(sizes, by)
         rows = rows.withColumn("part", of("parts")).withColumn("turn", each("turns")).withColumn("kind", F.lit(1))
         queries = queries.join(sizes, by).withColumn("turn", of("turns")).withColumn("part", each("parts")).withColumn("kind", F.lit(0))
         group = F.xxhash64(*by, "part", "turn").alias("group")
-        columns = [group, "kind", "code", "k1", "k2", "scale", "small"]
+        columns = [group, "kind", "code", "k1", "k2", "scale", "error", "small"]
         found = keep(_meet(queries.select(*columns).unionByName(rows.select(*columns)), depth, k))
         totals = found.select("q1", "q2", F.posexplode("counts").alias("level", "matches")).groupBy("q1", "q2", "level").agg(F.sum("matches").alias("matches"))
         reached = totals.filter((F.col("matches") >= need) | F.lit(depth == 0)).groupBy("q1", "q2").agg(F.max(F.when((F.col("matches") >= need) | (F.col("level") == 0), F.col("level"))).alias("reached"))
         reached = keep(reached.select("q1", "q2", (F.col("reached") + depth).alias("reached")))
-        near = found.join(reached, ["q1", "q2"]).select("q1", "q2", "reached", F.explode(F.arrays_zip("k1", "k2", "level", "far")).alias("r"))
+        near = found.join(reached, ["q1", "q2"]).select("q1", "q2", "reached", F.explode(F.arrays_zip("k1", "k2", "level", "least", "most")).alias("r"))
         near = near.select("q1", "q2", "r.*", "reached").filter("level >= reached").drop("level", "reached")
         out = near if out is None else out.unionByName(near)
         if not depth:
@@ -204,7 +229,7 @@ def candidates(hashed: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame
         left = keep(left.join(reached.select(F.col("q1").alias("k1"), F.col("q2").alias("k2")), ["k1", "k2"], "left_anti"))
         if not left.take(1):
             return out
-        depth -= 1
+        depth = max(0, depth - BITS)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -212,7 +237,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, key: str =
 
     score is the Euclidean distance of the original vectors in double precision; equal distances go to the smaller id.
     Equal vectors are one node of one forest over all rows, with their k + 1 smallest ids, so that a vector which many rows share is
-    no crowd. candidates() gives nodes near by rounded vectors; of these the MEASURED x k nearest are measured exactly.
+    no crowd. candidates() gives nodes by rounded vectors; all whose least distance is within the k-th greatest are measured exactly,
+    so no candidate is lost to rounding. Many rows nearer to each other than a 250th of their distance from the mean of all vectors
+    are all measured.
     The number of candidates grows with the square root of the rows; queries are a stated set, a small part of all rows.
 
     Null vectors, all-zero ones and those with null or non-finite components take no part, as query or candidate; nor do rows
@@ -225,10 +252,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, key: str =
     rows = rows.withColumns({"dim": F.size("v"), "k1": F.xxhash64(F.lit(1), "v"), "k2": F.xxhash64(F.lit(2), "v")})
     nodes = keep_table(rows.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.first("dim").alias("dim")))
     asked = keep(rows.filter("q").select("id", "k1", "k2").distinct())
-    found = candidates(keep_table(_hashed(nodes)), asked.select("k1", "k2").distinct(), nodes.count(), MEASURED * k)
-    found = found.groupBy("q1", "q2", "k1", "k2").agg(F.min("far").alias("far"))
-    nearest = F.row_number().over(Window.partitionBy("q1", "q2").orderBy("far", "k1", "k2"))
-    found = found.withColumn("place", nearest).filter(F.col("place") <= MEASURED * k).select("q1", "q2", "k1", "k2")
+    # A query's own nodes, mostly one, are nearest to it but no candidates; other ids of theirs are.
+    own = rows.join(asked.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2").distinct().groupBy("id").count().agg(F.max("count")).first()[0]
+    wanted = k + (own or 0)
+    found = candidates(keep_table(_hashed(nodes)), asked.select("k1", "k2").distinct(), nodes.count(), wanted)
+    found = found.groupBy("q1", "q2", "k1", "k2").agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    of_query = Window.partitionBy("q1", "q2")
+    found = found.withColumn("place", F.row_number().over(of_query.orderBy("most", "k1", "k2")))
+    found = found.withColumn("bound", F.max(F.when(F.col("place") <= wanted, F.col("most"))).over(of_query)).filter("least <= bound").select("q1", "q2", "k1", "k2")
     smallest = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     ids = rows.groupBy("k1", "k2", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies")).withColumn("place", smallest).filter(F.col("place") <= k + 1)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 WINDOW = 1024
@@ -183,6 +184,20 @@ class _Stream:
         return out
 
 
+def _by_place(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, made of docs' rows one by one, in the order in which docs' files hold them; as they are if docs isn't read from files."""
+    if not docs.inputFiles():
+        return rows
+    name = F.col("_metadata.file_name")
+    number = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(-1).cast("long"))
+    place = {"part": number, "file": name, "row": F.col("_metadata.row_index")}
+    try:
+        placed = rows.select("*", *(c.alias(n) for n, c in place.items()))
+    except AnalysisException:  # rows of files that were joined or grouped have no place of their own
+        return rows
+    return placed.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
+
+
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -190,18 +205,22 @@ def pack(docs: DataFrame, vocabulary: str, with_ids: bool = False, as_it_lies: b
     """Pieces of documents in sequences of at most WINDOW tokens: PIECES, and ids (array<int>) if asked for.
 
     A document is its ids and then END_ID. Documents are ordered by key across partitions (range partitioning; null
-    keys last, equal keys by the text's hash) and stay in that order within sequences. With as_it_lies they are taken in the
-    order of docs' own partitions, without a shuffle: for a table whose files hold an order, as a mix does. Each task reads
-    its documents as a stream and holds a bounded number of tokens and one batch of texts; a retried task makes the same
-    pieces, as its rows come sorted or from the same part of a file. sequence_id is the partition's number x 2**40 plus a count. Sequences don't cross partitions: what is
-    left at a partition's end is split at powers of two where that saves padding.
+    keys last, equal keys by the text's hash) and stay in that order within sequences. With as_it_lies they are taken in the order in
+    which docs' files hold them, by the number in a file's name and the row's place in it, whichever way Spark deals files to tasks: for a
+    table whose files hold an order, as a mix does. docs that isn't read from files is taken in the order of its partitions. Each task reads
+    its documents as a stream and holds about PLAN tokens (more for a single document that has more) and one batch of texts; a
+    retried task makes the same pieces, as its rows come sorted. sequence_id is the partition's number x 2**40 plus a count, so it
+    grows in the order of the documents. Sequences don't cross partitions: what is left at a partition's end is split at powers of two
+    where that saves padding.
 
     A null text is empty: one piece with END_ID alone. Any text has ids, a run of millions of blanks or of one letter too. Equal rows are packed separately. An empty table gives no rows.
     Only key and text are read, so other columns and their names don't matter. vocabulary is a byte-level BPE file
     that every executor can open.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if not as_it_lies:
+    if as_it_lies:
+        rows = _by_place(docs, rows)
+    else:
         order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids

@@ -213,3 +213,26 @@ def test_forest_recall(spark, sf):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
         hits.append(len(found[q] & set([int(ids[k]) for k in np.lexsort((ids, d)) if ids[k] != q][:10])))
     assert np.mean(hits) >= 9.5
+
+
+@pytest.mark.parametrize("shape", ["even", "dominant", "clusters"])
+def test_forest_recall_by_shape(spark, shape):
+    """Neighbours aren't lost to rounding where one component is far larger than the others, nor within tight clusters."""
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((2000, 32))
+    if shape == "dominant":
+        x[:, 0] += 1000
+    if shape == "clusters":
+        x = np.repeat(rng.standard_normal((20, 32)), 100, axis=0) + 0.001 * x
+    x = rng.permutation(x).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = collections.defaultdict(set)
+    for r in forest.search(rows, F.col("vec_id") % 100 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    x = x.astype(float)
+    hits = []
+    for q in range(0, 2000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist())))
+    assert np.mean(hits) >= 9.0

@@ -133,15 +133,30 @@ def test_stages_on_odd_rows(spark):
 def test_stages_on_an_empty_table(spark, tmp_path):
     import shutil
 
+    folder = tmp_path / "sf"
+    folder.mkdir()
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         out = f(spark, odd(spark, []), SF)
         assert out.count() == 0 and (k == 4 or out.columns == odd(spark, []).columns)
-    shutil.copytree(SF, tmp_path / "sf")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    docs.write.parquet(str(tmp_path / "none"))
-    (tmp_path / "sf/documents.parquet").unlink()
-    shutil.move(tmp_path / "none", tmp_path / "sf/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == 0
+    shutil.copyfile(f"{SF}/labels.parquet", folder / "labels.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(folder / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(folder)).count() == 0
+
+
+def test_many_parts_are_packed_in_the_order_of_the_mix(spark, monkeypatch):
+    """However Spark deals the files of the mix to tasks, sequences follow its slots."""
+    from curbstone.llm import mixing
+    from curbstone.llm.common import keep_table
+
+    monkeypatch.setattr(mixing, "PART_WORDS", 1 << 13)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = keep_table(corpus_pipeline.mix(spark, docs, SF))
+    files = sorted(mixed.inputFiles())
+    assert len(files) > 10
+    want = [r["doc_id"] for f in files for r in spark.read.parquet(f).coalesce(1).select("doc_id").collect()]
+    packed = corpus_pipeline.windows(spark, mixed, SF).filter("start = 0").orderBy("sequence_id", "offset")
+    got = [r["doc_id"] for r in packed.select("doc_id").collect()]
+    assert got == want and got != sorted(got)
 
 
 def test_packed_sequences_keep_the_shares_of_the_mix(spark, stages):
