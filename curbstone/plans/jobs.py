@@ -41,11 +41,12 @@ class Feed:
     """What a job needs of a source: query(where, size) -> page, count(where) -> int, describe() -> layer.
 
     keys(where, size), query by default, gives pages that need only have the fields KEY_FIELDS. query and keys are sent to tasks.
+    last(where) gives the greatest OBJECTID, for a backfill in ranges.
     A page may be given as the body of the answer, in bytes, so that exactly these are kept. Calls that raise Retryable are repeated.
     """
 
-    def __init__(self, query: Callable[[str, int], dict], count: Callable[[str], int], describe: Callable[[], dict], keys: Callable[[str, int], dict] | None = None):
-        self.query, self.count, self.describe, self.keys = query, count, describe, keys or query
+    def __init__(self, query: Callable[[str, int], dict], count: Callable[[str], int], describe: Callable[[], dict], keys: Callable[[str, int], dict] | None = None, last: Callable[[str], int] | None = None):
+        self.query, self.count, self.describe, self.keys, self.last = query, count, describe, keys or query, last
 
 
 # What tasks fetch.
@@ -79,6 +80,25 @@ def fetched(keys: DataFrame, query: Callable[[str, int], dict], size: int = PAGE
     return keys.select("reference_number").mapInPandas(fetch, "payload binary, sha256 string, features array<string>")
 
 
+def range_pages(spark: SparkSession, query: Callable[[str, int], dict], where: str, ranges: list[dict], most: int, size: int = PAGE) -> DataFrame:
+    """(range, cursor, payload, sha256, features) of the next pages, most at most, of each of the ranges, each a task.
+
+    A range has its number, the cursor after which it goes on, and its last OBJECTID, or None for all that follow.
+    """
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = patient(query)
+        for k in (int(k) for f in frames for k in f["id"]):
+            r = ranges[k]
+            within = where if r["last"] is None else f"{where} AND OBJECTID <= {r['last']}"
+            for cursor, page in pages(ask, within, r["cursor"], size, most):
+                body = body_of(page)
+                row = {"range": [r["range"]], "cursor": [cursor], "payload": [gzip.compress(body, mtime=0)], "sha256": [hashlib.sha256(body).hexdigest()]}
+                yield pd.DataFrame(row | {"features": [[json.dumps(x) for x in page["features"]]]})
+
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInPandas(fetch, "range int, cursor long, payload binary, sha256 string, features array<string>")
+
+
 # Watermarks.
 def next_watermark(before: datetime, seen: datetime | None, began: datetime) -> datetime:
     """The newest time seen, but not after the run began, and never back."""
@@ -112,6 +132,7 @@ class Jobs:
     """All jobs over one store and one feed. now() is taken once for each run and passed on as a literal."""
 
     def __init__(self, spark: SparkSession, store: Store, feed: Feed, now: Callable[[], datetime] = utc_now, page_size: int = PAGE, batch_pages: int = BATCH_PAGES):
+        store.keyed |= {t: "reference_number" for t in ("service_request", "service_request_history")}
         self.spark, self.store, self.feed, self.now, self.page_size, self.batch_pages = spark, store, feed, now, page_size, batch_pages
         self.ask, self.retain = patient(feed.query), RETAIN
         self.maps = (category_map(spark), source_map(spark), neighborhood_map(spark))
@@ -154,10 +175,12 @@ class Jobs:
         staged = materialized(clean(rows, stamp))
         versions = materialized(with_maps(staged, *self.maps))
         batch = materialized(newest(versions))
-        current = self.store.read("service_request")
+        # Only the buckets of the batch's keys are read of both tables.
+        head, keys = self.store.head(), batch.select("reference_number")
+        current = self.store.read("service_request", at=head, near=keys)
         if current is None:
             current = self._empty_current(batch)
-        history = self.store.read("service_request_history")
+        history = self.store.read("service_request_history", at=head, near=keys)
         # Every version goes to history, so that it doesn't depend on how pages fall into batches.
         fresh = new_history(versions.dropDuplicates(["reference_number", "row_hash"]), history if history is not None else batch.select("reference_number", "row_hash").limit(0), stamp, run["id"])
         touched = current.join(batch.select("reference_number"), "reference_number", "left_semi")
@@ -208,15 +231,54 @@ class Jobs:
             flush(cursor)
         return total | {"done": most is None or total["pages"] < most}
 
-    def backfill(self, since: datetime | None = None, until: datetime | None = None, restart: bool = False, max_pages: int | None = None) -> dict:
-        """Reads a slice of the feed from where an earlier run of the same slice stopped."""
+    def _pull_ranges(self, run: dict, now: datetime, where: str, ranges: list[dict], checkpoint: str, most: int | None = None) -> dict:
+        """Applies the pages of where, fetched by tasks in ranges of OBJECTID; each round is one commit, with each range's cursor.
+
+        A round takes batch_pages pages, dealt to the ranges that aren't done. Pages go from tasks to tables, not through the driver.
+        """
+        total: dict = {"pages": 0}
+        stamp = F.lit(now).cast("timestamp")
+        while left := [r for r in ranges if not r["done"]]:
+            if most is not None and total["pages"] >= most:
+                return total | {"done": False}
+            each = max(1, self.batch_pages // len(left))
+            found = materialized(range_pages(self.spark, self.feed.query, where, left, each, self.page_size))
+            got = {r["range"]: r for r in found.groupBy("range").agg(F.max("cursor").alias("cursor"), F.count(F.lit(1)).alias("n")).collect()}
+            ranges = [r | ({"cursor": got[r["range"]]["cursor"]} if r["range"] in got else {}) | ({"done": got[r["range"]]["n"] < each if r["range"] in got else True} if not r["done"] else {}) for r in ranges]
+            mark = {checkpoint: {"where": where, "ranges": ranges}}
+            if not got:
+                self.store.commit(values=mark)
+                continue
+            self.store.commit(append={"raw_page": found.select(F.lit(run["job"]).alias("pipeline"), stamp.alias("fetched_utc"), "payload", "sha256")})
+            counts = self.apply(found.select(F.explode("features").alias("feature")), run, now, values=mark)
+            for k, v in counts.items():
+                total[k] = max(filter(None, (total.get(k), v)), default=None) if k == "seen" else total.get(k, 0) + v
+            total["pages"] += sum(r["n"] for r in got.values())
+        return total | {"done": True}
+
+    def backfill(self, since: datetime | None = None, until: datetime | None = None, restart: bool = False, max_pages: int | None = None, ranges: int = 1) -> dict:
+        """Reads a slice of the feed from where an earlier run of the same slice stopped; in ranges of OBJECTID at once, if there are several.
+
+        A run that stopped with ranges goes on with each of them, whatever ranges says.
+        """
 
         def work(run: dict, now: datetime) -> dict:
             where, mark = slice_where(since, until), self.store.value("checkpoint.backfill")
             if mark and not restart and mark["where"] != where:
                 raise ValueError("a backfill of another slice isn't done; restart it or finish that one")
-            after = mark["after"] if mark and not restart else 0
-            got = self._pull(run, now, where, "checkpoint.backfill", max_pages, after=after)
+            mark = None if restart else mark
+            after = mark["after"] if mark and "after" in mark else 0
+            if mark and "ranges" in mark:
+                parts = mark["ranges"]
+            elif ranges > 1:
+                if self.feed.last is None:
+                    raise ValueError("a backfill in ranges needs the feed's last OBJECTID")
+                last = max(after, with_retries(lambda: self.feed.last(where)) or 0)
+                cuts = [after + (last - after) * k // ranges for k in range(ranges)]
+                parts = [{"range": k, "cursor": a, "last": b, "done": False} for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None])) if b is None or a < b]
+            else:
+                parts = None
+            got = self._pull_ranges(run, now, where, parts, "checkpoint.backfill", max_pages) if parts else self._pull(run, now, where, "checkpoint.backfill", max_pages, after=after)
             if got["done"]:
                 before = self.store.value("watermark")
                 seed = seed_watermark(now, until, datetime.fromisoformat(before) if before else None)
@@ -384,6 +446,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--until", type=datetime.fromisoformat)
     parser.add_argument("--restart", action="store_true")
     parser.add_argument("--max-pages", type=int)
+    parser.add_argument("--ranges", type=int, default=1, help="ranges of OBJECTID that a backfill reads at once")
     parser.add_argument("--profile", help="a Markdown profile whose row count verify-source compares with")
     a = parser.parse_args(argv)
     module, _, name = a.feed.partition(":")
@@ -400,7 +463,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.verb == "dq":
         print(json.dumps(jobs.check({"id": 0})))
         return 0
-    run = jobs.backfill(a.since, a.until, a.restart, a.max_pages) if a.verb == "backfill" else getattr(jobs, a.verb)()
+    run = jobs.backfill(a.since, a.until, a.restart, a.max_pages, a.ranges) if a.verb == "backfill" else getattr(jobs, a.verb)()
     print(json.dumps(run))
     return EXIT[run["status"]]
 

@@ -9,7 +9,7 @@ from curbstone.plans.jobs import Jobs, next_run, next_watermark, seed_watermark
 from curbstone.plans.rules import BadQuery
 from curbstone.sources.contract import FIELDS, compare
 from curbstone.sources.feed import Refused, Retryable, checked, from_features, keys_where, pages, with_retries
-from curbstone.sources.store import Busy, Store
+from curbstone.sources.store import Busy, Lost, Store
 
 NOW = datetime(2026, 10, 2, 20, tzinfo=timezone.utc)
 VALUES = ["reference_number", "object_id", "row_hash", "dq_flags", "category_group", "source_channel", "neighborhood_slug", "status_group"]
@@ -57,6 +57,41 @@ def test_resumed_backfill_is_a_whole_one(spark, tmp_path):
     assert table(j) == table(k) and table(j, "service_request_history", VALUES[:4]) == table(k, "service_request_history", VALUES[:4])
 
 
+def test_ranges_are_resumed_each_and_pages_stay_in_tasks(spark, tmp_path):
+    log, broken = tmp_path / "asked", tmp_path / "broken"
+    features = [feature(k, f"R{k:03d}") for k in range(1, 41)] + [feature(50, "R001", "2026-09-25T00:00:00", PublicStatus="CLOSED")]
+
+    def query(where, size):
+        with open(log, "a", encoding="utf-8") as f:
+            f.write(where + "\n")
+        if broken.exists() and "OBJECTID > 30" in where:
+            raise RuntimeError("the feed broke off")
+        return FakeFeed(features).query(where, size)
+
+    fake = FakeFeed(features)
+    feed = jobs.Feed(query, fake.feed().count, fake.feed().describe, last=lambda where: 50)
+    j = Jobs(spark, Store(spark, str(tmp_path / "store")), feed, lambda: NOW, page_size=5, batch_pages=2)
+    j.refresh_if_due = j.check = lambda _: None
+    j._raw = j._keep_pages = None  # no page comes by way of the driver
+    broken.write_text("")
+    with pytest.raises(Exception, match="broke off"):
+        j.backfill(ranges=2)
+    mark = j.store.value("checkpoint.backfill")
+    assert [(r["cursor"], r["last"], r["done"]) for r in mark["ranges"]] == [(5, 25, False), (30, None, False)] and j.store.read("service_request").count() == 10
+    broken.unlink()
+    log.write_text("")
+    run = j.backfill()
+    asked = [int(x.rsplit("> ", 1)[1]) for x in log.read_text().splitlines()]
+    assert min(a for a in asked if a < 25) == 5 and min(a for a in asked if a >= 25) in (25, 30) and run["status"] == "Succeeded" and j.store.value("checkpoint.backfill") is None
+    _, k = make(spark, tmp_path / "b", features)
+    k.refresh_if_due = k.check = lambda _: None
+    k.backfill()
+    assert table(j) == table(k) and table(j, "service_request_history", VALUES[:4]) == table(k, "service_request_history", VALUES[:4])
+    assert j.store.read("raw_page").count() == 9
+    with pytest.raises(ValueError, match="last OBJECTID"):
+        k.backfill(restart=True, ranges=3)
+
+
 def test_versions_and_history(spark, tmp_path):
     fake, j = make(spark, tmp_path, [feature(1, "A"), feature(2, "B")])
     j.backfill()
@@ -130,29 +165,98 @@ def test_drift_and_lock_write_nothing(spark, tmp_path):
 
 
 def test_lock_of_a_killed_writer_is_taken_over(spark, tmp_path, monkeypatch):
-    import os
-
     from curbstone.sources import store as module
 
-    s = Store(spark, str(tmp_path / "store"))
-    with open(f"{s.path}/_lock", "w", encoding="utf-8") as f:
-        f.write("killed")
+    s, other = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    stuck = s.lock("killed")
+    stuck.__enter__()
     run = s.begin("backfill", NOW)
-    with pytest.raises(Busy), s.lock("early"):
+    with pytest.raises(Busy), other.lock("early"):
         pass
-    os.utime(f"{s.path}/_lock", (1, 1))
-    with s.lock("next"):
-        assert s.begin("incremental", NOW)["id"] == run["id"] + 1 and s.runs()[0]["status"] == "Failed"
-        with pytest.raises(Busy), s.lock("other"):
+    monkeypatch.setattr(module, "STALE", -1.0)
+    with other.lock("next"):
+        monkeypatch.setattr(module, "STALE", 600.0)
+        assert other.begin("incremental", NOW)["id"] == run["id"] + 1 and other.runs()[0]["status"] == "Failed"
+        with pytest.raises(Lost, match="taken over"):  # the old holder goes on
+            s.commit(values={"watermark": "old"})
+        with pytest.raises(Busy), Store(spark, s.path).lock("third"):
             pass
-    assert not os.path.exists(f"{s.path}/_lock")
-    monkeypatch.setattr(module, "BEAT", 0.05)
-    with s.lock("beats"):
-        os.utime(f"{s.path}/_lock", (1, 1))
-        import time as clock
+    assert other.value("watermark") is None
+    with other.lock("after"):
+        pass
+
+
+def test_a_writer_that_lost_its_lock_cannot_commit_whenever_it_was_stopped(spark, tmp_path, monkeypatch):
+    """The old holder is stopped between reading the newest commit and showing its own, and goes on after the takeover."""
+    from curbstone.sources import store as module
+
+    old, new = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    df = lambda v: spark.createDataFrame([("a", v)], "k string, v int")
+    lock = old.lock("old")
+    lock.__enter__()
+    old.commit(replace={"t": df(1)})
+    head = old.head()
+    monkeypatch.setattr(module, "STALE", -1.0)
+    with new.lock("new"):
+        monkeypatch.setattr(old, "head", lambda: head)
+        with pytest.raises(Lost, match="another writer"):
+            old.commit(replace={"t": df(2)})
+        assert new.head()["lock"] == 2
+        new.commit(append={"t": df(3)})
+        with pytest.raises(Lost):
+            old.commit(replace={"t": df(4)})
+    assert sorted(r["v"] for r in new.read("t").collect()) == [1, 3]
+
+
+def test_tidy_is_one_commit(spark, tmp_path, monkeypatch):
+    """A reader at any moment, and after a stop at any step, sees each row once."""
+    from curbstone.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 4)
+    s = Store(spark, str(tmp_path / "store"), {"t": "k"})
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    s.commit(replace={"t": df(("a", 0), ("b", 0))})
+    for k in range(6):
+        s.commit(append={"log": df(("x", k))}, upsert={"t": (df(("a", k)), "k")})
+    seen = lambda: (sorted(r["v"] for r in s.read("log").collect()), sorted(map(tuple, s.read("t").collect())))
+    before, steps = seen(), []
+    for name in ("put", "create", "delete"):
+        real = getattr(s.files, name)
+        monkeypatch.setattr(s.files, name, lambda *x, real=real, name=name: (steps.append((name, seen())), real(*x), steps.append((name, seen())))[1])
+    first = s.head()["number"]
+    show = s._show
+    monkeypatch.setattr(s, "_show", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):  # stopped when all is written and nothing shown
+        s.tidy(timedelta(0))
+    assert seen() == before and s.head()["number"] == first
+    monkeypatch.setattr(s, "_show", show)
+    s.tidy(timedelta(0))
+    assert len(steps) > 4 and all(x == before for _, x in steps) and s.head()["number"] == first + 1 and len(s.head()["tables"]["log"]) == 5
+
+
+def test_a_small_batch_reads_few_buckets(spark, tmp_path, monkeypatch):
+    """What a batch of three keys reads doesn't grow with the table, changed rows and history included."""
+    from pyspark.sql import functions as F
+
+    from curbstone.sources import store as module
 
-        clock.sleep(0.5)
-        assert os.path.getmtime(f"{s.path}/_lock") > 1
+    monkeypatch.setattr(module, "BUCKET_ROWS", 100)
+    read = []
+    for n in (1000, 4000):
+        s = Store(spark, str(tmp_path / f"s{n}"), {"t": "k", "h": "k"})
+        rows = spark.range(n).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
+        s.commit(replace={"t": rows}, append={"h": rows})
+        s.commit(upsert={"t": (rows.filter("k like '%7'").withColumn("v", F.lit("y")), "k")})
+        near = spark.createDataFrame([("7",), ("8",), ("new",)], "k string")
+        got = {t: s.read(t, near=near) for t in ("t", "h")}
+        assert {r["k"]: r["v"] for r in got["t"].collect() if r["k"] in ("7", "8")} == {"7": "y", "8": "x"}
+        assert sorted(r["k"] for r in got["h"].collect() if r["k"] in ("7", "8")) == ["7", "8"]
+        assert "PartitionFilters: [isnotnull(__bucket" in got["h"]._jdf.queryExecution().executedPlan().toString() or "__bucket" in got["h"]._jdf.queryExecution().executedPlan().toString()
+        files = got["h"].select(F.input_file_name()).distinct().count()
+        read.append((files, got["h"].count(), got["t"].count()))
+        assert s.read("t").count() == n and s.read("t").filter("v = 'y'").count() == n / 10
+        s.tidy(timedelta(0))
+    assert all(f <= 3 and a <= 3 * 160 and b <= 3 * 160 for f, a, b in read)
 
 
 def test_flaky_feed_and_exact_pages(spark, tmp_path, monkeypatch):
@@ -196,7 +300,7 @@ def test_small_changes_are_small_writes_and_old_versions_go(spark, tmp_path):
     assert head["changed"]["service_request"]["rows"] <= 0.5 * 60 and j.store.read("service_request").count() == 70
     rows, before, j.retain = table(j), size(), timedelta(0)
     j.incremental()
-    commits = len(os.listdir(f"{j.store.path}/_commits"))
+    commits = len([n for n in os.listdir(f"{j.store.path}/_commits") if n.endswith(".json")])
     assert table(j) == rows and size() < before and commits <= 8
     shown = j.store.head()
     assert set(os.listdir(f"{j.store.path}/service_request")) >= {*shown["tables"]["service_request"], *shown["changed"].get("service_request", {}).get("parts", [])}
