@@ -54,8 +54,23 @@ add("src11_live_scan", lambda s, d: D.cleaned(s, d).filter("present").select("re
 add("src12_key_scan", lambda s, d: D.versions(s, d).filter("object_id > 0 and length(reference_number) <= 6").select("reference_number", "updated_ts"), f"{D.SQL} SELECT reference_number, updated_ts FROM versions WHERE object_id > 0 AND length(reference_number) <= 6")
 add("agg10_request_count", lambda s, d: D.requests(s, d).agg(F.count(F.lit(1)).alias("request_count"), F.count_if("service").alias("service_count")), f"{D.SQL} SELECT count(*) AS request_count, count(*) FILTER (service) AS service_count FROM requests")
 add("sort1_newest_refresh", lambda s, d: D.load(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "ts"), "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
-add("set3_changed_seed", lambda s, d: D.category_map(s).filter(~F.col("reason").eqNullSafe(F.when(F.col("category_key") != "dcr", F.col("reason")))).select("category_key"), f"{D.SQL} SELECT k AS category_key FROM category_map WHERE reason IS DISTINCT FROM CASE WHEN k <> 'dcr' THEN reason END")
-add("set1_category_names", lambda s, d: D.category_map(s).filter("is_service").select("category_group").union(s.createDataFrame([("Unmapped",)], "category_group string")).distinct(), f"{D.SQL} SELECT g AS category_group FROM category_map WHERE reason IS NULL UNION SELECT 'Unmapped'")
+def changed_lines(spark, d):
+    """SET-3: requests whose line differs between what is held and a batch, null being a value."""
+    held, batch = sides(spark, d)
+    rows = held.select("reference_number", F.col("category_level2").alias("held")).join(batch.select("reference_number", F.col("category_level2").alias("served")), "reference_number")
+    return rows.filter(~F.col("held").eqNullSafe(F.col("served")))
+
+
+add("set3_changed_seed", changed_lines, f"{D.SQL}, {SPLIT} SELECT reference_number, h.category_level2 AS held, b.category_level2 AS served FROM held h JOIN batch b USING (reference_number) WHERE h.category_level2 IS DISTINCT FROM b.category_level2")
+
+
+def category_names(spark, d):
+    """SET-1: groups of service, those that requests have, and Unmapped."""
+    used = D.cleaned(spark, d).select("category_group")
+    return D.category_map(spark).filter("is_service").select("category_group").union(used).union(used.limit(1).select(F.lit(D.UNMAPPED))).distinct()
+
+
+add("set1_category_names", category_names, f"{D.SQL} SELECT g AS category_group FROM category_map WHERE reason IS NULL UNION SELECT category_group FROM cleaned UNION SELECT 'Unmapped'")
 
 
 def from_rule(spark, d):

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbstone.functions.clean import FIRST_VALID, ZONE, clean, epoch_time, local_date, reject_reason
-from curbstone.functions.maps import BACKLOG_START, DATE_PROBLEMS, NEIGHBORHOODS, category_map, line_map, neighborhood_map, slug_of, source_map
+from curbstone.functions.maps import BACKLOG_START, CATEGORIES, DATE_PROBLEMS, NEIGHBORHOODS, UNMAPPED, category_map, line_map, neighborhood_map, slug_of, source_map
 from curbstone.functions.text import null_if_blank
 from curbstone.operators import classify, cube, notes, quality
 from curbstone.operators.apply import change_counts, merged, new_history, newest, with_maps
+from curbstone.operators.constraints import Rules, require
 from curbstone.operators.reconcile import guard_fails
 from curbstone.plans import api
 from curbstone.session import materialized
@@ -34,6 +35,17 @@ OVERLAP, EVERY, RECONCILE_AT, KEEP_PAGES = timedelta(minutes=60), timedelta(minu
 KEY_FIELDS = ("OBJECTID", "ReferenceNumber", "DateUpdated")
 #: Pages that one batch of a backfill applies together: only the current table is rewritten for each batch.
 BATCH_PAGES = 50
+#: What each published table must satisfy.
+_GROUPS = {"category_group": ["", UNMAPPED, *sorted({g for _, g, _ in CATEGORIES})]}
+PUBLISHED = {
+    "stats_window": Rules(("window_days", "period", *cube.DIMS), (*cube.COUNTS, "closed_count"), (("median_days", "p90_days"),), _GROUPS),
+    "open_backlog": Rules(cube.DIMS, ("open_count",), (), _GROUPS),
+    "backlog_daily": Rules(("day", "district_number", "category_group"), ("opened", "closed", "open_at_end"), (), _GROUPS),
+    "exclusion": Rules(("window_days", "period", *notes.TYPE), ("opened_count", "closed_count")),
+    "exclusion_open": Rules(notes.TYPE, ("open_count",)),
+    "exclusion_flag": Rules(("window_days", "period", "label"), ("closed_count",)),
+    "clear_out": Rules(("day", "category_group"), ("closed_count",)),
+}
 EXIT = {"Succeeded": 0, "Failed": 1, "Skipped": 3, "SchemaDrift": 4}
 
 
@@ -375,23 +387,28 @@ class Jobs:
         return materialized(rows.withColumn("dq_flags", classify.label_flags(c("dq_flags"), c("bulk")))), pairs
 
     def refresh(self) -> dict:
-        """Classifies all requests and publishes every aggregate in one commit."""
+        """Classifies all requests and publishes every aggregate in one commit, if each satisfies its rules (else Violated)."""
         now, table = self.now(), self.store.read("service_request")
         day = self.spark.range(1).select(local_date(F.lit(now).cast("timestamp"))).first()[0]
         rows, pairs = self.classified(table)
         present, as_of = rows.filter("present"), F.lit(day)
         age = F.greatest(F.lit(0).cast("long"), F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis("created_utc")) / 864000 + 0.5).cast("long"))
         dated = present.filter(F.col("created_utc").isNotNull())
+        tables = {
+            "stats_window": cube.window_cube(present, as_of),
+            "open_backlog": cube.open_cube(dated, as_of, age),
+            "backlog_daily": cube.daily_backlog(present, as_of),
+            "exclusion": notes.non_service_by_period(rows, pairs, as_of),
+            "exclusion_open": notes.non_service_open(rows, pairs, as_of),
+            "exclusion_flag": notes.date_problem_closures(rows, as_of),
+            "clear_out": notes.clear_outs(rows, F.lit(BACKLOG_START).cast("date")),
+        }
+        tables = {n: materialized(df) for n, df in tables.items()}
+        known = {r["category_group"] for r in self.maps[0].select("category_group").distinct().collect()}
+        rules = {n: r._replace(known={c: [*v, *known] for c, v in r.known.items()}) for n, r in PUBLISHED.items()}
+        require({n: (df, rules[n]) for n, df in tables.items()})
         self.store.commit(
-            replace={
-                "stats_window": cube.window_cube(present, as_of),
-                "open_backlog": cube.open_cube(dated, as_of, age),
-                "backlog_daily": cube.daily_backlog(present, as_of),
-                "exclusion": notes.non_service_by_period(rows, pairs, as_of),
-                "exclusion_open": notes.non_service_open(rows, pairs, as_of),
-                "exclusion_flag": notes.date_problem_closures(rows, as_of),
-                "clear_out": notes.clear_outs(rows, F.lit(BACKLOG_START).cast("date")),
-            },
+            replace=tables,
             upsert={"service_request": (rows.filter("dq_flags <> flags_before").select(*table.columns), "reference_number")},
             values={"refresh": {"as_of_utc": now.isoformat(), "as_of_date": day.isoformat(), "requests": present.count()}},
         )

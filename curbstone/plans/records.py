@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curbstone.functions.maps import NEIGHBORHOODS, category_map, flag_map, neighborhood_map, slug_of, source_map
+from curbstone.functions.sql import register
 from curbstone.functions.text import map_key, null_if_blank, slug
+from curbstone.operators.constraints import Rules, violations
 from curbstone.operators.notes import clear_outs, date_problem_closures, non_service_by_period, non_service_open, sentence
 from curbstone.operators.profile import attribute_counts, match_rate, served_statistics
 from curbstone.operators.reconcile import newest_keys, removed, restored, to_refetch
@@ -301,9 +303,52 @@ def symmetry(spark, d):
 add("agg30_set5_symmetry", symmetry, f"""{D.SQL}, t AS (SELECT * FROM served WHERE timed AND hundredths <= 40000)
   SELECT 'day' AS what, max(n) AS most FROM (SELECT count(*) AS n FROM t GROUP BY closed_date, category_group) UNION ALL SELECT 'minute', max(n) FROM (SELECT count(*) AS n FROM t GROUP BY date_trunc('minute', closed_ts))""")
 
-# Reference data, as rows.
-add("join20_seed_categories", lambda s, d: category_map(s).select("category_key", "source_value", "category_group", "is_service"), f"{D.SQL} SELECT k AS category_key, v AS source_value, g AS category_group, reason IS NULL AS is_service FROM category_map")
-add("seed_sources", lambda s, d: source_map(s).select("source_key", "source_channel"), f"{D.SQL} SELECT k AS source_key, c AS source_channel FROM source_map")
-add("seed_flags", lambda s, d: flag_map(s), f"{D.SQL} SELECT * FROM flag_map")
+# Reference data with the requests that use it.
+def _used(rows, key, seed, by):
+    n = rows.groupBy(key.alias(by)).agg(F.count(F.lit(1)).alias("requests"))
+    return seed.join(n, by, "left").fillna(0, ["requests"])
+
+
+def flags_used(s, d):
+    bits = D.cleaned(s, d).select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("dq_flags").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)).alias("k"))
+    n = bits.groupBy(F.pow(F.lit(2), F.col("k")).cast("int").alias("bit")).agg(F.count(F.lit(1)).alias("requests"))
+    return flag_map(s).join(n, "bit", "left").fillna(0, ["requests"])
+
+
+add("join20_seed_categories", lambda s, d: _used(D.cleaned(s, d), map_key(F.col("category_level1")), category_map(s).select("category_key", "source_value", "category_group", "is_service"), "category_key"), f"""{D.SQL} SELECT k AS category_key, v AS source_value, g AS category_group,
+  reason IS NULL AS is_service, coalesce(n, 0) AS requests FROM category_map LEFT JOIN (SELECT {D.key_sql('category_level1')} AS k, count(*) AS n FROM cleaned GROUP BY ALL) USING (k)""")
+add("seed_sources", lambda s, d: _used(D.cleaned(s, d), map_key(F.col("source_level1")), source_map(s).select("source_key", "source_channel"), "source_key"), f"""{D.SQL} SELECT k AS source_key, c AS source_channel, coalesce(n, 0) AS requests
+  FROM source_map LEFT JOIN (SELECT {D.key_sql('source_level1')} AS k, count(*) AS n FROM cleaned GROUP BY ALL) USING (k)""")
+add("seed_flags", flags_used, f"{D.SQL} SELECT f.*, (SELECT count(*) FROM cleaned c WHERE c.dq_flags & f.bit <> 0) AS requests FROM flag_map f")
 NAMES_SQL = D._values("seed", "neighborhood_slug, neighborhood", [(slug_of(n), n) for n in NEIGHBORHOODS])
-add("set2_seed_neighborhoods", lambda s, d: neighborhood_map(s).select("neighborhood_slug", "neighborhood").distinct(), f"WITH {NAMES_SQL} SELECT DISTINCT neighborhood_slug, neighborhood FROM seed")
+add("set2_seed_neighborhoods", lambda s, d: _used(D.cleaned(s, d), F.col("neighborhood_slug"), neighborhood_map(s).select("neighborhood_slug", "neighborhood").distinct(), "neighborhood_slug"), f"""{D.SQL}, {NAMES_SQL}
+  SELECT DISTINCT neighborhood_slug, neighborhood, coalesce(n, 0) AS requests FROM seed LEFT JOIN (SELECT neighborhood_slug, count(*) AS n FROM cleaned GROUP BY ALL) USING (neighborhood_slug)""")
+
+
+# The cleaners as SQL functions.
+def sql_texts(spark, d):
+    register(spark)
+    names = D.load(spark, d, "nation").select(F.col("n_name").alias("t")).union(D.load(spark, d, "customer").select(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit(" / ")), F.lit("  "))))
+    return spark.sql("SELECT t, null_if_blank(t) AS plain, map_key(t) AS map_key, slug(t) AS slug, clean_zip(right(t, 5)) AS zip FROM {names}", names=names)
+
+
+def sql_days(spark, d):
+    register(spark)
+    return spark.sql("SELECT local_date(ts) AS local_day, week_start(local_date(ts)) AS week, count(*) AS n FROM {events} GROUP BY ALL", events=D.load(spark, d, "events"))
+
+
+add("scl1_scl2_scl8_scl13_sql", sql_texts, f"""SELECT t, nullif(regexp_replace(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '') AS plain, {D.key_sql('t')} AS map_key,
+  nullif(regexp_replace(regexp_replace(regexp_replace(lower(t), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS slug,
+  nullif(regexp_extract(trim(right(t, 5)), '^([0-9]{{5}})$', 1), '') AS zip FROM (SELECT n_name AS t FROM nation UNION ALL SELECT ' ' || replace(c_name, '#', ' / ') || '  ' FROM customer)""")
+add("scl9_scl17_sql", sql_days, """SELECT local_day, date_trunc('week', local_day)::DATE AS week, count(*) AS n FROM (SELECT ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles')::DATE AS local_day FROM events) GROUP BY ALL""")
+
+
+# What is published, against its rules; here the orders stand for a table in which a third of the keys come twice.
+def broken_rules(spark, d):
+    rows = D.load(spark, d, "orders").select((F.col("o_orderkey") - F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("k"), "o_orderstatus", (F.col("o_orderkey") % 7 - 1).alias("n"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 5).alias("low"), (F.col("o_custkey") % 4).alias("high"))
+    return violations({"orders": (rows, Rules(("k",), ("n",), (("low", "high"),), {"o_orderstatus": ["O", "F"]}))})
+
+
+add("snk6_violations", broken_rules, """WITH r AS (SELECT o_orderkey - CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS k, o_orderstatus, o_orderkey % 7 - 1 AS n, nullif(o_custkey % 5, 0) AS low, o_custkey % 4 AS high FROM orders)
+  SELECT 'orders' AS "table", 'doubled' AS rule, count(*) - count(DISTINCT k) AS n FROM r UNION ALL SELECT 'orders', 'negative n', count(*) FILTER (n < 0) FROM r
+  UNION ALL SELECT 'orders', 'order of low, high', count(*) FILTER (low IS NULL OR low > high) FROM r UNION ALL SELECT 'orders', 'unknown o_orderstatus', count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) FROM r""")

@@ -64,3 +64,30 @@ def test_store_shows_whole_commits(spark, tmp_path):
     assert s.read("a").count() == 5 and s.read("a", at=first).count() == 2
     s.compact("log", lambda d: d.filter("x > 0"))
     assert s.read("log").count() == 2
+
+
+def test_rules_stop_a_publication(spark):
+    from curbstone.operators.constraints import Rules, Violated, require, violations
+
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, s string, n int, low double, high double")
+    rules = Rules(("k", "s"), ("n",), (("low", "high"),), {"s": ["a", "b"]})
+    good = rows((1, "a", 0, None, None), (1, "b", 5, 1.0, 1.0))
+    require({"t": (good, rules), "none": (good.limit(0), rules)})
+    bad = rows((1, "a", 1, 1.0, 2.0), (1, "a", -1, 3.0, 2.0), (None, "c", None, 1.0, None), (None, "c", 1, None, None))
+    got = {r["rule"]: r["n"] for r in violations({"t": (bad, rules)}).collect()}
+    assert got == {"doubled": 2, "negative n": 2, "order of low, high": 2, "unknown s": 2}
+    with pytest.raises(Violated, match="t: 2 rows, doubled"):
+        require({"t": (bad, rules)})
+
+
+def test_sql_functions_say_what_the_columns_say_and_need_no_python(spark):
+    from curbstone.functions import clean, sql, text
+
+    sql.register(spark)
+    t = spark.createDataFrame([(x,) for x in (None, "", "   ", "  Valley  Hi / Z’berg ", "95814-1234", " 95814 ", "9581", "É a_b")], "s string")
+    both = spark.sql("SELECT s, null_if_blank(s) AS a, map_key(s) AS b, slug(s) AS c, clean_zip(s) AS d FROM {t}", t=t)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "null_if_blank" not in plan
+    s = F.col("s")
+    want = t.select("s", text.null_if_blank(s), text.map_key(s), text.slug(s), clean.clean_zip(s)[0])
+    assert sorted(map(repr, map(tuple, both.collect()))) == sorted(map(repr, map(tuple, want.collect())))
