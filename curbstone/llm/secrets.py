@@ -43,6 +43,8 @@ telecommunications responsibilities characteristically Donaudampfschifffahrt ant
 #: Alphabets that random samples are drawn from.
 ALPHABETS = (CHARS[:62], CHARS[:64], CHARS[:62] + "_-", CHARS[26:62], CHARS[:26] + CHARS[52:62], "0123456789abcdef")
 
+_DIGITS = np.array([CHARS.index(c) for c in "0123456789"])
+
 
 def _both_cases(pattern: str) -> str:
     return re.sub(r"[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
@@ -140,13 +142,15 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def train(counts: DataFrame) -> np.ndarray:
     """log P(b | a, random) - log P(b | a, ordinary) for characters a, b of CHARS, from pair_counts() and random_samples().
 
-    ORDINARY and characters repeated many times are ordinary too.
+    ORDINARY, characters repeated many times and plain numbers, any digit after any other, are ordinary too, whether a corpus has few or many.
     """
     held = np.zeros((2, len(CHARS), len(CHARS)))
     for r in counts.collect():
         held[int(r["is_random"]), r["first"], r["second"]] += r["n"]
     held[1] += _pairs(random_samples())
-    held[0] += _pairs(ORDINARY) + _pairs([c * LEAST for c in CHARS]) * max(1.0, 1e-4 * held[0].sum())
+    weight = max(1.0, 1e-4 * held[0].sum())
+    held[0] += _pairs(ORDINARY) + _pairs([c * LEAST for c in CHARS]) * weight
+    held[0][np.ix_(_DIGITS, _DIGITS)] += (LEAST - 1) * weight
     held += np.maximum(LEAST_PRIOR, PRIOR * held.sum((1, 2)))[:, None, None]
     # Rows of rare characters lean on what follows in all, so that an unseen character isn't evidence by itself.
     held += 20 * held.sum(1, keepdims=True) / held.sum((1, 2), keepdims=True)

@@ -157,6 +157,20 @@ def walk(rows, shards, replicas=128):
     return out
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_no_plain_number_is_called_a_secret(spark, sf):
+    """Of the spans that the models add on whole tables, none is a run of digits."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    added = []
+    for r in secrets.find_secrets(docs).filter("n_markov > 0").collect():
+        for span in r["spans"].split(","):
+            kind, a, b = span.split(":")
+            if kind == "markov":
+                added.append(texts[r["doc_id"]][int(a) : int(b)])
+    assert not [t for t in added if t.isdigit()] and len(added) < 0.001 * len(texts) + 5
+
+
 def test_ring_against_a_walk_and_rows_moved(spark):
     docs = documents(spark)
     places = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 32).alias("p"), F.xxhash64("text", "doc_id").alias("t")).collect()
