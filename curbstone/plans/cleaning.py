@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from curbstone.functions import clean as C
+from curbstone.functions import rules
 from curbstone.functions.maps import FLAG, NEIGHBORHOODS, category_map, neighborhood_map, slug_of, source_map
 from curbstone.operators import quality
 from curbstone.operators.apply import merged, new_history, newest, with_maps
-from curbstone.operators.reconcile import guard_fails
 from curbstone.operators.seeds import upserted
 from curbstone.plans import domain as D
-from curbstone.plans import health, jobs
+from curbstone.plans import health
 from curbstone.plans.registry import add
 from curbstone.sources.export import capture, geojson
 from curbstone.sources.feed import newer_where, slice_where
@@ -286,29 +286,19 @@ def _runs(spark, d):
     return rows
 
 
-def _ruled(name: str, rule, kind: str, sql: str) -> None:
-    """A query that applies a rule of the jobs to each run, in tasks."""
+def _ruled(name: str, rule, sql: str) -> None:
+    """A query that applies a rule to each run."""
+    add(name, lambda s, d: _runs(s, d).select("user_id", rule(F.col("before"), F.col("seen"), F.col("n")).alias("result")), f"WITH {RUNS} SELECT user_id, {sql} AS result FROM runs")
 
-    def query(spark, d):
-        def apply(frames):
-            for f in frames:
-                utc = lambda t: t.to_pydatetime().replace(tzinfo=timezone.utc)
-                out = [rule(utc(b), utc(s), int(n)) for b, s, n in zip(f["before"], f["seen"], f["n"])]
-                yield f[["user_id"]].assign(result=[x.replace(tzinfo=None) if isinstance(x, datetime) else x for x in out])
 
-        return _runs(spark, d).mapInPandas(apply, f"user_id long, result {kind}")
-
-    add(name, query, f"WITH {RUNS} SELECT user_id, {sql} AS result FROM runs")
-
-
-AT = datetime(2024, 1, 29, 12, tzinfo=timezone.utc)
+AT = F.lit(datetime(2024, 1, 29, 12)).cast("timestamp_ntz")
 AT_SQL = "TIMESTAMP '2024-01-29 12:00:00'"
-_ruled("scl22_next_watermark", lambda before, seen, n: jobs.next_watermark(before, seen, AT), "timestamp_ntz", f"greatest(before, least(seen, {AT_SQL}))")
-_ruled("scl23_seed_watermark", lambda before, seen, n: jobs.seed_watermark(AT, seen, before + timedelta(days=28)), "timestamp_ntz", f"least(least({AT_SQL}, seen) - INTERVAL 1 HOUR, before + INTERVAL 28 DAY)")
-_ruled("scl24_guard", lambda before, seen, n: guard_fails(n, 70), "boolean", "n < 70 * 0.95")
-_ruled("scl26_page_count", lambda before, seen, n: quality.page_count_check(n, 66), "string", "CASE WHEN 20 * abs(n - 66) <= 66 THEN 'Within' WHEN n > 66 THEN 'Grew' ELSE 'Dropped' END")
-_ruled("scl28_refresh_due", lambda before, seen, n: jobs.refresh_due(n % 2, seen.date(), AT.date()), "boolean", f"n % 2 > 0 OR seen::DATE < {AT_SQL}::DATE")
-_ruled("scl27_source_count", lambda before, seen, n: quality.source_count(n, 68)["status"], "string", "CASE WHEN n < round_even(68 * 0.98, 0) THEN 'Fail' ELSE 'Pass' END")
+_ruled("scl22_next_watermark", lambda before, seen, n: rules.next_watermark(before, seen, AT), f"greatest(before, least(seen, {AT_SQL}))")
+_ruled("scl23_seed_watermark", lambda before, seen, n: rules.seed_watermark(AT, seen, before + F.lit(timedelta(days=28))), f"least(least({AT_SQL}, seen) - INTERVAL 1 HOUR, before + INTERVAL 28 DAY)")
+_ruled("scl24_guard", lambda before, seen, n: rules.guard_fails(n, F.lit(70)), "n < 70 * 0.95")
+_ruled("scl26_page_count", lambda before, seen, n: rules.page_count(n, F.lit(66)), "CASE WHEN 20 * abs(n - 66) <= 66 THEN 'Within' WHEN n > 66 THEN 'Grew' ELSE 'Dropped' END")
+_ruled("scl28_refresh_due", lambda before, seen, n: rules.refresh_due(n % 2, F.to_date(seen), F.to_date(AT)), f"n % 2 > 0 OR seen::DATE < {AT_SQL}::DATE")
+_ruled("scl27_source_count", lambda before, seen, n: rules.source_count(n, F.lit(68)), "CASE WHEN n < round_even(68 * 0.98, 0) THEN 'Fail' ELSE 'Pass' END")
 add("scl21_api7_freshness", lambda s, d: _runs(s, d).select("user_id", health.fresh_column(F.col("seen").cast("timestamp"), F.lit("2024-01-30 00:00:00").cast("timestamp")).alias("fresh")), f"WITH {RUNS} SELECT user_id, TIMESTAMP '2024-01-30 00:00:00' - seen <= INTERVAL 45 MINUTE AS fresh FROM runs")
 
 # The feed's predicates, as Spark reads them.

@@ -117,3 +117,29 @@ def test_maps_are_whole_and_agree_with_their_rules(spark):
 
 def test_escape_html(spark):
     assert one(spark, "<a href=\"x\">O'B & C</a>", "string", escape_html(F.col("v"))) == ("&lt;a href=&quot;x&quot;&gt;O&#39;B &amp; C&lt;/a&gt;",)
+
+
+def test_rules_as_columns_say_what_the_jobs_say(spark):
+    """Each rule on values at, beside and without its bound, against the function that a job calls."""
+    from datetime import datetime, timedelta, timezone
+
+    from pyspark.sql import functions as F
+
+    from curbstone.functions import rules
+    from curbstone.operators import quality
+    from curbstone.operators.reconcile import guard_fails
+    from curbstone.plans import jobs
+
+    times = [datetime(2026, 1, 2, tzinfo=timezone.utc) + timedelta(hours=h) for h in (-30, -1, 0, 5)]
+    numbers = [0, 1, 23, 24, 25, 94, 95, 96, 100, 105, 106]
+    plain = lambda t: t and t.replace(tzinfo=None)
+    rows = [(plain(a), plain(b), plain(c)) for a in times for b in (None, *times) for c in (None, *times)]
+    t = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz, c timestamp_ntz")
+    utc = lambda x: x and x.replace(tzinfo=timezone.utc)
+    for r in t.select("*", rules.next_watermark(F.col("a"), F.col("b"), F.coalesce("c", "a")).alias("w"), rules.seed_watermark(F.col("a"), F.col("b"), F.col("c")).alias("s"), rules.refresh_due(F.lit(0), F.to_date("b"), F.to_date("a")).alias("d")).collect():
+        a, b, c = utc(r["a"]), utc(r["b"]), utc(r["c"])
+        assert utc(r["w"]) == jobs.next_watermark(a, b, c or a) and utc(r["s"]) == jobs.seed_watermark(a, b, c) and r["d"] == jobs.refresh_due(0, b and b.date(), a.date())
+    t = spark.createDataFrame([(n, b) for n in numbers for b in (None, *numbers)], "n long, b long")
+    for r in t.select("*", rules.guard_fails(F.col("n"), F.col("b")).alias("g"), rules.source_count(F.col("n"), F.col("b")).alias("s"), rules.page_count(F.col("n"), F.col("b")).alias("p")).collect():
+        assert r["g"] == guard_fails(r["n"], r["b"]) and r["s"] == quality.source_count(r["n"], r["b"])["status"]
+        assert r["b"] is None or r["p"] == quality.page_count_check(r["n"], r["b"])
