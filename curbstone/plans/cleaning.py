@@ -291,13 +291,13 @@ def _ruled(name: str, rule, sql: str) -> None:
     add(name, lambda s, d: _runs(s, d).select("user_id", rule(F.col("before"), F.col("seen"), F.col("n")).alias("result")), f"WITH {RUNS} SELECT user_id, {sql} AS result FROM runs")
 
 
-AT = F.lit(datetime(2024, 1, 29, 12)).cast("timestamp_ntz")
+at = lambda: F.lit(datetime(2024, 1, 29, 12)).cast("timestamp_ntz")
 AT_SQL = "TIMESTAMP '2024-01-29 12:00:00'"
-_ruled("scl22_next_watermark", lambda before, seen, n: rules.next_watermark(before, seen, AT), f"greatest(before, least(seen, {AT_SQL}))")
-_ruled("scl23_seed_watermark", lambda before, seen, n: rules.seed_watermark(AT, seen, before + F.lit(timedelta(days=28))), f"least(least({AT_SQL}, seen) - INTERVAL 1 HOUR, before + INTERVAL 28 DAY)")
+_ruled("scl22_next_watermark", lambda before, seen, n: rules.next_watermark(before, seen, at()), f"greatest(before, least(seen, {AT_SQL}))")
+_ruled("scl23_seed_watermark", lambda before, seen, n: rules.seed_watermark(at(), seen, before + F.lit(timedelta(days=28))), f"least(least({AT_SQL}, seen) - INTERVAL 1 HOUR, before + INTERVAL 28 DAY)")
 _ruled("scl24_guard", lambda before, seen, n: rules.guard_fails(n, F.lit(70)), "n < 70 * 0.95")
 _ruled("scl26_page_count", lambda before, seen, n: rules.page_count(n, F.lit(66)), "CASE WHEN 20 * abs(n - 66) <= 66 THEN 'Within' WHEN n > 66 THEN 'Grew' ELSE 'Dropped' END")
-_ruled("scl28_refresh_due", lambda before, seen, n: rules.refresh_due(n % 2, F.to_date(seen), F.to_date(AT)), f"n % 2 > 0 OR seen::DATE < {AT_SQL}::DATE")
+_ruled("scl28_refresh_due", lambda before, seen, n: rules.refresh_due(n % 2, F.to_date(seen), F.to_date(at())), f"n % 2 > 0 OR seen::DATE < {AT_SQL}::DATE")
 _ruled("scl27_source_count", lambda before, seen, n: rules.source_count(n, F.lit(68)), "CASE WHEN n < round_even(68 * 0.98, 0) THEN 'Fail' ELSE 'Pass' END")
 add("scl21_api7_freshness", lambda s, d: _runs(s, d).select("user_id", health.fresh_column(F.col("seen").cast("timestamp"), F.lit("2024-01-30 00:00:00").cast("timestamp")).alias("fresh")), f"WITH {RUNS} SELECT user_id, TIMESTAMP '2024-01-30 00:00:00' - seen <= INTERVAL 45 MINUTE AS fresh FROM runs")
 
