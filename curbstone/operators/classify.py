@@ -39,17 +39,17 @@ def with_service(requests: DataFrame, pairs: DataFrame) -> DataFrame:
     return with_type(requests, pairs, "left").withColumn("service", F.col("type_label").isNull()).drop("type_group", "type_label", "type_reason")
 
 
-def _old(requests: DataFrame, age: int) -> Column:
+def old_closure(requests: DataFrame, age: int) -> Column:
     return F.col("service") & F.col("present") & (F.col("dq_flags").bitwiseAND(DATE_PROBLEMS) == 0) & (F.col("hundredths") > 100 * age)
 
 
 def clear_out_days(requests: DataFrame, least: int = MIN_COUNT, detect_age: int = DETECT_AGE) -> DataFrame:
-    old = requests.filter(_old(requests, detect_age) & F.col("closed_date").isNotNull())
+    old = requests.filter(old_closure(requests, detect_age) & F.col("closed_date").isNotNull())
     return old.groupBy("closed_date", "category_group").agg(F.count(F.lit(1)).alias("old_closures")).filter(F.col("old_closures") >= least)
 
 
 def sweep_minutes(requests: DataFrame, least: int = SWEEP_COUNT, detect_age: int = DETECT_AGE) -> DataFrame:
-    old = requests.filter(_old(requests, detect_age) & F.col("closed_ts").isNotNull())
+    old = requests.filter(old_closure(requests, detect_age) & F.col("closed_ts").isNotNull())
     return old.groupBy(F.date_trunc("minute", "closed_ts").alias("closed_minute")).agg(F.count(F.lit(1)).alias("old_closures")).filter(F.col("old_closures") >= least)
 
 
@@ -61,7 +61,7 @@ def with_bulk(requests: DataFrame, days: DataFrame, minutes: DataFrame, member_a
     """
     d, few_days = small(days.select("closed_date", "category_group", F.lit(True).alias("__day")))
     m, few_minutes = small(minutes.select("closed_minute", F.lit(True).alias("__minute")))
-    old = F.coalesce(_old(requests, member_age), F.lit(False))
+    old = F.coalesce(old_closure(requests, member_age), F.lit(False))
 
     def marked(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("closed_minute", F.date_trunc("minute", "closed_ts")).join(d, ["closed_date", "category_group"], "left").join(m, "closed_minute", "left")

@@ -81,13 +81,9 @@ def window_percentiles(requests: DataFrame, as_of: Column, windows: tuple[int, .
     return exact_percentiles(rolled, by, "hundredths", "n", {"median": MEDIAN, "p90": P90}).withColumnRenamed("n", "closed_count")
 
 
-def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """A row for each window, period and cell that has any count or value; median_days and p90_days may be null.
-
-    One pass: what happened to a request on a day (opened, excluded, closed in so many hundredths) is counted by cell, day and
-    hundredths; counts and percentiles come from the same rows. sets are the cells asked for, by default all.
-    """
-    c, by = F.col, ["window_days", "period", *DIMS]
+def event_counts(requests: DataFrame) -> DataFrame:
+    """(cell, day, hundredths, COUNTS, n): what happened to requests on a day, n being those timed with so many hundredths."""
+    c = F.col
     event = lambda day, opened, excluded, bulk, hundredths: F.struct(
         day.alias("day"), opened.alias("opened_count"), excluded.alias("excluded_count"), bulk.cast("int").alias("bulk_closed_count"), hundredths.alias("hundredths")
     )
@@ -98,8 +94,22 @@ def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = W
         event(F.when(c("timed"), c("closed_date")), no, no, c("bulk"), c("hundredths").cast("long")),
     )
     rows = requests.filter("service").select(*DIMS, F.explode(F.filter(events, lambda x: x["day"].isNotNull())).alias("e")).select(*DIMS, "e.*")
-    rows = rows.groupBy(*DIMS, "day", "hundredths").agg(*(F.sum(k).alias(k) for k in COUNTS), F.count("hundredths").alias("n"))
-    rows = in_periods(rows, "day", as_of, windows).groupBy("window_days", "period", *DIMS, "hundredths").agg(*(F.sum(k).alias(k) for k in (*COUNTS, "n")))
+    return rows.groupBy(*DIMS, "day", "hundredths").agg(*(F.sum(k).alias(k) for k in COUNTS), F.count("hundredths").alias("n"))
+
+
+def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """A row for each window, period and cell that has any count or value; median_days and p90_days may be null.
+
+    One pass: events are counted by cell, day and hundredths; counts and percentiles come from the same rows. sets are the cells
+    asked for, by default all.
+    """
+    return window_cube_of(event_counts(requests), as_of, windows, sets)
+
+
+def window_cube_of(events: DataFrame, as_of: Column, windows: tuple[int, ...] = WINDOWS, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """window_cube() from event_counts()."""
+    by = ["window_days", "period", *DIMS]
+    rows = in_periods(events, "day", as_of, windows).groupBy("window_days", "period", *DIMS, "hundredths").agg(*(F.sum(k).alias(k) for k in (*COUNTS, "n")))
     rolled = roll_up(rows, ["window_days", "period", "hundredths"], [*COUNTS, "n"], sets=sets)
     got = exact_percentiles(rolled, by, "hundredths", "n", {"median": MEDIAN, "p90": P90}, COUNTS)
     return got.select(
@@ -107,25 +117,46 @@ def window_cube(requests: DataFrame, as_of: Column, windows: tuple[int, ...] = W
     )
 
 
+def open_at(as_of: Column) -> Column:
+    """Whether a request, or a count of some, was created by as_of and hasn't left the backlog by then."""
+    return (F.col("created_date") <= as_of) & (F.col("backlog_close_date").isNull() | (F.col("backlog_close_date") > as_of))
+
+
 def open_cube(requests: DataFrame, as_of: Column, age: Column, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(cell, open_count, median_age_days): requests created by as_of that haven't left the backlog; age in hundredths."""
-    open_ = requests.filter(F.col("service") & (F.col("created_date") <= as_of) & (F.col("backlog_close_date").isNull() | (F.col("backlog_close_date") > as_of)))
-    rows = open_.select(*DIMS, age.alias("hundredths")).groupBy(*DIMS, "hundredths").agg(F.count(F.lit(1)).alias("n"))
+    return open_cube_of(requests.filter("service").withColumn("n", F.lit(1)), as_of, age, sets)
+
+
+def open_cube_of(counts: DataFrame, as_of: Column, age: Column, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """open_cube() from service requests counted (n) by cell, created_date, backlog_close_date and what age is made of."""
+    rows = counts.filter(open_at(as_of)).select(*DIMS, age.alias("hundredths"), "n").groupBy(*DIMS, "hundredths").agg(F.sum("n").alias("n"))
     rolled = roll_up(rows, ["hundredths"], ["n"], sets=sets)
     got = exact_percentiles(rolled, list(DIMS), "hundredths", "n", {"median": MEDIAN})
     return got.select(*DIMS, F.col("n").cast("long").alias("open_count"), (F.col("median") / 100).alias("median_age_days"))
 
 
+def daily_counts(requests: DataFrame) -> DataFrame:
+    """(district_number, category_group, day, opened, closed): service requests that have a created day, by it and by the day they left."""
+    dims = ("district_number", "category_group")
+    day = lambda d, o, x: F.struct(F.col(d).alias("day"), F.lit(o).alias("opened"), F.lit(x).alias("closed"))
+    days = F.filter(F.array(day("created_date", 1, 0), day("backlog_close_date", 0, 1)), lambda x: x["day"].isNotNull())
+    events = requests.filter("service and created_date is not null").select(*dims, F.explode(days).alias("e")).select(*dims, "e.*")
+    return events.groupBy(*dims, "day").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+
+
 def daily_backlog(requests: DataFrame, as_of: Column, start: str = BACKLOG_START) -> DataFrame:
     """(day, cell, opened, closed, open_at_end) for each day from start to as_of and each cell of district x category.
 
-    Events are counted by cell and day before they are rolled up; the running sum has one row for each cell and day.
+    Events are counted by cell and day before they are rolled up; the running sum has one row for each cell and day. No request
+    leaves before the day that it was created.
     """
+    return daily_backlog_of(daily_counts(requests), as_of, start)
+
+
+def daily_backlog_of(counts: DataFrame, as_of: Column, start: str = BACKLOG_START) -> DataFrame:
+    """daily_backlog() from daily_counts()."""
     first, dims = F.lit(start).cast("date"), ("district_number", "category_group")
-    rows = requests.filter(F.col("service") & (F.col("created_date") <= as_of))
-    left = F.when(F.col("backlog_close_date") <= as_of, F.col("backlog_close_date"))
-    days = F.array(F.struct(F.col("created_date").alias("day"), F.lit(1).alias("opened"), F.lit(0).alias("closed")), F.struct(left.alias("day"), F.lit(0).alias("opened"), F.lit(1).alias("closed")))
-    events = rows.select(*dims, F.explode(F.filter(days, lambda x: x["day"].isNotNull())).alias("e")).select(*dims, "e.*")
+    events = counts.filter(F.col("day") <= as_of)
     events = events.groupBy(*dims, F.greatest("day", F.date_sub(first, 1)).alias("day")).agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
     rolled = roll_up(events, ["day"], ["opened", "closed"], dims)
     cells = rolled.select(*dims).distinct()

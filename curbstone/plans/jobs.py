@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbstone.functions.clean import FIRST_VALID, ZONE, clean, epoch_time, local_date, reject_reason
-from curbstone.functions.maps import BACKLOG_START, CATEGORIES, DATE_PROBLEMS, NEIGHBORHOODS, UNMAPPED, category_map, line_map, neighborhood_map, slug_of, source_map
+from curbstone.functions.maps import BACKLOG_START, CATEGORIES, DATE_PROBLEMS, DETECT_AGE, LABELS, MEMBER_AGE, MIN_COUNT, NEIGHBORHOODS, SWEEP_COUNT, UNMAPPED, category_map, line_map, neighborhood_map, slug_of, source_map
 from curbstone.functions.text import null_if_blank
-from curbstone.operators import classify, cube, notes, quality
+from curbstone.operators import classify, cube, kept, notes, quality
 from curbstone.operators.apply import change_counts, merged, new_history, newest, with_maps
 from curbstone.operators.constraints import Rules, require
 from curbstone.operators.reconcile import guard_fails
@@ -169,11 +169,20 @@ class Jobs:
                     self.check(run)
                 except Exception as e:  # figures are behind then, but what was read is kept
                     run = self.store.end(run, "Succeeded", self.now(), refresh_error=str(e)[:500])
-                self.store.tidy(self.retain)
+                self._tidy()
                 return run
         except Busy:
             return {"job": job, "status": "Skipped"}
 
+    def _tidy(self) -> None:
+        """Tidies the store; counts that belong to the table as it is still belong to it when it has been rewritten."""
+        last = self.store.value("refresh")
+        known = last and "version" in last and self.store.later("service_request", last["version"]) == []
+        self.store.tidy(self.retain)
+        head = self.store.head()
+        if known and head["tables"]["service_request"] != last["version"]["of"]:
+            self.store.commit(values={"refresh": last | {"version": self.store.version("service_request", head["number"], head)}})
+
     def _raw(self, found: list[dict]) -> DataFrame:
         rows = [(json.dumps(f),) for p in found for f in p["features"]]
         return self.spark.createDataFrame(rows, "feature string")
@@ -371,49 +380,70 @@ class Jobs:
             self.store.compact("raw_page", lambda df: materialized(df.filter(F.col("fetched_utc") >= limit)))
 
     # Figures.
-    def classified(self, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(requests as the cube takes them, with service and bulk; pairs that aren't for service)."""
+    def described(self, table: DataFrame) -> DataFrame:
+        """Requests as the cube takes them, with service and their type; bulk is the label that they have."""
         c = F.col
         rows = table.withColumns({
             "hundredths": F.round(c("days_to_close") * 100).cast("long"), "present": c("source_removed_utc").isNull(), "closed_ts": c("closed_utc"),
             "created_date": c("created_date_local"), "closed_date": c("closed_date_local"), "backlog_close_date": c("backlog_close_date_local"),
+            "bulk": c("dq_flags").bitwiseAND(LABELS) != 0,
         })
         rows = rows.withColumn("timed", (c("dq_flags").bitwiseAND(DATE_PROBLEMS) == 0) & c("hundredths").isNotNull() & c("closed_date").isNotNull())
-        rows = materialized(rows)
         pairs = materialized(classify.non_service_pairs(rows, self.maps[0], line_map(self.spark)))
-        rows = classify.with_service(rows, pairs)
-        rows = classify.with_bulk(rows, classify.clear_out_days(rows), classify.sweep_minutes(rows))
-        rows = rows.withColumn("flags_before", F.col("dq_flags"))
-        return materialized(rows.withColumn("dq_flags", classify.label_flags(c("dq_flags"), c("bulk")))), pairs
-
-    def refresh(self) -> dict:
-        """Classifies all requests and publishes every aggregate in one commit, if each satisfies its rules (else Violated)."""
-        now, table = self.now(), self.store.read("service_request")
+        return classify.with_type(rows, pairs, "left").withColumn("service", c("type_label").isNull())
+
+    def refresh(self, whole: bool = False) -> dict:
+        """Labels requests and publishes every aggregate in one commit, if each satisfies its rules (else Violated).
+
+        Counts are kept with what is published. They are moved by the requests that changed since, and only these are read; whole counts
+        all requests again, as is done where the counts can't be told to belong to the table, the maps and an earlier day. To be called by
+        the holder of the lock.
+        """
+        now, head = self.now(), self.store.head()
+        table = self.store.read("service_request", at=head)
         day = self.spark.range(1).select(local_date(F.lit(now).cast("timestamp"))).first()[0]
-        rows, pairs = self.classified(table)
-        present, as_of = rows.filter("present"), F.lit(day)
+        rules, last = self._rules(), head["values"].get("refresh", {})
+        as_of, changes = F.lit(day), None
+        if not whole and last.get("rules") == rules and last["as_of_date"] <= day.isoformat() and all(f"kept_{n}" in head["tables"] for n in kept.KEPT):
+            changes = self.store.changes("service_request", last["version"], at=head)
+        if changes is None:
+            counts, rows = kept.build(materialized(self.described(table)), as_of)
+        else:
+            old, new = (materialized(df) for df in changes)
+
+            def others(groups: DataFrame) -> DataFrame:
+                days = groups.agg(F.min("closed_date"), F.max("closed_date")).first()
+                rest = table.filter(F.col("closed_date_local").between(*days)).join(new.select("reference_number"), "reference_number", "left_anti")
+                rest = self.described(rest).withColumn("closed_minute", F.date_trunc("minute", "closed_ts"))
+                rest = rest.filter(classify.old_closure(rest, MEMBER_AGE))
+                return rest.join(groups, list(kept.CLOSURE), "left_semi").drop("closed_minute")
+
+            before = {n: self.store.read(f"kept_{n}", at=head) for n in kept.KEPT}
+            since = F.lit(last["as_of_date"]).cast("date")
+            counts, rows = kept.move(before, self.described(old), self.described(new), others, since)
+            counts["open"] = counts["open"].filter(F.col("backlog_close_date").isNull() | (F.col("backlog_close_date") > as_of))
         age = F.greatest(F.lit(0).cast("long"), F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis("created_utc")) / 864000 + 0.5).cast("long"))
-        dated = present.filter(F.col("created_utc").isNotNull())
-        tables = {
-            "stats_window": cube.window_cube(present, as_of),
-            "open_backlog": cube.open_cube(dated, as_of, age),
-            "backlog_daily": cube.daily_backlog(present, as_of),
-            "exclusion": notes.non_service_by_period(rows, pairs, as_of),
-            "exclusion_open": notes.non_service_open(rows, pairs, as_of),
-            "exclusion_flag": notes.date_problem_closures(rows, as_of),
-            "clear_out": notes.clear_outs(rows, F.lit(BACKLOG_START).cast("date")),
-        }
-        tables = {n: materialized(df) for n, df in tables.items()}
+        tables = {n: materialized(df) for n, df in kept.figures(counts, as_of, age, BACKLOG_START).items()}
         known = {r["category_group"] for r in self.maps[0].select("category_group").distinct().collect()}
-        rules = {n: r._replace(known={c: [*v, *known] for c, v in r.known.items()}) for n, r in PUBLISHED.items()}
-        require({n: (df, rules[n]) for n, df in tables.items()})
+        checked = {n: r._replace(known={c: [*v, *known] for c, v in r.known.items()}) for n, r in PUBLISHED.items()}
+        require({n: (df, checked[n]) for n, df in tables.items()})
+        total = counts["totals"].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        labels = rows.withColumn("flags_before", F.col("dq_flags")).withColumn("dq_flags", classify.label_flags(F.col("dq_flags"), F.col("bulk")))
+        labels = materialized(labels.filter("dq_flags <> flags_before").select(*table.columns))
+        relabelled, read = labels.count(), rows.count()
+        info = {"as_of_utc": now.isoformat(), "as_of_date": day.isoformat(), "requests": total, "rules": rules, "read": read, "whole": changes is None}
         self.store.commit(
-            replace=tables,
-            upsert={"service_request": (rows.filter("dq_flags <> flags_before").select(*table.columns), "reference_number")},
-            values={"refresh": {"as_of_utc": now.isoformat(), "as_of_date": day.isoformat(), "requests": present.count()}},
+            replace=tables | {f"kept_{n}": df for n, df in counts.items()},
+            upsert={"service_request": (labels, "reference_number")} if relabelled else {},
+            values=lambda number: {"refresh": info | {"version": self.store.version("service_request", number, head)}},
         )
         return self.store.value("refresh")
 
+    def _rules(self) -> str:
+        """A hash of what figures depend on besides requests: the maps and the thresholds."""
+        sums = [df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0] for df in (self.maps[0], line_map(self.spark))]
+        return hashlib.sha256(repr((sums, MIN_COUNT, SWEEP_COUNT, DETECT_AGE, MEMBER_AGE, DATE_PROBLEMS)).encode()).hexdigest()[:16]
+
     def refresh_if_due(self, changed: int) -> None:
         last = self.store.value("refresh")
         today = self.spark.range(1).select(local_date(F.lit(self.now()).cast("timestamp"))).first()[0]
@@ -461,7 +491,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--feed", required=True)
     parser.add_argument("--since", type=datetime.fromisoformat)
     parser.add_argument("--until", type=datetime.fromisoformat)
-    parser.add_argument("--restart", action="store_true")
+    parser.add_argument("--restart", action="store_true", help="begin a backfill anew, or count all requests again for the aggregates")
     parser.add_argument("--max-pages", type=int)
     parser.add_argument("--ranges", type=int, default=1, help="ranges of OBJECTID that a backfill reads at once")
     parser.add_argument("--profile", help="a Markdown profile whose row count verify-source compares with")
@@ -475,7 +505,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{difference}; {served:,} rows" + (f"; {quality.page_count_check(served, baseline)}: the profile has {baseline:,}" if baseline else ""))
         return EXIT["SchemaDrift"] if difference.drift else 0
     if a.verb == "aggregates":
-        print(json.dumps(jobs.refresh()))
+        with jobs.store.lock("aggregates"):
+            print(json.dumps(jobs.refresh(a.restart)))
         return 0
     if a.verb == "dq":
         print(json.dumps(jobs.check({"id": 0})))

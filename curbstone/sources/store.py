@@ -157,6 +157,36 @@ class Store:
         rows = self._parts(table, changed["parts"], near).withColumn("__rn", newest).filter("__rn = 1").drop("__rn", "__commit")
         return base.join(rows.select(key), key, "left_anti").unionByName(rows)
 
+    def version(self, table: str, number: int, at: dict | None = None) -> dict:
+        """What changes() needs to tell what came after commit number; rows that this commit upserts may follow."""
+        return {"number": number, "of": (at or self.head())["tables"].get(table)}
+
+    def later(self, table: str, version: dict, at: dict | None = None) -> list[str] | None:
+        """The parts with rows upserted since a version; None where the table was rewritten since."""
+        head = at or self.head()
+        if version["of"] is None or head["tables"].get(table) != version["of"]:
+            return None
+        return [p for p in head.get("changed", {}).get(table, {"parts": []})["parts"] if _number(p) > version["number"]]
+
+    def changes(self, table: str, version: dict, at: dict | None = None) -> tuple[DataFrame, DataFrame] | None:
+        """(rows as they were at a version, rows as they are) of the keys that were upserted since; None where it was rewritten since.
+
+        Reads the parts written since, and the buckets of their keys.
+        """
+        head = at or self.head()
+        changed, later = head.get("changed", {}).get(table), self.later(table, version, head)
+        if later is None:
+            return None
+        base = self._parts(table, version["of"])
+        if not later:
+            return base.limit(0), base.limit(0)
+        newest = F.row_number().over(Window.partitionBy(changed["key"]).orderBy(F.desc("__commit")))
+        rows = self._parts(table, later).withColumn("__rn", newest).filter("__rn = 1").drop("__rn", "__commit")
+        keys = rows.select(changed["key"])
+        earlier = [p for p in changed["parts"] if _number(p) <= version["number"]]
+        before = {"tables": {table: version["of"]}, "changed": {table: changed | {"parts": earlier}} if earlier else {}}
+        return self.read(table, at=before, near=keys).join(keys, changed["key"], "left_semi"), rows
+
     def value(self, name: str, default=None):
         return self.head()["values"].get(name, default)
 
@@ -164,12 +194,16 @@ class Store:
         self,
         replace: dict[str, DataFrame] | None = None,
         append: dict[str, DataFrame] | None = None,
-        values: dict | None = None,
+        values: dict | Callable[[int], dict] | None = None,
         upsert: dict[str, tuple[DataFrame, str]] | None = None,
     ) -> dict:
-        """Writes tables, whole, as further parts or as changed rows (with their key), and shows them together with values (None removes one)."""
+        """Writes tables, whole, as further parts or as changed rows (with their key), and shows them together with values (None removes one).
+
+        values may be a function of the commit's number.
+        """
         head = self.head()
         number = head["number"] + 1
+        values = values(number) if callable(values) else values
         tables, changed = dict(head["tables"]), {k: dict(v) for k, v in head.get("changed", {}).items()}
         for name, (df, key) in (upsert or {}).items():
             held = changed.setdefault(name, {"key": key, "parts": [], "rows": 0, "of": self._parts(name, tables[name]).count()})
@@ -231,7 +265,7 @@ class Store:
             self.files.delete(f"{self.path}/_commits/{n:012d}.json")
         for name in self.files.names(self.path):
             for part in self.files.names(f"{self.path}/{name}") if not name.startswith("_") else ():
-                if part not in shown.get(name, set()) and int(re.match(r"v(\d+)", part)[1]) <= numbers[-1]:
+                if part not in shown.get(name, set()) and _number(part) <= numbers[-1]:
                     self.files.delete(f"{self.path}/{name}/{part}")
 
     @contextmanager
@@ -305,6 +339,11 @@ def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _number(part: str) -> int:
+    """The commit that a part was written for."""
+    return int(re.match(r"v(\d+)", part)[1])
+
+
 def _buckets(part: str) -> int:
     """The number of buckets of a part, 0 if it has none."""
     found = re.search(r"-b(\d+)$", part)
