@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curbstone.operators.classify import clear_out_days, sweep_minutes, with_bulk
+from curbstone.functions.maps import MEMBER_AGE
+from curbstone.operators import kept
+from curbstone.operators.classify import clear_out_days, non_service_pairs, old_closure, sweep_minutes, with_bulk, with_type
+from curbstone.operators.cube import daily_backlog_of, window_cube_of
 from curbstone.plans import domain as D
-from curbstone.plans.figures import CUBE_SQL
+from curbstone.plans.figures import BACKLOG_CTE, CUBE_SQL
 from curbstone.plans.registry import add
+from curbstone.session import materialized
 
 # What is held: newest versions of odd objects. A batch: newest versions of the others and of every fifth.
 SPLIT = """parts AS (SELECT *, hash_of AS row_hash FROM (SELECT *, md5(reference_number || '|' || object_id || '|' || public_status || '|' || l_shipdate) AS hash_of FROM versions)),
@@ -83,6 +87,33 @@ def from_rule(spark, d):
 add("agg32_clear_outs_from_rule", from_rule, f"{D.SQL} SELECT closed_date, category_group, count(*) AS n, sum(hundredths)::BIGINT AS hundredths FROM requests WHERE bulk GROUP BY ALL")
 
 
+def _typed(rows):
+    """cleaned() rows with what kept counts are made of."""
+    rows = materialized(rows.withColumn("created_utc", F.col("created_ts")))
+    pairs = non_service_pairs(rows, D.category_map(rows.sparkSession), D.line_map(rows.sparkSession))
+    return with_type(rows, pairs, "left").withColumn("service", F.col("type_label").isNull())
+
+
+def moved_counts(spark, d):
+    """STR-11: counts of what was held before the newest tenth of objects came, moved by the requests that changed with these."""
+    all_ = D.versions(spark, d)
+    held = _typed(D.cleaned(spark, d, D.latest(all_.filter("object_id % 10 <> 0"))))
+    now = _typed(D.cleaned(spark, d))
+    counts, held = kept.build(held, None, D.DAY_LEAST, D.SWEEP_LEAST)
+    version = ["reference_number", "object_id", "updated_ts", "public_status", "closed_ts"]
+    keys = materialized(held.select(*version).exceptAll(now.select(*version)).unionByName(now.select(*version).exceptAll(held.select(*version))).select("reference_number").distinct())
+    old, new = (materialized(df.join(keys, "reference_number", "left_semi")) for df in (held, now))
+
+    def others(groups):
+        rest = held.join(keys, "reference_number", "left_anti").withColumn("closed_minute", F.date_trunc("minute", "closed_ts"))
+        return rest.filter(old_closure(rest, MEMBER_AGE)).join(groups, list(kept.CLOSURE), "left_semi").drop("closed_minute")
+
+    return kept.move(counts, old, new, others, None, D.DAY_LEAST, D.SWEEP_LEAST)[0]
+
+add("str11_cube_from_changes", lambda s, d: window_cube_of(moved_counts(s, d)["events"], D.as_of(), D.WINDOWS), f"{CUBE_SQL} SELECT * FROM cube")
+add("str11_backlog_from_changes", lambda s, d: daily_backlog_of(moved_counts(s, d)["daily"], D.as_of(), D.BACKLOG_FROM), f"{D.SQL}, {BACKLOG_CTE} SELECT * FROM backlog")
+
+
 def counted_cells(spark, d):
     """AGG-7, SORT-5: every cell that has any count or value in the last 30 days, most opened first."""
     from curbstone.operators.cube import window_cube

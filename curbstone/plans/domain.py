@@ -80,9 +80,9 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("reference_number").orderBy(*order))).filter("rn = 1").drop("rn")
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest versions with maps resolved, days, bits and groups; without classification."""
-    rows = newest_versions(spark, sf_dir)
+def cleaned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Newest versions, or such rows, with maps resolved, days, bits and groups; without classification."""
+    rows = newest_versions(spark, sf_dir) if rows is None else rows
     categories = category_map(spark).select("category_key", F.col("category_group").alias("g"))
     sources = source_map(spark).select("source_key", F.col("source_channel").alias("s"))
     rows = rows.join(F.broadcast(categories), map_key(F.col("category_level1")) == F.col("category_key"), "left").join(F.broadcast(sources), map_key(F.col("source_level1")) == F.col("source_key"), "left")
