@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -220,10 +221,14 @@ def pushed(spark, d):
     return rows.withColumn("value", value).filter("value > 5").select("object_id", "reference_number", "date_updated", "value")
 
 
+#: Rows of the feed in a range of ids, about; each range is a task.
+RANGE = 125_000
+
+
 def keyset_scan(spark, d):
-    """SRC-1, SORT-10: the whole feed by keyset pages, in ranges of ids whose ends the feed's own figures give."""
-    ends = served_statistics(spark, statistics_of, "max OBJECTID", argument=_events(d)).first()[0] or 0
-    rows = served_events(spark, d, after=-1, last=ends, ranges=4, pageSize=500)
+    """SRC-1, SORT-10: the whole feed by keyset pages, in ranges of ids whose ends and number the feed's own figures give."""
+    n, ends = served_statistics(spark, statistics_of, "count OBJECTID, max OBJECTID", argument=_events(d)).first()
+    rows = served_events(spark, d, after=-1, last=ends or 0, ranges=max(4, math.ceil(n / RANGE)), pageSize=500)
     return rows.select("object_id", "reference_number", F.get_json_object("feature", "$.attributes.user_id").cast("long").alias("user_id"))
 
 

@@ -177,3 +177,52 @@ def test_features_keep_their_json(spark):
     got = spark.read.format("keyset_feed").load().collect()
     assert [(r["object_id"], r["reference_number"], r["date_updated"]) for r in got] == [(3, None, T), (4, "12", None)]
     assert json.loads(got[0]["feature"])["attributes"]["ZIP"] == "é"
+
+
+def test_pages_of_a_table_are_cut_from_blocks(tmp_path, monkeypatch):
+    """Rows in no order are all served, by far fewer reads of the table than there are pages, within a few blocks' rows."""
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    from curbstone.sources import feed, served
+
+    ids = [(k * 7919) % 10_007 for k in range(10_007)]
+    pq.write_table(pa.table({"id": ids, "name": [f"n{k}" for k in ids]}), tmp_path / "t.parquet", row_group_size=1000)
+    reads = []
+
+    class Counted:
+        def __init__(self, data):
+            self.data, self.schema = data, data.schema
+
+        def to_table(self, **how):
+            reads.append(how)
+            return self.data.to_table(**how)
+
+        def to_batches(self, **how):
+            reads.append(how)
+            return self.data.to_batches(**how)
+
+    opened = ds.dataset
+    monkeypatch.setattr(served.ds, "dataset", lambda path: Counted(opened(path)))
+    query = served.pages_of(served.argument(str(tmp_path / "t.parquet"), OBJECTID="id"))
+    rows = [f["attributes"] for _, page in feed.pages(query, "1=1 AND OBJECTID <= 9000", -1, 50) for f in page["features"]]
+    assert [(r["OBJECTID"], r["name"]) for r in rows] == [(k, f"n{k}") for k in range(9001)]
+    assert len(reads) <= 2
+    small = served.pages_of(served.argument(str(tmp_path / "t.parquet"), OBJECTID="id"), block=400)
+    assert [f["attributes"]["OBJECTID"] for _, page in feed.pages(small, "1=1", 3000, 300) for f in page["features"]] == list(range(3001, 10_007))
+
+
+def test_figures_of_a_table_are_merged(tmp_path):
+    """Figures worked out a few rows at a time are those of all rows, for groups, nulls and no rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from curbstone.sources import served
+
+    pq.write_table(pa.table({"id": list(range(1, 10)), "g": ["a", "b", None] * 3}), tmp_path / "t.parquet", row_group_size=2)
+    ask = served.statistics_of(served.argument(str(tmp_path / "t.parquet"), OBJECTID="id", ReferenceNumber="g"))
+    asked = [("count", "OBJECTID"), ("min", "OBJECTID"), ("max", "OBJECTID")]
+    want = {"a": (3, 1, 7), "b": (3, 2, 8), None: (3, 3, 9)}
+    assert {r["ReferenceNumber"]: (r["count_objectid"], r["min_objectid"], r["max_objectid"]) for r in ask("1=1", asked, "ReferenceNumber")} == want
+    assert ask("OBJECTID > 99", asked, None) == [{"count_objectid": 0, "min_objectid": None, "max_objectid": None}]
