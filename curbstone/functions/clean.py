@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbstone.functions.maps import FLAG
-from curbstone.functions.text import map_key, null_if_blank, slug
+from curbstone.functions.text import all_of, bare, map_key, null_if_blank, slug, unspaced
 
 # Fixed values of the feed: zone of local days, first valid date, bounding box, placeholders, longest key.
 ZONE, FIRST_VALID = "America/Los_Angeles", "2000-01-01"
@@ -35,7 +35,10 @@ def local_date(ts: Column) -> Column:
 
 def clean_address(s: Column) -> tuple[Column, Column]:
     """Blank: null without a bit. A placeholder, bare digits or under 3 characters: null with AddressJunk."""
-    text, key = null_if_blank(s), map_key(null_if_blank(s))
+    return _address(null_if_blank(s), map_key(null_if_blank(s)))
+
+
+def _address(text: Column, key: Column) -> tuple[Column, Column]:
     junk = text.isNotNull() & ((F.char_length(text) < 3) | key.isNull() | key.isin(*JUNK_ADDRESSES) | key.rlike("^[0-9]+$"))
     return F.when(~junk, text), _bit(junk, "AddressJunk")
 
@@ -43,19 +46,33 @@ def clean_address(s: Column) -> tuple[Column, Column]:
 def parse_district(s: Column) -> tuple[Column, Column, Column]:
     """(number 1 to 8, whether in the city, bits); outside the city there is no number."""
     key = F.coalesce(map_key(s), F.lit(""))
-    number = F.nullif(F.regexp_extract(key, "^(?:district)?0*([1-8])$", 1), F.lit("")).cast("int")
+    return _district(key, _district_number(key))
+
+
+def _district_number(key: Column) -> Column:
+    return F.nullif(F.regexp_extract(key, "^(?:district)?0*([1-8])$", 1), F.lit("")).cast("int")
+
+
+def _district(key: Column, number: Column) -> tuple[Column, Column, Column]:
     in_city = F.when(key == "noncity", F.lit(False)).when(number.isNotNull(), F.lit(True))
     return number, in_city, _bit(in_city.isNull(), "UnknownDistrict")
 
 
 def epoch_time(ms: Column, now: Column) -> tuple[Column, Column]:
     """A time of epoch milliseconds: null with SentinelDate before FIRST_VALID or out of range; FutureDate a day after now."""
+    value = _time(ms)
+    return value, _time_bits(ms, value, now)
+
+
+def _time(ms: Column) -> Column:
     inside = ms.between(F.lit(-62135596800000), F.lit(253402300799999))
     ts = F.when(inside, F.timestamp_millis(F.when(inside, ms)))
-    good = inside & (ts >= F.lit(FIRST_VALID).cast("timestamp"))
-    value = F.when(good, ts)
-    late = good & (ts > now + F.expr("INTERVAL 1 DAY"))
-    return value, _bit(ms.isNotNull() & ~F.coalesce(good, F.lit(False)), "SentinelDate") + _bit(F.coalesce(late, F.lit(False)), "FutureDate")
+    return F.when(inside & (ts >= F.lit(FIRST_VALID).cast("timestamp")), ts)
+
+
+def _time_bits(ms: Column, value: Column, now: Column) -> Column:
+    late = value > now + F.expr("INTERVAL 1 DAY")
+    return _bit(ms.isNotNull() & value.isNull(), "SentinelDate") + _bit(F.coalesce(late, F.lit(False)), "FutureDate")
 
 
 def clean_point(x: Column, y: Column) -> tuple[Column, Column, Column]:
@@ -69,36 +86,56 @@ def clean_point(x: Column, y: Column) -> tuple[Column, Column, Column]:
 def clean_neighborhood(s: Column, in_city: Column) -> tuple[Column, Column, Column, Column]:
     """(name, key, slug, bits); backslashes are slashes. Missing within the city: NeighborhoodMissingInCity."""
     name = null_if_blank(F.translate(s, "\\", "/"))
-    return name, map_key(name), slug(name), _bit(name.isNull() & F.coalesce(in_city, F.lit(False)), "NeighborhoodMissingInCity")
+    return name, map_key(name), slug(name), _neighborhood_bits(name, in_city)
+
+
+def _neighborhood_bits(name: Column, in_city: Column) -> Column:
+    return _bit(name.isNull() & F.coalesce(in_city, F.lit(False)), "NeighborhoodMissingInCity")
 
 
 def clean_zip(s: Column) -> tuple[Column, Column]:
     """The 5 digits of a ZIP or ZIP+4 code; null with InvalidZip for other text, null for blank."""
     text = null_if_blank(s)
-    five = F.nullif(F.regexp_extract(text, r"^(\d{5})(?:[- ]?\d{4})?$", 1), F.lit(""))
+    return _zip(text, _five(text))
+
+
+def _five(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"^(\d{5})(?:[- ]?\d{4})?$", 1), F.lit(""))
+
+
+def _zip(text: Column, five: Column) -> tuple[Column, Column]:
     return five, _bit(text.isNotNull() & five.isNull(), "InvalidZip")
 
 
 def status_group(s: Column) -> tuple[Column, Column]:
-    key = map_key(s)
-    group = (
+    group = _status(map_key(s))
+    return group, _status_bits(group)
+
+
+def _status(key: Column) -> Column:
+    return (
         F.when(key.isin("new", "inprogress"), "Open").when(key == "closed", "Closed").when(key.isin("cancelled", "canceled"), "Cancelled").otherwise("Unknown")
     )
-    return group, _bit(group == "Unknown", "UnknownStatus")
 
 
-def resolution(status: Column, created: Column, updated: Column, closed: Column) -> tuple[Column, Column, Column]:
+def _status_bits(group: Column) -> Column:
+    return _bit(group == "Unknown", "UnknownStatus")
+
+
+def resolution(status: Column, created: Column, updated: Column, closed: Column, days_of: dict[str, Column] | None = None) -> tuple[Column, Column, Column]:
     """(days to close as decimal(9,2), local day on which it left the backlog, bits).
 
     Days are there only for closed requests with both dates in order. A closed or cancelled request leaves the backlog when it
-    closed, else when it was updated last; an unknown one when it closed; never before it was created.
+    closed, else when it was updated last; an unknown one when it closed; never before it was created. days_of has the local days
+    of created and closed, if they are at hand.
     """
     wrong = F.coalesce(closed < created, F.lit(False))
     undated = (status == "Closed") & closed.isNull()
     hundredths = F.round((F.unix_millis(closed) - F.unix_millis(created)).cast("decimal(20,0)") / F.lit(86400000).cast("decimal(20,0)"), 2)
     days = F.when((status == "Closed") & ~wrong, hundredths.cast("decimal(9,2)"))
-    left = F.when(status.isin("Closed", "Cancelled"), F.coalesce(closed, updated)).when(status == "Unknown", closed)
-    day = F.when(left.isNotNull(), F.greatest(local_date(left), local_date(created)))
+    of = days_of or {"created": local_date(created), "closed": local_date(closed)}
+    left = F.when(status.isin("Closed", "Cancelled"), F.coalesce(of["closed"], local_date(updated))).when(status == "Unknown", of["closed"])
+    day = F.when(left.isNotNull(), F.greatest(left, of["created"]))
     return days, day, _bit(wrong, "InvalidCloseOrder") + _bit(undated, "ClosedMissingDate")
 
 
@@ -123,30 +160,49 @@ def row_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+#: Raw texts that are cleaned alike, and those of which a key is made.
+TEXTS = (
+    "reference_number", "sf_ticket_id", "category_level1", "category_level2", "category_name", "source_level1", "neighborhood", "address", "cross_street", "zip", "public_status",
+)
+KEYED = ("category_level1", "source_level1", "neighborhood", "address", "public_status", "council_district")
+
+
 def clean(raw: DataFrame, now: Column) -> DataFrame:
-    """One row for each raw row that can be identified: cleaned columns, keys for the maps, dq_flags and row_hash."""
+    """One row for each raw row that can be identified: cleaned columns, keys for the maps, dq_flags and row_hash.
+
+    Texts and keys come first, keys as one array, and what several columns are made of is worked out once for each row: with an
+    expression for each column that holds the others, the code of a task is too long for the JVM to compile.
+    """
     c = F.col
     rows = raw.filter(reject_reason(c("object_id"), c("reference_number"), c("date_updated")).isNull())
-    status, status_bits = status_group(c("public_status"))
-    district, in_city, district_bits = parse_district(c("council_district"))
-    name, name_key, name_slug, name_bits = clean_neighborhood(c("neighborhood"), in_city)
-    address, address_bits = clean_address(c("address"))
-    zip_code, zip_bits = clean_zip(c("zip"))
-    latitude, longitude, point_bits = clean_point(c("x"), c("y"))
-    (created, b1), (updated, b2), (closed, b3) = (epoch_time(c(f"date_{d}"), now) for d in ("created", "updated", "closed"))
-    days, left, resolution_bits = resolution(status, created, updated, closed)
-    bits = status_bits
-    for more in (district_bits, name_bits, address_bits, zip_bits, point_bits, b1, b2, b3, resolution_bits):
+    plain = {f"__{n}_text": unspaced(F.translate(c(n), "\\", "/") if n == "neighborhood" else c(n)) for n in TEXTS}
+    times = {f"__{d}": _time(c(f"date_{d}")) for d in ("created", "updated", "closed")}
+    point = dict(zip(("latitude", "longitude", "__point_bits"), clean_point(c("x"), c("y"))))
+    rows = rows.withColumns(plain | times | point | {"__k": all_of(bare, [c(n) for n in KEYED])})
+    text = lambda n: F.when(c(f"__{n}_text") != "", c(f"__{n}_text"))
+    key = lambda n: c("__k")[KEYED.index(n)]
+    district_key = F.coalesce(key("council_district"), F.lit(""))
+    rows = rows.withColumns({"__district": district_key, "__five": _five(text("zip"))})
+    created, updated, closed = c("__created"), c("__updated"), c("__closed")
+    rows = rows.withColumns({"__group": _status(key("public_status")), "__number": _district_number(c("__district"))} | {"__created_day": local_date(created), "__closed_day": local_date(closed)})
+    status, day = c("__group"), {"created": c("__created_day"), "closed": c("__closed_day")}
+    district, in_city, _ = _district(c("__district"), c("__number"))
+    address, address_bits = _address(text("address"), key("address"))
+    rows = rows.withColumns({"__in_city": in_city, "__clean_address": address, "__address_bits": address_bits})
+    name_bits = _neighborhood_bits(text("neighborhood"), c("__in_city"))
+    zip_code, zip_bits = _zip(text("zip"), c("__five"))
+    time_bits = [_time_bits(c(f"date_{d}"), c(f"__{d}"), now) for d in ("created", "updated", "closed")]
+    days, left, resolution_bits = resolution(status, created, updated, closed, day)
+    bits = _status_bits(status)
+    for more in (_bit(c("__in_city").isNull(), "UnknownDistrict"), name_bits, c("__address_bits"), zip_bits, c("__point_bits"), *time_bits, resolution_bits):
         bits = bits.bitwiseOR(more)
     return rows.select(
-        null_if_blank(c("reference_number")).alias("reference_number"), "object_id", null_if_blank(c("sf_ticket_id")).alias("sf_ticket_id"),
-        *(null_if_blank(c(n)).alias(n) for n in ("category_level1", "category_level2", "category_name")),
-        map_key(null_if_blank(c("category_level1"))).alias("category_key"),
-        null_if_blank(c("source_level1")).alias("source_channel_raw"), map_key(null_if_blank(c("source_level1"))).alias("source_key"),
-        district.alias("district_number"), in_city.alias("is_city"), name.alias("neighborhood"), name_key.alias("neighborhood_key"), name_slug.alias("neighborhood_slug"),
-        address.alias("address"), null_if_blank(c("cross_street")).alias("cross_street"), zip_code.alias("zip"), latitude.alias("latitude"), longitude.alias("longitude"),
-        null_if_blank(c("public_status")).alias("public_status"), status.alias("status_group"),
+        text("reference_number").alias("reference_number"), "object_id", *(text(n).alias(n) for n in ("sf_ticket_id", "category_level1", "category_level2", "category_name")),
+        key("category_level1").alias("category_key"), text("source_level1").alias("source_channel_raw"), key("source_level1").alias("source_key"),
+        district.alias("district_number"), c("__in_city").alias("is_city"), text("neighborhood").alias("neighborhood"), key("neighborhood").alias("neighborhood_key"),
+        slug(text("neighborhood")).alias("neighborhood_slug"), c("__clean_address").alias("address"), text("cross_street").alias("cross_street"), zip_code.alias("zip"),
+        "latitude", "longitude", text("public_status").alias("public_status"), status.alias("status_group"),
         created.alias("created_utc"), updated.alias("updated_utc"), closed.alias("closed_utc"),
-        local_date(created).alias("created_date_local"), local_date(closed).alias("closed_date_local"), left.alias("backlog_close_date_local"),
+        day["created"].alias("created_date_local"), day["closed"].alias("closed_date_local"), left.alias("backlog_close_date_local"),
         days.alias("days_to_close"), bits.alias("dq_flags"), row_hash(raw).alias("row_hash"),
     )
