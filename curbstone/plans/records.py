@@ -14,7 +14,7 @@ from curbstone.functions.text import map_key, null_if_blank, slug
 from curbstone.operators.constraints import Rules, violations
 from curbstone.operators.notes import clear_outs, date_problem_closures, non_service_by_period, non_service_open, sentence
 from curbstone.operators.profile import attribute_counts, match_rate, served_statistics
-from curbstone.operators.reconcile import newest_keys, removed, restored, to_refetch
+from curbstone.operators.reconcile import newest_keys, places, removed, restored, to_refetch
 from curbstone.plans import domain as D
 from curbstone.plans.figures import PERIODS
 from curbstone.plans.registry import add
@@ -154,8 +154,7 @@ add("join7_refetch", lambda s, d: to_refetch(held(s, d), newest_keys(feed(s, d))
 def chunks(spark, d):
     """SORT-8: the refetch list in key order, in chunks of 200."""
     rows = D.newest_versions(spark, d).select("public_status", "reference_number")
-    place = F.row_number().over(Window.partitionBy("public_status").orderBy("reference_number")) - 1
-    return rows.withColumn("chunk", F.floor(place / 200)).groupBy("public_status", "chunk").agg(F.min("reference_number").alias("first"), F.max("reference_number").alias("last"), F.count(F.lit(1)).alias("n"))
+    return places(rows, "public_status", "reference_number").withColumn("chunk", F.floor(F.col("place") / 200)).groupBy("public_status", "chunk").agg(F.min("reference_number").alias("first"), F.max("reference_number").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 add("sort8_flt3_chunks", chunks, f"""{D.SQL} SELECT public_status, chunk, min(reference_number) AS "first", max(reference_number) AS "last", count(*) AS n
