@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curbstone.functions.maps import DQ_FLAGS
 from curbstone.functions.numbers import trend
 from curbstone.operators.classify import clear_out_days, non_service_pairs, sweep_minutes
-from curbstone.operators.cube import daily_backlog, in_periods, open_cube, window_counts, window_cube, window_percentiles
+from curbstone.operators.cube import all_sets, daily_backlog, in_periods, open_cube, window_counts, window_cube, window_percentiles
 from curbstone.plans import domain as D
 from curbstone.plans.registry import add
 
@@ -50,9 +50,13 @@ def cube(spark, d):
     return window_cube(D.requests(spark, d), D.as_of(), D.WINDOWS)
 
 
-def opened(spark, d):
+def opened_of(requests, sets=None):
     age = (F.datediff(D.as_of(), F.col("created_date")) * 100).cast("long")
-    return open_cube(D.requests(spark, d), D.as_of(), age)
+    return open_cube(requests, D.as_of(), age, sets)
+
+
+def opened(spark, d):
+    return opened_of(D.requests(spark, d))
 
 
 add("flagship", cube, f"{CUBE_SQL} SELECT * FROM cube")
@@ -100,12 +104,17 @@ add("flt4_join11_join13_periods", periods, f"""{D.SQL}, {PERIODS} SELECT window_
   FROM cleaned JOIN periods ON created_date > before_day AND created_date <= to_day GROUP BY ALL""")
 
 
-def pivoted(spark, d):
-    """JOIN-16, SET-4: current and prior side by side with the open snapshot; a missing side is 0 or null."""
-    both = cube(spark, d).groupBy("window_days", "neighborhood_slug", "district_number", "category_group").pivot("period", ["current", "prior"])
+def pivoted(spark, d, sets=None):
+    """JOIN-16, SET-4: current and prior side by side with the open snapshot; a missing side is 0 or null.
+
+    Requests are classified once for both sides, and only the window and the sets of cells asked for are counted.
+    """
+    requests = D.requests(spark, d)
+    rows = window_cube(requests, D.as_of(), (90,), sets)
+    both = rows.groupBy("window_days", "neighborhood_slug", "district_number", "category_group").pivot("period", ["current", "prior"])
     both = both.agg(F.max("closed_count").alias("closed"), F.max("median_days").alias("median"))
     cells = ["neighborhood_slug", "district_number", "category_group"]
-    rows = both.filter("window_days = 90").drop("window_days").join(opened(spark, d), cells, "full")
+    rows = both.drop("window_days").join(opened_of(requests, sets), cells, "full")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("current_closed", "prior_closed", "open_count")]
     return rows.select(*cells, *zero, "current_median", "prior_median", "median_age_days")
 
@@ -118,11 +127,11 @@ PIVOT_SQL = f"{CUBE_SQL}, {OPEN_CTE}, {PIVOT_CTE}"
 add("join16_set4_current_prior_open", pivoted, f"{PIVOT_SQL} SELECT * FROM pivoted")
 
 
-def trends(spark, d):
+def trends(spark, d, sets=None):
     """SCL-16 for each cell; fewer than 30 requests in a period give none."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     t = trend(F.col("current_closed"), cents("current_median"), F.col("prior_closed"), cents("prior_median"))
-    return pivoted(spark, d).withColumn("t", t).select("neighborhood_slug", "district_number", "category_group", "current_median", "prior_median", F.col("t.direction").alias("direction"), F.col("t.pct").alias("pct"))
+    return pivoted(spark, d, sets).withColumn("t", t).select("neighborhood_slug", "district_number", "category_group", "current_median", "prior_median", F.col("t.direction").alias("direction"), F.col("t.pct").alias("pct"))
 
 
 TREND_CTE = f"""cents AS (SELECT *, round(current_median * 100)::BIGINT AS m1, round(prior_median * 100)::BIGINT AS m0, current_closed >= 30 AND prior_closed >= 30 AS enough FROM pivoted),
@@ -135,7 +144,7 @@ add("scl16_trends", trends, f"{TREND_SQL} SELECT * FROM trends")
 
 def split(spark, d):
     """AGG-23."""
-    rows = trends(spark, d).filter("category_group <> ''")
+    rows = trends(spark, d, [s for s in all_sets() if "category_group" in s]).filter("category_group <> ''")
     n = lambda k: F.count_if(F.col("direction") == k).alias(k)
     return rows.groupBy("category_group").agg(n("slower"), n("steady"), n("faster"), F.count_if(F.col("direction").isNull()).alias("none"))
 
@@ -146,7 +155,7 @@ add("agg23_trend_split", split, f"""{TREND_SQL} SELECT category_group, count(*)
 
 def slower(spark, d):
     """SORT-3: the ten that got slower most; no percentage counts as the largest."""
-    rows = trends(spark, d).filter("direction = 'slower' and neighborhood_slug <> '' and district_number = 0 and category_group = ''")
+    rows = trends(spark, d, [("neighborhood_slug",)]).filter("direction = 'slower' and neighborhood_slug <> '' and district_number = 0 and category_group = ''")
     rows = rows.withColumn("added", F.round((F.col("current_median") - F.col("prior_median")) * 100).cast("long"))
     return rows.orderBy(F.desc("added"), F.desc_nulls_first("pct"), "neighborhood_slug").limit(10).select("neighborhood_slug", "added", "pct")
 
