@@ -47,3 +47,14 @@ def test_materialized_tables_are_read_by_column(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: str(tmp_path))
     df = materialized(spark.range(9).select("id", F.lit("x").alias("text"), F.array(F.col("id")).alias("a")))
     assert df.count() == 9 and "ReadSchema: struct<id:bigint>" in df.select("id")._jdf.queryExecution().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_only_the_counts_asked_for_are_moved(spark, monkeypatch):
+    from curbstone.operators import kept
+    from curbstone.plans import changes
+
+    names, of = set(), kept.counted
+    monkeypatch.setattr(kept, "counted", lambda rows, name, *more: names.add(name) or of(rows, name, *more))
+    changes.moved_counts(spark, SF, "daily")
+    assert names == {"closures", "daily"}
