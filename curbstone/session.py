@@ -51,7 +51,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialized(df: DataFrame) -> DataFrame:
     """df for several uses: a Parquet table in the folder that the cluster shares, or persisted where none is set.
 
-    A table is a tenth of a checkpoint's size, and each use reads only the columns that it needs. It is deleted when the program ends.
+    A table is about a fifth of a checkpoint's size, and each use reads only the columns that it needs. It is deleted when the program ends.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

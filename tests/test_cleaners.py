@@ -146,7 +146,7 @@ def test_rules_as_columns_say_what_the_jobs_say(spark):
 
 
 def test_code_of_cleaning_is_short_enough_to_be_compiled(spark, tmp_path):
-    """The JVM doesn't compile methods over 8,000 bytes, which made cleaning three times as slow."""
+    """The JVM doesn't compile methods over 8,000 bytes, which made cleaning twice as slow."""
     import re
 
     from curbstone.functions.clean import HASHED, clean
