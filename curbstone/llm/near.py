@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbstone.llm.common import keep, keep_table
+from curbstone.llm.common import delete, keep, keep_table, new_folder
 from curbstone.llm.components import components
 from curbstone.llm.wordhash import SPACE, mix, text_groups, word_hashes
 
@@ -258,18 +258,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept is true for them. An empty table gives no rows. Only key and text are read.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spark, folders = docs.sparkSession, []
+
+    def held(df: DataFrame) -> DataFrame:
+        """df as a table that goes before this function returns; its small files are read several to a task."""
+        folders.append(new_folder(spark))
+        return keep_table(df, folders[-1])
+
     sign = keep_table(signed(docs))
     some = sign.filter("n > 0 and id is not null")
     nodes = some.groupBy("words").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.count(F.lit(1)).alias("copies"))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = keep(banded.join(shared, "bucket"))
+    members = held(banded.join(shared, "bucket"))
 
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    pairs = keep(members.join(centres, "bucket").filter("node <> centre").select("centre", "node").distinct())
+    stars = held(members.join(centres, "bucket").filter("node <> centre").select("bucket", "centre", "node"))
+    pairs = held(stars.select("centre", "node").distinct())
     # Only centres with more than STAR members are cut into parts; they are at most one for STAR pairs.
-    large = keep(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).filter("parts > 1"))
+    large = held(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")).filter("parts > 1"))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     parts, none = F.coalesce("parts", F.lit(1)), F.lit(0).cast("long").alias("component")
     part = lambda k: F.concat_ws("/", F.col("centre"), k).alias("group")
@@ -277,10 +285,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     goals = centres_of.select(F.col("centre").alias("id"), part(F.col("k")), F.lit(0).alias("side"), none).unionByName(
         pairs.join(large, "centre", "left").select(F.col("node").alias("id"), part(F.pmod(F.xxhash64("node"), parts).cast("int")), F.lit(1).alias("side"), none)
     )
-    edges = keep(_star_edges(_with_sets(docs, goals)))
-    labels = keep(components(edges))
+    labels = keep(components(held(_star_edges(_with_sets(docs, held(goals))))))
 
-    left = _labelled(members, labels).join(centres, "bucket").filter("node <> centre")
+    left = _labelled(stars, labels)
     apart = left.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum("node").alias("s")
     ).filter("lo < hi")
@@ -288,10 +295,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = left.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.concat_ws("/", F.col("bucket"), F.least("block", "other"), F.greatest("block", "other"))
-    goals = rest.select(F.col("node").alias("id"), group.alias("group"), (F.col("block") > F.col("other")).cast("int").alias("side"), "component")
-    more = keep(_block_pairs(_with_sets(docs, goals)))
+    goals = held(rest.select(F.col("node").alias("id"), group.alias("group"), (F.col("block") > F.col("other")).cast("int").alias("side"), "component"))
+    more = held(_block_pairs(_with_sets(docs, goals)))
     if more.take(1):
-        labels = keep(components(edges.union(more)))
+        labels = keep(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
+    for folder in folders:
+        delete(spark, folder)
 
     # Only texts that occur twice need their node looked up; salts spread a text with very many copies.
     twice = nodes.filter("copies > 1").join(labels.withColumnRenamed("id", "node"), "node", "left").select("words", "node", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
