@@ -72,6 +72,15 @@ def test_components_of_few_edges_take_few_tasks(spark, many_partitions):
     assert n <= 6 * PARTITIONS
 
 
+def test_components_are_dealt_out_evenly(spark, many_partitions):
+    from curbstone.llm.common import keep
+    from curbstone.llm.components import components
+
+    edges = spark.createDataFrame([(k, k % 50) for k in range(50, 4000)], "a long, b long")
+    sizes = [r["count"] for r in keep(components(edges)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 3 * 4000 / PARTITIONS
+
+
 def test_near_duplicates_take_few_tasks(spark, many_partitions):
     from curbstone.llm.near import near_duplicates
 
