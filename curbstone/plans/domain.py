@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,25 +43,40 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("updated_ts", F.greatest("o_orderdate", "l_shipdate"))
 
 
-def _described(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    """Requests of lines; what is said of a nation, a customer or a part is worked out once for each."""
-    t = lambda n: load(spark, sf_dir, n)
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("n_nationkey") != 24, F.col("n_name"))
-    nation = t("nation").select(
+    return load(spark, sf_dir, "nation").select(
         "n_nationkey", F.when(F.col("n_regionkey") != 4, F.col("n_regionkey") + 1).alias("district_number"), (F.col("n_regionkey") != 4).alias("is_city"),
         name.alias("neighborhood"), slug(name).alias("neighborhood_slug"),
     )
-    customer = t("customer").select("c_custkey", "c_nationkey", _choice("c_mktsegment", SEGMENTS).alias("source_level1")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    part = t("part").select("p_partkey", _choice("p_type", TYPES).alias("category_level1"), _choice("p_brand", BRANDS).alias("category_level2"))
-    rows = lines.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", _choice("c_mktsegment", SEGMENTS).alias("source_level1"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests of a part are about: every pair of levels that a request can have is among these."""
+    return load(spark, sf_dir, "part").select("p_partkey", _choice("p_type", TYPES).alias("category_level1"), _choice("p_brand", BRANDS).alias("category_level2"))
+
+
+def _as_requests(rows: DataFrame, *more: str) -> DataFrame:
+    """Lines with their order, part, customer and nation as requests; more are further columns to keep."""
     status = F.when(F.col("l_linestatus") == "F", "CLOSED").when(F.col("o_orderstatus") == "P", "IN PROGRESS").otherwise("NEW")
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reference_number"), F.col("l_partkey").alias("object_id"), "category_level1", "category_level2", "source_level1",
         "district_number", "is_city", "neighborhood", "neighborhood_slug", status.alias("public_status"),
-        F.col("o_orderdate").alias("created_ts"), "updated_ts", F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("closed_ts"), "l_shipdate", "l_linestatus",
+        F.col("o_orderdate").alias("created_ts"), "updated_ts", F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("closed_ts"), "l_shipdate", "l_linestatus", *more,
     )
 
 
+def _described(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Requests of lines; what is said of a nation, a customer or a part is worked out once for each."""
+    customer = _customers(spark, sf_dir).join(F.broadcast(_nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = lines.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    return _as_requests(rows)
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every request, one for each lineitem: about one in four repeats a reference number."""
     return _described(spark, sf_dir, _lines(spark, sf_dir))
@@ -74,6 +89,25 @@ def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(spark, sf_dir, _lines(spark, sf_dir).withColumn("rn", place).filter("rn = 1").drop("rn"))
 
 
+def held_and_newest(spark: SparkSession, sf_dir: str, known: Column) -> DataFrame:
+    """latest(versions()), now, and the same of the versions for which known says so by l_partkey, held: a row for each request where both
+    are the same version, else one for each.
+
+    One pass finds both: lines meet their parts and orders their customers first, so that the join by order, after which a request's
+    versions are together, is the last.
+    """
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_linestatus")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    lines = lines.join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    orders = orders.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("updated_ts", F.greatest("o_orderdate", "l_shipdate"))
+    order = [F.desc(c) for c in ("updated_ts", "l_partkey", "l_shipdate", "l_linestatus")]
+    over = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
+    upto = F.sum(F.when(known, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"now": F.row_number().over(over) == 1, "held": F.coalesce(known, F.lit(False)) & (upto == 1)}).filter("now or held")
+    return _as_requests(rows.join(F.broadcast(_nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")), "now", "held")
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The newest version of each reference number; ties by object and then by all that can differ."""
     order = [F.desc(c) for c in ("updated_ts", "object_id", "l_shipdate", "l_linestatus")]

@@ -58,3 +58,41 @@ def test_only_the_counts_asked_for_are_moved(spark, monkeypatch):
     monkeypatch.setattr(kept, "counted", lambda rows, name, *more: names.add(name) or of(rows, name, *more))
     changes.moved_counts(spark, SF, "daily")
     assert names == {"closures", "daily"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_what_is_held_and_what_is_newest_come_from_one_pass(spark, monkeypatch):
+    from curbstone.plans import changes, domain
+
+    read, of = [], domain.load
+    monkeypatch.setattr(domain, "load", lambda s, d, name: read.append(name) or of(s, d, name))
+    changes.moved_counts(spark, SF, "events")
+    assert (read.count("lineitem"), read.count("orders")) == (1, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_moved_counts_are_those_of_sql_where_newest_versions_lack_their_part(spark, tmp_path):
+    import duckdb
+    from test_queries import plain
+
+    from curbstone.plans import registry
+
+    name, c = "str11_cube_from_changes", duckdb.connect()
+    for t in ("nation", "customer", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{SF}/{t}.parquet").filter("p_partkey % 3 <> 1" if t == "part" else "true").write.parquet(f"{tmp_path}/{t}.parquet")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path))
+    want = c.sql(f"select {', '.join(got.columns)} from ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(repr(tuple(map(plain, x))) for x in got.collect()) == sorted(repr(tuple(map(plain, x))) for x in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_and_newest_are_the_versions_that_each_has_alone(spark):
+    from curbstone.plans import domain as D
+
+    names = ["reference_number", "object_id", "updated_ts", "public_status", "closed_ts", "category_level1", "district_number", "neighborhood_slug"]
+    rows, all_ = D.held_and_newest(spark, SF, F.col("l_partkey") % 10 != 0).cache(), D.versions(spark, SF)
+    for got, want in ((rows.filter("now"), D.latest(all_)), (rows.filter("held"), D.latest(all_.filter("object_id % 10 <> 0")))):
+        got, want = got.select(*names), want.select(*names)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert rows.filter("not now and not held").count() == 0 and rows.filter("held and not now").count() > 0
