@@ -94,9 +94,13 @@ def with_label(rows: DataFrame, closures: DataFrame, days_least: int = MIN_COUNT
 def build(
     rows: DataFrame, since: Column | None = None, days_least: int = MIN_COUNT, sweep_least: int = SWEEP_COUNT, names: tuple[str, ...] = tuple(KEPT)
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(kept tables, rows with bulk) of all requests; names are the tables wanted, closures always among them."""
+    """(kept tables, rows with bulk) of all requests; names are the tables wanted, closures always among them.
+
+    Rows with bulk are all rows once more: they are written only if more than one table is counted from them.
+    """
     kept = {"closures": materialized(counted(rows, "closures"))}
-    rows = materialized(with_label(rows, kept["closures"], days_least, sweep_least))
+    rows = with_label(rows, kept["closures"], days_least, sweep_least)
+    rows = materialized(rows) if len({*names} - {"closures"}) > 1 else rows
     return kept | {n: materialized(counted(rows, n, since)) for n in names if n != "closures"}, rows
 
 

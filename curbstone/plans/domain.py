@@ -55,8 +55,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", _choice("c_mktsegment", SEGMENTS).alias("source_level1"))
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What requests of a part are about: every pair of levels that a request can have is among these."""
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", _choice("p_type", TYPES).alias("category_level1"), _choice("p_brand", BRANDS).alias("category_level2"))
 
 
@@ -73,7 +72,7 @@ def _as_requests(rows: DataFrame, *more: str) -> DataFrame:
 def _described(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """Requests of lines; what is said of a nation, a customer or a part is worked out once for each."""
     customer = _customers(spark, sf_dir).join(F.broadcast(_nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = lines.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(_parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     return _as_requests(rows)
 
 
@@ -89,37 +88,26 @@ def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(spark, sf_dir, _lines(spark, sf_dir).withColumn("rn", place).filter("rn = 1").drop("rn"))
 
 
-def held_and_newest(spark: SparkSession, sf_dir: str, known: Column) -> DataFrame:
-    """latest(versions()), now, and the same of the versions for which known says so by l_partkey, held: a row for each request where both
-    are the same version, else one for each.
-
-    One pass finds both: lines meet their parts and orders their customers first, so that the join by order, after which a request's
-    versions are together, is the last.
-    """
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_linestatus")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    lines = lines.join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
-    orders = orders.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("updated_ts", F.greatest("o_orderdate", "l_shipdate"))
-    order = [F.desc(c) for c in ("updated_ts", "l_partkey", "l_shipdate", "l_linestatus")]
-    over = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
-    upto = F.sum(F.when(known, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"now": F.row_number().over(over) == 1, "held": F.coalesce(known, F.lit(False)) & (upto == 1)}).filter("now or held")
-    return _as_requests(rows.join(F.broadcast(_nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")), "now", "held")
-
-
 def latest(rows: DataFrame) -> DataFrame:
     """The newest version of each reference number; ties by object and then by all that can differ."""
     order = [F.desc(c) for c in ("updated_ts", "object_id", "l_shipdate", "l_linestatus")]
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("reference_number").orderBy(*order))).filter("rn = 1").drop("rn")
 
 
-def cleaned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    """Newest versions, or such rows, with maps resolved, days, bits and groups; without classification."""
-    rows = newest_versions(spark, sf_dir) if rows is None else rows
+def _with_group(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows with g, the group of their category or null."""
     categories = category_map(spark).select("category_key", F.col("category_group").alias("g"))
+    return rows.join(F.broadcast(categories), map_key(F.col("category_level1")) == F.col("category_key"), "left").drop("category_key")
+
+
+def _with_channel(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows with s, the channel of their source or null."""
     sources = source_map(spark).select("source_key", F.col("source_channel").alias("s"))
-    rows = rows.join(F.broadcast(categories), map_key(F.col("category_level1")) == F.col("category_key"), "left").join(F.broadcast(sources), map_key(F.col("source_level1")) == F.col("source_key"), "left")
+    return rows.join(F.broadcast(sources), map_key(F.col("source_level1")) == F.col("source_key"), "left").drop("source_key")
+
+
+def _with_days(rows: DataFrame) -> DataFrame:
+    """Requests that have g and s with days and bits."""
     c = F.col
     wrong = F.coalesce(c("closed_ts") < c("created_ts"), F.lit(False))
     late = F.greatest("created_ts", "updated_ts", "closed_ts") > F.lit(AS_OF).cast("timestamp") + F.expr("INTERVAL 1 DAY")
@@ -134,7 +122,35 @@ def cleaned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
         flags.alias("dq_flags"), F.lit(True).alias("present"),
     )
     timed = (c("dq_flags").bitwiseAND(DATE_PROBLEMS) == 0) & c("hundredths").isNotNull() & c("closed_date").isNotNull()
-    return rows.withColumn("timed", timed).drop("g", "s", "category_key", "source_key", "l_shipdate", "l_linestatus")
+    return rows.withColumn("timed", timed).drop("g", "s", "l_shipdate", "l_linestatus")
+
+
+def cleaned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Newest versions, or such rows, with maps resolved, days, bits and groups; without classification."""
+    rows = newest_versions(spark, sf_dir) if rows is None else rows
+    return _with_days(_with_channel(spark, _with_group(spark, rows)))
+
+
+def held_and_newest(spark: SparkSession, sf_dir: str, known: Column) -> DataFrame:
+    """cleaned() of latest(versions()), now, and of the latest of those versions for which known says so by l_partkey, held: a row for each
+    request where both are the same version, else one for each. service is whether it is for service.
+
+    One pass finds both: lines meet their parts and orders their customers first, so that the join by order, after which a request's
+    versions are together, is the last. Groups, service and channels are worked out once for each part and customer.
+    """
+    about = _parts(spark, sf_dir)
+    about = with_service(_with_group(spark, about), non_service_pairs(about, category_map(spark), line_map(spark)))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_linestatus")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    lines = lines.join(about, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    orders = orders.join(_with_channel(spark, _customers(spark, sf_dir)), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("updated_ts", F.greatest("o_orderdate", "l_shipdate"))
+    order = [F.desc(c) for c in ("updated_ts", "l_partkey", "l_shipdate", "l_linestatus")]
+    over = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
+    upto = F.sum(F.when(known, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"now": F.row_number().over(over) == 1, "held": F.coalesce(known, F.lit(False)) & (upto == 1)}).filter("now or held")
+    rows = rows.join(F.broadcast(_nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+    return _with_days(_as_requests(rows, "g", "s", "service", "now", "held"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

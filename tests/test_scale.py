@@ -96,3 +96,16 @@ def test_held_and_newest_are_the_versions_that_each_has_alone(spark):
         got, want = got.select(*names), want.select(*names)
         assert got.count() == want.count() and got.exceptAll(want).count() == 0
     assert rows.filter("not now and not held").count() == 0 and rows.filter("held and not now").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rows_are_not_written_with_labels_for_one_table(spark, monkeypatch):
+    from curbstone.operators import kept
+    from curbstone.plans import domain as D
+
+    written, of = [], kept.materialized
+    monkeypatch.setattr(kept, "materialized", lambda df: written.append(df.columns) or of(df))
+    rows = D.requests(spark, SF).drop("bulk")
+    counts, labelled = kept.build(rows, None, D.DAY_LEAST, D.SWEEP_LEAST, ("daily",))
+    assert len(written) == 2 and not any("bulk" in columns for columns in written)
+    assert labelled.filter("bulk").count() == D.requests(spark, SF).filter("bulk").count() > 0 and set(counts) == {"closures", "daily"}
